@@ -3,11 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphmill.llm import packing, url_rules
+from glyphmill.llm import chat, digests, mixing, packing, url_rules
 from glyphmill.llm.common import table
 
 
+def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    rows = rows.union(spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema))
+    read = chat.read_back(chat.format_paths(chat.best_paths(chat.linear(rows))))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return read.select(
+        F.col("thread").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn,
+    length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t')) AS n_text,
+    length(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c')) AS n_role FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY rn), '')) AS loss_sha256,
+    CAST(sum(4 + n_role + 2 + n_text + 9) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "block", "slot", "release", "deadline", "start")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,7 +68,10 @@ FROM best
 """
 
 QUERIES = {
+    "op2_canonical_digest": op2_canonical_digest,
+    "op3_reply_tree_chat": op3_reply_tree_chat,
+    "op8_pfair_mixing": op8_pfair_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_rules": op10_url_rules,
 }
-ORACLES = {"op10_url_rules": OP10_SQL}
+ORACLES = {"op3_reply_tree_chat": OP3_SQL, "op10_url_rules": OP10_SQL}
