@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, digests, mixing, packing, url_rules
+from glyphmill.llm import chat, digests, language, mixing, packing, personal_data, url_rules
 from glyphmill.llm.common import table
 
 
@@ -40,6 +40,14 @@ FROM o GROUP BY conv_id
 """
 
 
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "block", "slot", "release", "deadline", "start")
@@ -70,6 +78,8 @@ FROM best
 QUERIES = {
     "op2_canonical_digest": op2_canonical_digest,
     "op3_reply_tree_chat": op3_reply_tree_chat,
+    "op4_bootstrapped_pii": op4_bootstrapped_pii,
+    "op5_language_mixture": op5_language_mixture,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_rules": op10_url_rules,
