@@ -23,41 +23,48 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import Scratch, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries in a worker's word cache, and the longest word in it: the cache's memory is bounded.
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+#: Entries at which a worker's word cache is emptied; a batch of at most BATCH_CHARS adds to it. Words encoded at once.
+CACHE_WORDS, BATCH_CHARS, LEARN = 600_000, 4_000_000, 500
 #: Python splits at these, the tokenizer's patterns don't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _tokenizers: dict = {}
 
 
-class WordIds(dict):
-    """Little-endian ids of a stretch without white space.
+class WordIds:
+    """Ids of texts by way of their stretches without white space.
 
     White space always ends a token of the word-level vocabulary and never survives it, so a text's ids are those of
-    its stretches one after another.
+    its stretches one after another. Stretches not met lately are encoded together, and told apart by their offsets.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACE):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), LEARN):
+            some = words[at : at + LEARN]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            ends = np.cumsum([len(w) + 1 for w in some])
+            starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids) // 4)
+            cuts = [0, *(4 * np.searchsorted(starts, ends, "left")).tolist()]
+            self.known.update(zip(some, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian ids of each text."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        odd = [any(c in t for c in ODD_SPACE) for t in texts]
+        words = [[] if o else t.split() for t, o in zip(texts, odd)]
+        self.learn(list(set().union(*words) - self.known.keys()))
+        for t, o, w in zip(texts, odd, words):
+            yield self.encode(t) if o else b"".join(map(self.known.__getitem__, w))
 
 
 def word_ids(path: str) -> WordIds:
@@ -66,6 +73,18 @@ def word_ids(path: str) -> WordIds:
     return _tokenizers[path]
 
 
+def groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Neighbours together, up to BATCH_CHARS characters."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > BATCH_CHARS:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if sizes:
+        yield lo, len(sizes)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: PIECES."""
     small_batches(docs.sparkSession)
@@ -75,11 +94,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
         words = word_ids(tokenizer_path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.text(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            docs_in, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in groups([len(t) for t in texts]):
+                for doc, ids in zip(docs_in[lo:hi], words.texts(texts[lo:hi])):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
