@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver collects its garbage, which it may not do for long by itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables of one run in the shared folder: they cut lineage and survive a lost executor.
 
@@ -34,6 +41,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        free_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

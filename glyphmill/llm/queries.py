@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, digests, language, mixing, near_copies, packing, personal_data, url_rules
+from glyphmill.llm import chat, digests, language, mixing, near_copies, packing, personal_data, repeats, url_rules
 from glyphmill.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op6_icws_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op7_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "block", "slot", "release", "deadline", "start")
@@ -85,6 +89,7 @@ QUERIES = {
     "op4_bootstrapped_pii": op4_bootstrapped_pii,
     "op5_language_mixture": op5_language_mixture,
     "op6_icws_near_copies": op6_icws_near_copies,
+    "op7_deep_shallow_repeats": op7_deep_shallow_repeats,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_rules": op10_url_rules,
