@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, digests, language, mixing, near_copies, packing, personal_data, repeats, url_rules
+from glyphmill.llm import chat, cover_tree, digests, language, mixing, near_copies, packing, personal_data, repeats, url_rules
 from glyphmill.llm.common import table
 
 
+def op1_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.link(table(spark, sf_dir, "embeddings"))
+
+
 def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ FROM best
 """
 
 QUERIES = {
+    "op1_cover_tree_links": op1_cover_tree_links,
     "op2_canonical_digest": op2_canonical_digest,
     "op3_reply_tree_chat": op3_reply_tree_chat,
     "op4_bootstrapped_pii": op4_bootstrapped_pii,
