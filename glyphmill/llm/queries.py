@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,5 +99,6 @@ QUERIES = {
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_rules": op10_url_rules,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op3_reply_tree_chat": OP3_SQL, "op10_url_rules": OP10_SQL}
