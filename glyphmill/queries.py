@@ -1,4 +1,412 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library and the SQL that DuckDB checks them with."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphmill.functions import normalize as N
+from glyphmill.functions import scalars
+from glyphmill.operators import decode, nextword, reduce, sampling, stats, subword, windows
+from glyphmill.sources import catalog
+from glyphmill.sources.catalog import table
+
+VOCAB, LENGTH, WIDTH = 8000, 10, scalars.WINDOW
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def sql_map(text: str, table_: dict[str, str]) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    return f"translate({text}, {quoted(''.join(table_))}, {quoted(''.join(table_.values()))})"
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("sentence"))
+
+
+def benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), stats.white_space(F.col("text")).alias("tokens"))
+
+
+SQL_TOKENS = r"list_filter(string_split_regex({}, '\s+'), lambda t: t <> '')"
+SQL_NORMAL = sql_map("text", N.FULL)
+
+
+# sources and sinks ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) AS row_id, doc_id, text, lang FROM documents")
+def corpus_row_ids(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.with_row_ids(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id").select("row_id", "doc_id", "text", "lang")
+
+
+@query("""SELECT d.doc_id AS row_id, d.text AS sentence, d.source AS target, CAST(l.quality AS VARCHAR) AS polarity
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL""")
+def corpus_labelled(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.corpus(spark, d)
+
+
+@query("SELECT count(*) AS n FROM documents")
+def corpus_count(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS row_id, text AS sentence FROM documents ORDER BY doc_id")
+def ordered_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select(F.col("row_id").cast("long"), F.col("sentence").cast("string")).orderBy("row_id")
+
+
+@query(f"""SELECT s.doc_id AS row_id, s.text AS before, {sql_map('n.text', N.FULL)} AS after
+FROM (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) s JOIN documents n ON s.doc_id = n.doc_id""")
+def sample_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of keys looked up in the normalised table; keys that miss are left out."""
+    docs = documents(spark, d)
+    keys = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("row_id"))
+    sample = docs.join(keys, "row_id", "left_semi").select("row_id", F.col("sentence").alias("before"))
+    after = docs.select("row_id", N.normalize(F.col("sentence")).alias("after"))
+    return sample.join(after, "row_id", "left").where("after IS NOT NULL")
+
+
+@query("""SELECT path, CAST(regexp_extract(path, '(\\d+)[^/\\d]*$', 1) AS INTEGER) AS vocab_size FROM (VALUES ('m/vocab_tokenized_1400.db'), ('m/vocab_tokenized_10000.db'), ('m/vocab_tokenized_2167.db')) v(path)""".replace("\\\\", "\\"))
+def listed_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.listed_sizes(spark.createDataFrame([(f"m/vocab_tokenized_{n}.db",) for n in (1400, 10000, 2167)], "path string"))
+
+
+@query("""SELECT 'next_word_model_epoch_10.keras' AS name, 10 AS epoch""")
+def latest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    names = ["next_word_model_epoch_2.h5", "next_word_model_epoch_10.h5", "next_word_model_epoch_10.keras", "next_word_model_epoch_x.h5", "notes.txt"]
+    return catalog.latest_checkpoint(spark.createDataFrame([(n,) for n in names], "name string"))
+
+
+@query("SELECT coalesce(max(TRY_CAST(trim(e) AS INTEGER)), 0) AS last_epoch FROM (VALUES ('1'), (' 7'), ('x'), (''), ('3')) v(e)")
+def last_epoch(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.last_epoch(spark.createDataFrame([("1", "", ""), (" 7", "", ""), ("x", "", ""), ("", "", ""), ("3", "", "")], catalog.TRAIN_LOG))
+
+
+@query()
+def random_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.random_rows(documents(spark, d), 20, seed=7)
+
+
+# scalar functions ----------------------------------------------------------------------------------------------------
+
+
+def _unify(step: str) -> None:
+    table_ = N.composed(*N.STEPS[step])
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return table(spark, d, "pages").select("page_id", N.unify(N.full_width(F.col("html")), step).alias("text"))
+
+    QUERIES[f"unify_{step}"] = run
+    ORACLES[f"unify_{step}"] = f"SELECT page_id, {sql_map(sql_map('html', N.WIDTH), table_)} AS text FROM pages"
+
+
+for _step in N.STEPS:
+    _unify(_step)
+
+
+@query(f"SELECT doc_id AS row_id, {sql_map('text', N.WIDTH)} AS text FROM documents")
+def width_full(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("row_id", N.full_width(F.col("sentence")).alias("text"))
+
+
+@query(f"SELECT doc_id AS row_id, {SQL_NORMAL} AS text FROM documents")
+def normalize_full(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("row_id", N.normalize(F.col("sentence")).alias("text"))
+
+
+@query(f"SELECT conv_id, turn, {SQL_NORMAL} AS text FROM conversations")
+def normalize_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", N.normalize(F.col("text")).alias("text"))
+
+
+@query("""SELECT * FROM (VALUES (1, '（ＱＵＯＴＥＤ） ＇Ａ＇ 「Ｂ「'), (2, 'キロ１１／１．．．'), (3, 'ガス パイプ'), (4, 'Ａ／Ｂ／Ｃ ～ ～'), (5, '（Ｘ）（Ｙ）＜Ｚ＞'), (6, '１０１３年１１月末の（ＯＰＥＣ）（石油輸出国機構）')) v(id, text)""")
+def nfkc_golden(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, "“quoted” 'a' \"b\""), (2, "㌔①½…"), (3, "ｶﾞｽ ﾊﾟｲﾌﾟ"), (4, "a/b\\c ~ 〜"), (5, "[x]{y}<z>"), (6, "2016年11月末の「OPEC」(石油輸出国機構)")]
+    return spark.createDataFrame(rows, "id int, text string").select("id", N.normalize(F.col("text")).alias("text"))
+
+
+@query(f"""SELECT doc_id AS row_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(len(t) AS INTEGER) AS n_tokens, round(CASE WHEN length(text) > 0 THEN len(t) / CAST(length(text) AS DOUBLE) ELSE 0 END, 6) AS tokens_per_char
+FROM (SELECT doc_id, text, {SQL_TOKENS.format('text')} AS t FROM documents)""")
+def text_lengths(spark: SparkSession, d: str) -> DataFrame:
+    n = F.size(stats.white_space(F.col("sentence")))
+    return documents(spark, d).select("row_id", F.length("sentence").alias("n_chars"), n.alias("n_tokens"), r6(scalars.ratio(n, F.length("sentence"))).alias("tokens_per_char"))
+
+
+@query("""WITH v AS (SELECT i, CASE WHEN i = 0 THEN 1400 WHEN i = 9 THEN 10000 ELSE CAST(round(exp(ln(1400.0) + (ln(10000.0) - ln(1400.0)) * i / 9)) AS BIGINT) END AS v FROM range(10) t(i))
+SELECT CAST(i AS INTEGER) AS i, CAST(i + max(v - i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS vocab_size FROM v""")
+def vocab_grid(spark: SparkSession, d: str) -> DataFrame:
+    return scalars.vocab_grid(spark)
+
+
+@query("""SELECT d, round(1.0 / d, 6) AS reciprocal, round(1.0 / sqrt(d), 6) AS sqrt, round(1.0 / pow(d, 0.25), 6) AS power_quarter, round(1.0 / ln(d + 1), 6) AS log FROM range(1, 101) t(d)""")
+def distance_weights(spark: SparkSession, d: str) -> DataFrame:
+    w = scalars.distance_weights(spark)
+    return w.select("d", *(r6(F.col(c)).alias(c) for c in w.columns[1:]))
+
+
+@query("""SELECT CAST(d AS INTEGER) AS reduced_dim FROM range(6260, 999, -200) t(d)""")
+def dim_ladder(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in scalars.dim_ladder(6460, 10**6)], "reduced_dim int")
+
+
+@query("SELECT CAST(t AS INTEGER) AS t, round(greatest(0.99 * pow(0.97, t), 0.4), 6) AS mass FROM range(100) r(t)")
+def nucleus_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(100).select(F.col("id").cast("int").alias("t"), r6(scalars.mass_threshold(F.col("id"))).alias("mass"))
+
+
+# token statistics ----------------------------------------------------------------------------------------------------
+
+
+def _tokens_sql(split: str = SQL_TOKENS) -> str:
+    return f"SELECT doc_id, {SQL_NORMAL} AS s, {split.format(SQL_NORMAL)} AS t FROM documents"
+
+
+def _stats_sql(tokens: str, vocab: int) -> str:
+    return f"""WITH d AS ({tokens}),
+p AS (SELECT CAST(len(t) AS BIGINT) AS n, length(array_to_string(t, '')) AS c, length(s) AS l FROM d),
+q AS (SELECT count(*) AS n FROM (SELECT unnest(t) AS token FROM d) GROUP BY token)
+SELECT {vocab} AS vocab_size, round(avg(CASE WHEN n > 0 THEN c / CAST(n AS DOUBLE) ELSE 0 END), 6) AS avg_token_char_length, round(avg(n), 6) AS avg_token_count_per_sentence,
+    (SELECT count(*) FROM q WHERE n <= 2) AS low_frequency_token_count, round((SELECT count(*) FROM q WHERE n <= 2) / {vocab}.0, 6) AS low_frequency_token_ratio,
+    round(var_pop(n), 4) AS token_count_variance, round(stddev_pop(n), 6) AS token_count_stddev, min(n) AS token_count_min, max(n) AS token_count_max,
+    round(median(n), 6) AS token_count_median, round(avg(CASE WHEN l > 0 THEN n / CAST(l AS DOUBLE) ELSE 0 END), 6) AS avg_token_per_char FROM p"""
+
+
+def _rounded(report: DataFrame) -> DataFrame:
+    digits = {"token_count_variance": 4}
+    return report.select(*(F.round(c, digits.get(c, 6)).alias(c) if k == "double" else F.col(c) for c, k in report.dtypes))
+
+
+def _tokens(spark: SparkSession, d: str, split=stats.white_space) -> DataFrame:
+    return documents(spark, d).select("row_id", N.normalize(F.col("sentence")).alias("sentence")).select("row_id", "sentence", split(F.col("sentence")).alias("tokens"))
+
+
+@query(f"WITH d AS ({_tokens_sql()}) SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM d) GROUP BY token")
+def token_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return stats.token_frequency(_tokens(spark, d))
+
+
+@query(f"""WITH d AS ({_tokens_sql()}), q AS (SELECT count(*) AS n FROM (SELECT unnest(t) AS token FROM d) GROUP BY token)
+SELECT count(*) AS low_frequency_token_count, round(count(*) / {VOCAB}.0, 6) AS low_frequency_token_ratio FROM q WHERE n <= 2""")
+def low_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(stats.low_frequency(stats.token_frequency(_tokens(spark, d)), VOCAB))
+
+
+@query(_stats_sql(_tokens_sql(), VOCAB))
+def token_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: normalise, split and report on the whole corpus."""
+    return _rounded(stats.token_statistics(_tokens(spark, d), VOCAB))
+
+
+@query(f"({_stats_sql(_tokens_sql(), VOCAB)}) UNION ALL ({_stats_sql(_tokens_sql('string_split({}, chr(32))'), VOCAB + 1)})")
+def token_stats_by_tokenizer(spark: SparkSession, d: str) -> DataFrame:
+    """Every tokenizer over all sentences, one report row each."""
+    splits = [(VOCAB, stats.white_space), (VOCAB + 1, lambda s: F.split(s, " "))]
+    rows = [_rounded(stats.token_statistics(_tokens(spark, d, split), n)) for n, split in splits]
+    return rows[0].union(rows[1])
+
+
+# windows -------------------------------------------------------------------------------------------------------------
+
+
+def _padded_sql(tokens: str) -> str:
+    left, right = "[" + ", ".join(["'<s>'"] * WIDTH) + "]", "[" + ", ".join(["'</s>'"] * WIDTH) + "]"
+    return f"list_concat(list_concat({left}, {tokens}), {right})"
+
+
+def _labels_sql(table_: str, key: str, slide: int = 1) -> str:
+    return f"""WITH p AS (SELECT {key} AS row_id, {_padded_sql(SQL_TOKENS.format('text'))} AS p FROM {table_}),
+w AS (SELECT row_id, p, CAST(unnest(range(0, len(p) - {WIDTH}, {slide})) AS INTEGER) AS pos FROM p)
+SELECT row_id, pos, p[pos + {WIDTH} + 1] AS y FROM w"""
+
+
+SQL_VECTORS = f"""WITH p AS (SELECT item_id AS row_id, {_padded_sql(SQL_TOKENS.format('text'))} AS p FROM benchmark),
+w AS (SELECT row_id, p, CAST(unnest(range(0, len(p) - {WIDTH})) AS INTEGER) AS pos FROM p),
+e AS (SELECT row_id, pos, p, unnest(range(0, {WIDTH})) AS i FROM w)
+SELECT row_id, pos, p[pos + i + 1] AS token, round(sum(1.0 / pow(i + 1, 0.25)), 6) AS weight FROM e GROUP BY row_id, pos, p[pos + i + 1]"""
+
+
+@query(_labels_sql("documents", "doc_id"))
+def windows_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents(spark, d).select("row_id", stats.white_space(F.col("sentence")).alias("tokens"))
+    return windows.windows(rows, F.lit("<s>"), F.lit("</s>")).select("row_id", "pos", "y")
+
+
+@query(_labels_sql("benchmark", "item_id", 3))
+def windows_slide(spark: SparkSession, d: str) -> DataFrame:
+    return windows.windows(benchmark(spark, d), F.lit("<s>"), F.lit("</s>"), slide=3).select("row_id", "pos", "y")
+
+
+@query(SQL_VECTORS)
+def windows_vectors(spark: SparkSession, d: str) -> DataFrame:
+    found = windows.exploded(windows.windows(benchmark(spark, d), F.lit("<s>"), F.lit("</s>")))
+    return found.withColumn("weight", r6(F.col("weight")))
+
+
+@query(SQL_VECTORS)
+def windows_vectors_frame(spark: SparkSession, d: str) -> DataFrame:
+    return windows.framed(benchmark(spark, d), F.lit("<s>"), F.lit("</s>")).withColumn("weight", r6(F.col("weight")))
+
+
+@query(f"SELECT item_id AS row_id, array_to_string(list_slice(t, greatest(len(t) - {WIDTH} + 1, 1), len(t)), ' ') AS context FROM (SELECT item_id, {SQL_TOKENS.format('text')} AS t FROM benchmark)")
+def trailing_context(spark: SparkSession, d: str) -> DataFrame:
+    return benchmark(spark, d).select("row_id", F.array_join(windows.trailing(F.col("tokens")), " ").alias("context"))
+
+
+@query(f"SELECT item_id AS row_id, array_to_string({SQL_TOKENS.format('text')}, '') || '</s>' AS text FROM benchmark")
+def pieces_joined(spark: SparkSession, d: str) -> DataFrame:
+    whole = F.concat(F.array_repeat(F.lit("<s>"), 15), F.col("tokens"), F.array(F.lit("</s>")))
+    return benchmark(spark, d).select("row_id", windows.joined_pieces(whole, F.lit("<s>")).alias("text"))
+
+
+_VOCABULARY_SQL = f"""t AS (SELECT item_id AS row_id, unnest({SQL_TOKENS.format('text')}) AS token, unnest(range(0, len({SQL_TOKENS.format('text')}))) AS place FROM benchmark),
+v AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS vocab_id FROM (SELECT DISTINCT token FROM t))"""
+
+
+@query(f"WITH {_VOCABULARY_SQL} SELECT row_id, CAST(place AS INTEGER) AS place, vocab_id, t.token AS piece FROM t JOIN v ON t.token = v.token WHERE vocab_id < 500")
+def piece_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens to dense ids and back by equi-joins with the vocabulary; ids out of range are left out."""
+    t = benchmark(spark, d).select("row_id", F.posexplode("tokens").alias("place", "token"))
+    v = catalog.with_row_ids(t.select("token").distinct(), "token", "id").select("token", (F.col("id") - 1).cast("int").alias("vocab_id"))
+    ids = t.join(v, "token").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("place", "vocab_id"))).alias("s"))
+    ids = ids.select("row_id", F.explode(F.filter("s", lambda x: (x["vocab_id"] >= 0) & (x["vocab_id"] < 500))).alias("s")).select("row_id", "s.place", "s.vocab_id")
+    return ids.join(v.withColumnRenamed("token", "piece"), "vocab_id").select("row_id", "place", "vocab_id", "piece")
+
+
+@query("""SELECT item_id AS row_id, rank, value FROM (SELECT item_id, value, CAST(row_number() OVER (PARTITION BY item_id ORDER BY value DESC) AS INTEGER) AS rank
+FROM (SELECT vec_id AS item_id, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)) WHERE rank <= 3""")
+def largest_values(spark: SparkSession, d: str) -> DataFrame:
+    """The largest entries of each sparse row, by number."""
+    top = F.slice(F.sort_array(F.transform("embedding", lambda x: x.cast("double")), False), 1, 3)
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.posexplode(top).alias("rank", "value")).withColumn("rank", F.col("rank") + 1)
+
+
+@query("SELECT count(*) AS n_a, count(*) AS n_b, true AS aligned FROM documents")
+def aligned_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    return windows.assert_aligned(docs.select("row_id"), docs.select("sentence"))
+
+
+# sampling ------------------------------------------------------------------------------------------------------------
+
+_SOFTMAX_SQL = """l AS (SELECT vec_id AS seq, CAST(unnest(embedding) AS DOUBLE) * {scale} AS z, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS k FROM embeddings),
+e AS (SELECT seq, k, exp(z - max(z) OVER (PARTITION BY seq)) AS e FROM l),
+s AS (SELECT seq, k, e / sum(e) OVER (PARTITION BY seq) AS p FROM e)"""
+
+
+def _nucleus_sql(top: str) -> str:
+    return f"""WITH {_SOFTMAX_SQL.format(scale='10.0')}, r AS (SELECT *, CAST(row_number() OVER o AS INTEGER) AS rank, coalesce(sum(p) OVER (PARTITION BY seq ORDER BY p DESC, k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+    FROM s WINDOW o AS (PARTITION BY seq ORDER BY p DESC, k DESC)),
+c AS (SELECT * FROM r WHERE (rank = 1 OR b < greatest(0.99 * pow(0.97, {LENGTH}), 0.4)) {top})
+SELECT seq, k, rank, round(p, 6) AS p, round(p / sum(p) OVER (PARTITION BY seq), 6) AS q FROM c"""
+
+
+def _logits(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.logits_of(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query(f"WITH {_SOFTMAX_SQL.format(scale='2.0')} SELECT seq, k, round(p, 6) AS p FROM s")
+def softmax_temperature(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.softmax(_logits(spark, d), 0.5).withColumn("p", r6(F.col("p")))
+
+
+def _nucleus(spark: SparkSession, d: str, top_k: int) -> DataFrame:
+    found = sampling.nucleus(sampling.softmax(_logits(spark, d), 0.1), F.lit(LENGTH), top_k)
+    return found.select("seq", "k", "rank", r6(F.col("p")).alias("p"), r6(F.col("q")).alias("q"))
+
+
+@query(_nucleus_sql(""))
+def nucleus_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _nucleus(spark, d, 0)
+
+
+@query(_nucleus_sql("AND rank <= 2"))
+def nucleus_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _nucleus(spark, d, 2)
+
+
+@query()
+def nucleus_draw(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.draw(sampling.nucleus(sampling.softmax(_logits(spark, d), 0.1), F.lit(LENGTH)), seed=1)
+
+
+# compression ---------------------------------------------------------------------------------------------------------
+
+SPECTRUM = [(i, 10.0 / i, r) for i, r in enumerate((0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625), 1)]
+
+
+@query("""WITH s AS (SELECT i, 10.0 / i AS sv, pow(0.5, i) AS r FROM range(1, 7) t(i)),
+c AS (SELECT i, sum(r) OVER (ORDER BY i) AS rate, sum(sv) OVER (ORDER BY i) AS total, max(sv) OVER (ORDER BY i) AS top FROM s),
+d AS (SELECT * FROM c WHERE i IN (6, 5, 4, 2))
+SELECT 8 AS original_dim, CAST(i AS INTEGER) AS reduced_dim, printf('%.4f', i / 8.0) AS compression_ratio, printf('%.4f', rate) AS reconstruction_rate, printf('%.4f', 1 - rate) AS information_loss_rate,
+    CASE WHEN rate >= 0.95 THEN 'true' ELSE 'false' END AS threshold_ok, CASE WHEN i = (SELECT min(i) FROM d WHERE rate >= 0.95) THEN 'true' ELSE 'false' END AS is_min_dim_over_threshold,
+    printf('%.4f', total) AS singular_value_sum, printf('%.4f', top) AS top_singular_value FROM d ORDER BY i DESC""")
+def report_flags(spark: SparkSession, d: str) -> DataFrame:
+    report = reduce.formatted(reduce.svd_report(reduce.spectrum_table(spark, SPECTRUM), 8, [6, 5, 4, 2]))
+    return report.withColumns({c: F.col(c).cast("int") for c in ("original_dim", "reduced_dim")})
+
+
+@query()
+def svd_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return reduce.svd_sweep(reduce.dense_features(rows, "embedding"), 64, rows.count(), step=8, least=8)
+
+
+@query()
+def pca_report(spark: SparkSession, d: str) -> DataFrame:
+    spectrum, _ = reduce.pca_spectrum(reduce.dense_features(table(spark, d, "embeddings"), "embedding"), 32)
+    return catalog.key_values(reduce.formatted(reduce.pca_report(reduce.spectrum_table(spark, spectrum), 64, 32)))
+
+
+# learned operators ---------------------------------------------------------------------------------------------------
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).withColumn("sentence", N.normalize(F.col("sentence")))
+
+
+@query()
+def spm_vocab(spark: SparkSession, d: str) -> DataFrame:
+    return subword.vocabulary(spark, subword.fit_vocabulary(_corpus(spark, d), 1400))
+
+
+@query()
+def spm_token_stats(spark: SparkSession, d: str) -> DataFrame:
+    corpus = _corpus(spark, d)
+    return stats.token_statistics(subword.encoded(corpus, subword.fit_vocabulary(corpus, 1400)), 1400)
+
+
+def _trained(spark: SparkSession, d: str):
+    corpus = table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("sentence"))
+    model = subword.fit_vocabulary(corpus, 200)
+    ids = subword.encoded(corpus, model).select("row_id", "ids")
+    vectors = windows.vectors(windows.windows(ids, F.lit(subword.BOS), F.lit(subword.EOS), tokens="ids"))
+    return model, *nextword.train(vectors, 200, epochs=2, hidden=(64, 32))
+
+
+@query()
+def train_log(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(_trained(spark, d)[2], "epoch int, loss double, sparse_categorical_accuracy double")
+
+
+@query()
+def generated_text(spark: SparkSession, d: str) -> DataFrame:
+    model, weights, _ = _trained(spark, d)
+    return decode.generate(decode.seeds_for(spark, "none10"), weights, model, seed=1)
