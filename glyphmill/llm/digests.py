@@ -29,8 +29,11 @@ def nfkc(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Upper and then lower case also folds letters such as sharp s; any Unicode white space becomes one space."""
-    return F.trim(F.regexp_replace(F.lower(F.upper(text)), r"(?U)\s+", " "))
+    """Upper and then lower case also folds letters such as sharp s; any Unicode white space becomes one space.
+
+    White space goes between the two, as Spark takes lower(upper(x)) for lower(x).
+    """
+    return F.lower(F.trim(F.regexp_replace(F.upper(text), r"(?U)\s+", " ")))
 
 
 def wide_hash(text: Column) -> list[Column]:
