@@ -148,7 +148,7 @@ def compare_nodes(cosine: float):
     return run
 
 
-def split_nodes(vectors: DataFrame, big: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+def split_nodes(vectors: DataFrame, big: DataFrame, level: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``vectors`` with nodes of over LEAF vectors split, and (parent, node, centre) of the new nodes.
 
     Pivots are a hashed handful of a node's vectors; the assignment runs on salted parts of each node.
@@ -159,6 +159,7 @@ def split_nodes(vectors: DataFrame, big: DataFrame, level: int) -> tuple[DataFra
     picked = hashed.where(share).groupBy("node", "salts", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("hash", "vector"))), 1, FAN).alias("p"))
     wanted = F.least(F.lit(FAN), F.ceil(F.col("size") / LEAF * 2).cast("int"))
     picked = picked.select("node", "salts", F.slice(F.transform("p", lambda p: p["vector"]), F.lit(1), wanted).alias("pivots"))
+    picked = scratch.save(picked, f"pivots{level}")
     parts = picked.select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "pivots")
 
     def assign(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
@@ -188,7 +189,7 @@ def leaf_pairs(vectors: DataFrame, cosine: float, scratch: Scratch) -> tuple[Dat
         big = nodes.where(F.col("size") > LEAF).select("node", "size")
         if big.isEmpty():
             break
-        vectors, centres = split_nodes(vectors, big, level)
+        vectors, centres = split_nodes(vectors, big, level, scratch)
         vectors = scratch.save(vectors, f"vectors{level}")
         inside = vectors.join(centres, "node").select("node", "parent", "centre", apart("vector", "centre").alias("d"))
         new = inside.groupBy("node").agg(F.first("parent").alias("parent"), F.count("*").alias("size"), F.first("centre").alias("centre"), (F.max("d") + SLACK).alias("radius"))
