@@ -305,8 +305,9 @@ def counted_groups(found: DataFrame, length: int, gram: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "c", "n", "o", "w"])
 
     windows = found.select("h", "c", "n", "before", "from_on").mapInArrow(run, "h long, c long, n long, o long, w binary")
-    twice = windows.groupBy("w").agg(F.sum("n").alias("times")).where("times > 1").select("w")
-    hit = windows.join(twice, "w").groupBy("h", "c").agg(F.max("o").alias("before"), F.min("o").alias("least"))
+    same = ["h", "o", "w"]  # a window is counted once for each anchor in it
+    twice = windows.groupBy(same).agg(F.sum("n").alias("times")).where("times > 1").select(same)
+    hit = windows.join(twice, same).groupBy("h", "c").agg(F.max("o").alias("before"), F.min("o").alias("least"))
     return hit.select("h", "c", "before", (F.lit(length) - F.col("least")).alias("after"))
 
 
