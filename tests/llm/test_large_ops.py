@@ -1,0 +1,280 @@
+"""Embedding links, personal data, language, near-copies, repeats and the pipeline: edge cases and brute force."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from glyphmill.llm import common, cover_tree, language, near_copies, personal_data, repeats
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, key string"
+
+
+def documents(spark, texts, langs=None):
+    langs = langs or ["en"] * len(texts)
+    return spark.createDataFrame([(i, t, lang, f"s{i % 3}", len(t or ""), 1, "clash") for i, (t, lang) in enumerate(zip(texts, langs))], DOCS)
+
+
+def roots(n, pairs):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [root(x) for x in range(n)]
+
+
+def test_components_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(300, 380)] + [(400, k) for k in range(401, 460)]
+    got = {r.node: r.component for r in common.components(common.Scratch(spark, "t"), spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = roots(500, pairs)
+    assert all(got[x] == want[x] for x in got) and all(x in got or all(x not in p or p[0] == p[1] for p in pairs) for x in range(500))
+
+
+# embeddings
+
+
+def brute_links(rows, cosine):
+    n, pairs = len(rows), []
+    x = [np.asarray(v, float) if v is not None and all(e is not None for e in v) else np.zeros(0) for _, v, _ in rows]
+    ok = [len(v) and np.isfinite(v).all() and v.any() and rows[i][2] is not None for i, v in enumerate(x)]
+    for i in range(n):
+        for j in range(i):
+            if ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(x[i]) == len(x[j]) and x[i] @ x[j] / (np.linalg.norm(x[i]) * np.linalg.norm(x[j])) >= cosine:
+                pairs.append((j, i))
+    return pairs
+
+
+@pytest.mark.parametrize("leaf", [2000, 12])
+def test_links_against_brute_force(spark, monkeypatch, leaf):
+    monkeypatch.setattr(cover_tree, "LEAF", leaf)
+    rng, rows = np.random.default_rng(2), []
+    for c in range(12):
+        centre = rng.normal(size=6)
+        rows += [(len(rows) + k, [float(e) for e in np.float32(centre + rng.normal(size=6) * 0.18)], c % 2) for k in range(8)]
+    rows += [(100 + k, rows[3][1], rows[3][2]) for k in range(5)]
+    odd = [None, [], [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf")] + [1.0] * 5, rows[3][1][:5]]
+    rows += [(200 + k, v, 1) for k, v in enumerate(odd)] + [(300, rows[3][1], None), (301, [3e38] * 6, 0), (302, [3e38] * 6, 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("clash"))
+    got = {r.vec_id: r for r in cover_tree.link(frame).collect()}
+    pairs = brute_links(rows, cover_tree.COSINE)
+    assert len(pairs) > 100 and len(got) == len(rows)
+    comp = roots(len(rows), pairs)
+    for i, (vec, *_) in enumerate(rows):
+        first = min(rows[k][0] for k in range(len(rows)) if comp[k] == comp[i])
+        assert (got[vec].n_links, got[vec].component_id, got[vec].kept) == (sum(i in p for p in pairs), first, vec == first), vec
+    assert cover_tree.link(frame.limit(0)).count() == 0
+
+
+# personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a@.-+ 0149(é\U0001f600_%", max_size=60))
+def test_base_spans_are_the_patterns_matches(text):
+    assert personal_data.base_spans(text) == plain_spans(text)
+
+
+def test_personal_data(spark):
+    long = "a" * 400_000 + "@b.co " + "1" * 300_000 + " x 4012888888881881 é +1 (743) 555-3824"
+    texts = [long, None, "", "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.4"] + [f"my badge no. 4012 8888 8888 {k}" for k in (1881, 1882)]
+    # the words before cards that are known lead to one that fails the check digit
+    cards = ["4111111111111111", "5500000000000004", "340000000000009", "30000000000004", "6011000000000004", "3530111333300000", "5105105105105100", "4222222222222", "5555555555554444", "378282246310005"]
+    texts += [f"text {k} please charge card {c} today" for k, c in enumerate(cards * 2)] + ["please charge card 1234-9999-1 now", 'token = "0123456789abcdef0123"']
+    got = {r.doc_id: r for r in personal_data.find(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = plain_spans(t or "") if i else [("email", 0, 400_005), ("card", len(long) - 36, len(long) - 20), ("phone", len(long) - 17, len(long))]
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest() and got[i].spans.startswith(line)
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(s[0] == k for s in base) for k in BASE]
+    assert got[len(texts) - 2].spans == "id:19:30" and got[len(texts) - 1].spans == "secret:9:29"
+    clean = personal_data.redact(documents(spark, texts))
+    assert clean.columns == documents(spark, []).columns
+    lines = {r.doc_id: r.text for r in clean.collect()}
+    assert lines[3] == "<IP>.<IP> 256.1.1.1 <IP>" and lines[len(texts) - 2] == "please charge card <ID> now"
+    assert personal_data.find(documents(spark, texts).limit(0)).count() == 0
+
+
+# language
+
+SYLLABLES = {"aa": ["ka", "ri", "to", "mu", "ne", "so"], "bb": ["sch", "ung", "ein", "ber", "keit", "ach"], "cc": ["eau", "oui", "ère", "tion", "ment", "que"]}
+
+
+def babble(rng, lang, n):
+    return " ".join("".join(rng.choice(SYLLABLES[lang], rng.integers(1, 5))) for _ in range(n))
+
+
+def test_language(spark):
+    rng = np.random.default_rng(4)
+    langs = [str(x) for x in rng.choice(list(SYLLABLES), 240)]
+    texts = [babble(rng, x, int(rng.integers(3, 120))) for x in langs]
+    more = [None, "", "123 !!! 456", "Kari TOMU nesori", babble(rng, "aa", 120) + " " + babble(rng, "bb", 40), "ж" * 60 + " щ" * 50]
+    docs = documents(spark, texts + more, langs + [None, "aa", "aa", None, None, None])
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    held = [i for i in range(240) if got[i].held_out]
+    import zlib
+
+    assert held == [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i].lang_pred == langs[i] for i in held]) > 0.98 and all(0 <= r.score <= 1 for r in got.values())
+    assert [got[240 + k].lang_pred for k in range(4)] == ["und", "und", "und", "aa"] and got[240].score == 0
+    both = dict(p.split(":") for p in got[244].languages.split(","))
+    assert set(both) == {"aa", "bb"} and abs(float(both["aa"]) - 0.6) < 0.15 and got[245].background > 0.9
+    same = {r.doc_id: r.lang_pred for r in language.identify(docs.withColumn("lang", F.when(language.is_held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit("x"))).collect()}
+    assert same == {i: r.lang_pred for i, r in got.items()}
+    assert language.identify(docs.limit(0)).count() == 0
+    assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# near-copies
+
+
+def test_samples_estimate_the_weighted_similarity():
+    rng = np.random.default_rng(0)
+    idf = rng.uniform(0.5, 8, 1 << near_copies.DF_BITS).astype(np.float32)
+    words, hits, want = [f"w{k}" for k in range(400)], [], []
+    for t in range(60):
+        a = list(rng.choice(words, 300))
+        b = list(a)
+        for k in rng.integers(0, 300, 1 + t // 4):
+            b[k] = "other"
+        s, tf, starts = near_copies.shingles([" ".join(a), " ".join(b)])
+        w = near_copies.weights(s, tf, idf)
+        one, two = near_copies.sample(s, w, starts)
+        hits.append((one == two).mean())
+        want.append(near_copies.similarity((s[: starts[1]], w[: starts[1]]), (s[starts[1] :], w[starts[1] :])))
+    assert abs(np.mean(hits) - np.mean(want)) < 0.02 and np.corrcoef(hits, want)[0, 1] > 0.9
+
+
+def test_near_copies_against_brute_force(spark):
+    rng, words, texts = np.random.default_rng(6), [f"word{k}" for k in range(3000)], []
+    for _ in range(30):
+        base = list(rng.choice(words, int(rng.integers(60, 200))))
+        for edits in (0, 0, 1, 2, 3, 6):
+            copy = list(base)
+            for k in rng.integers(0, len(base), edits):
+                copy[k] = "edit" + str(rng.integers(1e9))
+            texts.append(" ".join(copy))
+    base = list(rng.choice(words, 150))
+    for k in range(120):  # one large group, each two edits away from the first, further from each other
+        copy = list(base)
+        for at in rng.integers(0, 150, 3):
+            copy[at] = f"own{k}"
+        texts.append(" ".join(copy))
+    texts += ["a b", "A  b", "a b c", "", None, " ", "long " * 60_000]
+    docs = documents(spark, texts)
+    docs = docs.union(docs.limit(2)).union(spark.createDataFrame([(None, texts[0], "", "", 0, 0, "")], DOCS))
+    rows = near_copies.classes(docs).collect()
+    assert len(rows) == docs.count() and sum(r.kept for r in rows) == len({r.class_id for r in rows})
+    idf = near_copies.inverse_frequencies(near_copies.keyed(docs))
+    vectors = [(lambda s: (s[0], near_copies.weights(s[0], s[1], idf)))(near_copies.shingles([t or ""])) for t in texts]
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i) if (texts[i] or "") == (texts[j] or "") or len(vectors[i][0]) and len(vectors[j][0]) and near_copies.similarity(vectors[i], vectors[j]) >= 0.8]
+    want = roots(len(texts), pairs)
+    assert {r.doc_id: r.class_id for r in rows if r.doc_id is not None} == dict(enumerate(want))
+    kept = near_copies.without_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+    assert near_copies.classes(docs.limit(0)).count() == 0
+
+
+# repeats
+
+
+def brute_repeats(texts, length):
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
+        out.append((len(t), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), kept))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.binary(max_size=60)), min_size=1, max_size=40))
+def test_deep_shallow_order(rows):
+    rows.sort(key=lambda r: r[0])
+    strings, group = [s for _, s in rows], np.array([g for g, _ in rows])
+    order, common = repeats.deep_shallow(strings, group)
+    assert sorted(order.tolist()) == list(range(len(rows)))
+    for k in range(len(rows)):
+        if k == 0 or group[order[k]] != group[order[k - 1]]:
+            assert common[k] == -1
+            continue
+        a, b = strings[order[k - 1]], strings[order[k]]
+        assert group[order[k]] == group[order[k - 1]] and common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert a.ljust(64, b"\0") <= b.ljust(64, b"\0")
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_repeats_against_brute_force(spark, hot):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdé"), n))
+    shared, texts = [word(n) for n in (45, 60, 130, 300)], []
+    for k in range(60):
+        parts = [word(int(rng.integers(0, 40))) + str(rng.choice(shared)) + word(int(rng.integers(0, 3))) for _ in range(int(rng.integers(0, 4)))]
+        texts.append("".join(parts) + word(int(rng.integers(0, 50))))
+    texts += ["", None, "z" * 500, "yx" * 100, "short", "z" * 39, shared[3], shared[3], word(20) + shared[3][7:200]]
+    got = {r.doc_id: r for r in repeats.remove_repeats(documents(spark, texts), 40, 12, hot).collect()}
+    for i, (n, gone, runs, kept) in enumerate(brute_repeats([(t or "").encode() for t in texts], 40)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (n, gone, runs, kept), i
+        assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_repeats_of_repeated_rows_and_nothing(spark):
+    docs = documents(spark, ["w%d " % k * 100 for k in range(3)])
+    twice = docs.union(docs.limit(1))
+    assert {r.doc_id: r.n_removed > 0 for r in repeats.remove_repeats(twice).collect()}[0]
+    assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    langs = [str(x) for x in rng.choice(list(SYLLABLES), 60)]
+    texts = [babble(rng, x, int(rng.integers(40, 90))) for x in langs]
+    texts[5] += " write to some.one@example.org"
+    texts += [texts[0], texts[1] + " ka", None, "12 !!", ""]
+    docs = documents(spark, texts, langs + [langs[0], langs[1], "aa", "aa", "aa"]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        kept = common.Scratch(spark, "t").save(kept, name)
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert sorted(rows) == list(range(60)) and "<EMAIL>" in rows[5].text and rows[5].n_chars == len(rows[5].text)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(60))
