@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch, small_batches
@@ -204,7 +204,7 @@ def find(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans)
 
 
-def redact(documents: DataFrame, text: str = "text") -> Column | DataFrame:
+def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; all other columns stay."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "redaction")
@@ -227,8 +227,8 @@ def redact(documents: DataFrame, text: str = "text") -> Column | DataFrame:
                 out.append(t)
             yield pd.Series(out, dtype=object)
 
-    each = each.select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), F.col("further").alias("_further"))
     n = each.count()
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h"))
-    joined = documents.join(F.broadcast(each) if n <= BROADCAST_ROWS else each, key, "left")
-    return joined.withColumn(text, replaced(F.col(text), F.col("_further"))).select(*documents.columns)
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    key = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(f"row.{text}") == F.col("hash"))
+    joined = rows.join(F.broadcast(each) if n <= BROADCAST_ROWS else each, key, "left")
+    return joined.select(F.col("row").withField(text, replaced(F.col(f"row.{text}"), F.col("further"))).alias("row")).select("row.*")
