@@ -14,6 +14,20 @@ def op1_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.link(table(spark, sf_dir, "embeddings"))
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+ok AS (SELECT * FROM n WHERE label IS NOT NULL AND norm > 0 AND isfinite(norm)),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.c FROM r JOIN p ON r.id = p.a),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id),
+k AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON v.vec_id = m.id LEFT JOIN k ON v.vec_id = k.a
+"""
+
+
 def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -101,4 +115,4 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_reply_tree_chat": OP3_SQL, "op10_url_rules": OP10_SQL}
+ORACLES = {"op1_cover_tree_links": OP1_SQL, "op3_reply_tree_chat": OP3_SQL, "op10_url_rules": OP10_SQL}
