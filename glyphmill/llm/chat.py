@@ -69,10 +69,11 @@ def best_paths(messages: DataFrame, top: int = 1, scratch: Scratch | None = None
     order = Window.partitionBy("key").orderBy(F.desc("total"), F.desc("depth"), "id")
     chosen = whole.join(parents, ["key", "id"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     path = chosen.select("key", F.col("id").alias("leaf"), "rank", "id")
-    for step in reversed(steps[:-1]):  # ancestors at 2^k, each distance exactly once
+    path = scratch.save(path, "chosen")
+    for k, step in reversed(list(enumerate(steps[:-1]))):  # ancestors at 2^k, each distance exactly once
         up = step.where("up IS NOT NULL").select("key", "id", "up")
-        path = path.union(path.join(up, ["key", "id"]).select("key", "leaf", "rank", F.col("up").alias("id")))
-    path = scratch.save(path, "path").join(whole.select("key", "id", F.col("depth").alias("pos")), ["key", "id"])
+        path = scratch.save(path.union(path.join(up, ["key", "id"]).select("key", "leaf", "rank", F.col("up").alias("id"))), f"path{k}")
+    path = path.join(whole.select("key", "id", F.col("depth").alias("pos")), ["key", "id"])
     return path.join(nodes, ["key", "id"]).select("key", "thread", "leaf", "rank", "pos", "role", "text")
 
 
