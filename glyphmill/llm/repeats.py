@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import Scratch, shuffle_partitions, small_batches
 
 LENGTH, GRAM = 200, 64
-HOT, SHALLOW, CHUNK, SLICE = 20_000, 4, 40_000, 1 << 20
+HOT, SHALLOW, CHUNK = 200_000, 4, 40_000
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
