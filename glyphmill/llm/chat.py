@@ -15,6 +15,7 @@ id. ``linear`` orders equal turns by role and text. Other columns are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,22 +57,27 @@ def best_paths(messages: DataFrame, top: int = 1, scratch: Scratch | None = None
     # only ids and sums travel from here on
     step = nodes.select("key", "id", "parent", "score").join(ids, ["key", "parent"], "left")
     step = step.select("key", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    steps = [scratch.save(step, "up0")]
+    step = scratch.save(step, "up0")
+    steps, ended = [step.where("up IS NOT NULL")], [step.where("up IS NULL")]  # steps[k]: ancestors at 2^k, where there is one
     rounds = math.ceil(math.log2(max(2, nodes.count()))) + 1
-    while len(steps) <= rounds and not steps[-1].where("up IS NOT NULL").isEmpty():
-        far = steps[-1].select("key", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        step = steps[-1].join(far, ["key", "up"], "left").select(
-            "key", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
+    while len(steps) <= rounds and not steps[-1].isEmpty():  # only messages that haven't reached their root go on
+        known = reduce(DataFrame.union, ended, steps[-1])
+        far = known.select("key", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        step = steps[-1].join(far, ["key", "up"]).select(
+            "key", "id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")
         )
-        steps.append(scratch.save(step, f"up{len(steps)}"))
-    whole = steps[-1].where("up IS NULL").select("key", "id", "total", "depth")  # the others hang on a cycle
-    parents = steps[0].where("up IS NOT NULL").select("key", F.col("up").alias("id")).distinct()
+        step = scratch.save(step, f"up{len(steps)}")
+        steps.append(step.where("up IS NOT NULL"))
+        ended.append(step.where("up IS NULL"))
+    # what never ended hangs on a cycle
+    whole = reduce(DataFrame.union, ended).select("key", "id", "total", "depth")
+    parents = steps[0].select("key", F.col("up").alias("id")).distinct()
     order = Window.partitionBy("key").orderBy(F.desc("total"), F.desc("depth"), "id")
     chosen = whole.join(parents, ["key", "id"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     path = chosen.select("key", F.col("id").alias("leaf"), "rank", "id")
     path = scratch.save(path, "chosen")
     for k, step in reversed(list(enumerate(steps[:-1]))):  # ancestors at 2^k, each distance exactly once
-        up = step.where("up IS NOT NULL").select("key", "id", "up")
+        up = step.select("key", "id", "up")
         path = scratch.save(path.union(path.join(up, ["key", "id"]).select("key", "leaf", "rank", F.col("up").alias("id"))), f"path{k}")
     path = path.join(whole.select("key", "id", F.col("depth").alias("pos")), ["key", "id"])
     return path.join(nodes, ["key", "id"]).select("key", "thread", "leaf", "rank", "pos", "role", "text")
