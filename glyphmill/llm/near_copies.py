@@ -7,9 +7,9 @@
    missed by all bands with probability 2e-4, at 0.9 with 1e-7.
 3. Copies of a text are one node. In each bucket all texts are paired with the bucket's first text; pairs are verified
    by the exact weighted Jaccard similarity of the whole texts. Only classes matter, so pairs inside a class that is
-   already linked are not looked at again. Buckets that still hold several classes are searched again: for each text
-   its best partners in other classes by agreement of samples, in the last round all partners. A pair is passed over
-   only if it agrees in fewer than 36 of 64 samples, which a similarity of 0.8 does with probability 1e-6.
+   already linked are not looked at again. Buckets that still hold several classes go whole to tasks, which verify
+   every pair of texts that nothing has joined yet. A pair is passed over only if it agrees in fewer than 40 of 64
+   samples, which a similarity of 0.8 does with probability 1e-4, and 0.85 with 1e-7.
 
 Texts are compared in lower case, words are parted by white space; a text of one to four words is a single shingle.
 
@@ -34,10 +34,8 @@ from glyphmill.llm.common import Scratch, components, small_batches
 WORDS, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 64, 16
 DF_BITS = 18
-AGREE = 36
-#: Partners of a text in each later round; 0 for all.
-PARTNERS = (2, 16, 0)
-BLOCK, BATCH_CHARS, CACHE_WORDS = 1500, 2_000_000, 300_000
+AGREE = 40
+BLOCK, BATCH_CHARS, CACHE_WORDS = 700, 2_000_000, 300_000
 BROADCAST_ROWS = 200_000
 U = np.uint64
 
@@ -209,45 +207,64 @@ def verified(pairs: DataFrame, bodies: DataFrame, idf, threshold: float) -> Data
     return pairs.join(right, "b").join(left, "a").where(score("text_a", "text_b") >= threshold).select("a", "b")
 
 
-def best_partners(members: DataFrame, partners: int) -> DataFrame:
-    """Distinct (a, b), a < b, of texts in one bucket but not in one class, by agreement of their samples.
+def joined_in_buckets(members: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of one bucket, and not of one class, from (key, band, uid, comp, sig, text).
 
-    Large buckets are cut into blocks, and each pair of blocks is a group of its own: no group exceeds two blocks.
+    A task looks at all pairs of a bucket in order of the agreement of their samples and verifies those that nothing
+    has joined yet, so it returns fewer links than it has texts. A pair is looked at only in the first bucket that it
+    shares. Large buckets are cut into blocks, and each pair of blocks is a group of its own.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     cut = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "comp", "sig")
+    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "uid", "comp", "sig", "text")
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("uid")
-        uid, comp, own = pdf.uid.to_numpy(), pdf.comp.to_numpy(), pdf.own.to_numpy()
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, band = len(pdf), int(pdf.band.iat[0])
+        uid, own, texts = pdf.uid.to_numpy(), pdf.own.to_numpy(), pdf.text.to_list()
         cross = pdf.i.iat[0] != pdf.j.iat[0]
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(len(uid), SAMPLES)
-        out = []
-        for lo in range(0, len(uid), 64):
-            mine = slice(lo, lo + 64)
-            agree = np.zeros((len(uid[mine]), len(uid)), np.int16)
+        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(n, SAMPLES)
+        comp = pd.factorize(pdf.comp)[0]
+        found = []
+        for lo in range(0, n, 64):
+            agree = np.zeros((len(uid[lo : lo + 64]), n), np.int16)
             for k in range(SAMPLES):
-                agree += sig[mine, k, None] == sig[None, :, k]
-            agree[comp[mine, None] == comp[None, :]] = 0
+                agree += sig[lo : lo + 64, k, None] == sig[None, :, k]
+            x, y = np.nonzero(agree >= AGREE)
+            a = agree[x, y]
+            x += lo
+            keep = (x < y) & (comp[x] != comp[y])
             if cross:
-                agree[own[mine, None] == own[None, :]] = 0
-            if partners and partners < len(uid):
-                least = np.partition(agree, -partners, 1)[:, -partners, None]
-                best = np.argpartition(-agree, partners, 1)[:, :partners]
-                x, y = np.repeat(np.arange(len(best)), partners), best.ravel()
-                keep = agree[x, y] >= np.maximum(AGREE, least[x, 0])
-                x, y = x[keep], y[keep]
-            else:
-                x, y = np.nonzero(agree >= AGREE)
-            out.append(np.stack([uid[mine][x], uid[y]], 1))
-        both = np.concatenate(out)
-        both.sort(1)
-        return pd.DataFrame(np.unique(both, axis=0), columns=["a", "b"])
-
-    return cut.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
+                keep &= own[x] != own[y]
+            x, y, a = x[keep], y[keep], a[keep]
+            for at in range(0, len(x), 20_000):
+                p, q = x[at : at + 20_000], y[at : at + 20_000]
+                shared = (sig[p] == sig[q]).reshape(-1, BANDS, SAMPLES // BANDS).all(2).argmax(1) == band
+                found.append(np.stack([a[at : at + 20_000], p, q], 1)[shared])
+        both = np.concatenate(found) if found else np.zeros((0, 3), int)
+        both = both[np.argsort(-both[:, 0], kind="stable")]
+        up, out = list(range(int(comp.max()) + 1)), []
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        @lru_cache(None)
+        def vector(row: int) -> tuple[np.ndarray, np.ndarray]:
+            s, tf, _ = shingles([texts[row]])
+            return s, weights(s, tf, idf.value)
+
+        for _, p, q in both.tolist():
+            r, t = root(comp[p]), root(comp[q])
+            if r != t and similarity(vector(p), vector(q)) >= threshold:
+                up[r] = t
+                out.append((uid[p], uid[q]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return cut.groupBy("key", "i", "j").applyInPandas(links, "a long, b long")
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -266,8 +283,9 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     texts = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc"), F.max("sig").alias("sig"))
     texts = scratch.save(texts.withColumn("uid", F.monotonically_increasing_id()), "texts")
 
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * SAMPLES // BANDS) + 1, F.lit(4 * SAMPLES // BANDS))))
-    banded = texts.where("sig IS NOT NULL").select("uid", F.explode(bands).alias("key"))
+    size = 4 * SAMPLES // BANDS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * size + 1, F.lit(size))))
+    banded = texts.where("sig IS NOT NULL").select("uid", F.posexplode(bands).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("rep")).where("n > 1").select("key", "rep")
     members = scratch.save(banded.join(shared, "key"), "members")
 
@@ -275,26 +293,19 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     wanted = scratch.save(wanted, "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     own = (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("doc"))
-    bodies = scratch.save(docs.join(wanted, own).select("uid", "text"), "bodies")
+    bodies = scratch.save(docs.join(wanted, own).select("uid", "text").dropDuplicates(["uid"]), "bodies")
 
-    pairs = scratch.save(members.where("uid <> rep").select(F.col("rep").alias("a"), F.col("uid").alias("b")).distinct(), "pairs0")
-    links, tested = scratch.save(verified(pairs, bodies, idf, threshold), "links0"), pairs
+    pairs = members.where("uid <> rep").select(F.col("rep").alias("a"), F.col("uid").alias("b")).distinct()
+    links = scratch.save(verified(pairs, bodies, idf, threshold), "links")
     found = components(scratch, links)
-    for i, partners in enumerate(PARTNERS, 1):
-        classed = members.join(found, members["uid"] == found["node"], "left").select("key", "uid", F.coalesce("component", "uid").alias("comp"))
-        mixed = classed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = scratch.save(classed.join(mixed, "key"), f"open{i}")
-        if open_.isEmpty():
-            break
-        new = best_partners(open_.join(texts.select("uid", "sig"), "uid"), partners).join(tested, ["a", "b"], "left_anti")
-        new = scratch.save(new, f"pairs{i}")
-        if new.isEmpty():
-            continue
-        more = scratch.save(verified(new, bodies, idf, threshold), f"links{i}")
-        tested = tested.union(new)
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(Scratch(spark, "near-copies"), links)
+    classed = members.join(found, members["uid"] == found["node"], "left").select("key", "band", "uid", F.coalesce("component", "uid").alias("comp"))
+    classed = scratch.save(classed, "classed")
+    mixed = classed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = scratch.save(classed.join(mixed, "key"), "open")
+    open_ = open_.join(texts.select("uid", "sig"), "uid").join(bodies, "uid")
+    more = scratch.save(joined_in_buckets(open_, idf, threshold), "more")
+    if not more.isEmpty():
+        found = components(Scratch(spark, "near-copies"), links.union(more))
 
     by_text = texts.join(found, texts["uid"] == found["node"], "left").select("t1", "t2", F.coalesce("component", "uid").alias("comp"))
     each = rows.select("doc_id", "t1", "t2", "rid").join(by_text, ["t1", "t2"])
