@@ -116,6 +116,16 @@ def test_subwords(spark, small_corpus, fitted, tmp_path):
         subword.fit_final_vocabulary(small_corpus, 100)
 
 
+def test_every_line_enters_the_vocabulary(spark):
+    """Two lines with 210,000 copies each: whichever has the smaller hash, the other's words count as much."""
+    lines = ["abc abd bcd cda", "xyz xyw yzw zwx"]
+    corpus = spark.range(420_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, lines[0]).otherwise(lines[1]).alias("sentence"))
+    found = {r.vocab for r in subword.vocabulary(spark, subword.fit_vocabulary(corpus, 16)).collect()}
+    assert set("abcdxyzw") <= found
+    odd = spark.createDataFrame([(1, "a  b\tc\r\n\na b"), (2, None), (3, "x" * 4193 + " b"), (4, " ")], "row_id long, sentence string")
+    assert {r.word: r.n for r in subword.training_words(odd).collect()} == {"a": 2, "b": 2, "c": 1}
+
+
 def test_gradient_against_differences():
     rng = np.random.default_rng(0)
     w = [a + rng.normal(size=a.shape) / 5 for a in nextword.initial(6, (5, 4), 1)]  # no unit at its kink
