@@ -2,9 +2,9 @@
 
 Each source is cut into blocks of about equal volume. A source of weight w gets a release time floor(i / w) and a
 deadline ceil((i + 1) / w) for its block i, and earliest deadline first fills one slot after another: at any time a
-source has had its share to within less than one block. Weights are rational, so the schedule repeats after ``period``
-slots: one period is worked out, whatever the corpus's size. When a source runs out, the weights of the others are
-scaled up and the schedule starts anew from there, so every document keeps a place.
+source has had its share to within less than one block. Weights are taken as exact fractions and never rounded to slots,
+so that holds over the whole run; the schedule has a row for each block, 600,000 of them at 30 GB. When a source runs
+out, the weights of the others are scaled up and the schedule starts anew from there, so every document keeps a place.
 
 A source with a third of all rows is summed up in many salted chunks.
 
@@ -16,7 +16,9 @@ weights of zero or less, are an error.
 
 from __future__ import annotations
 
+import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from glyphmill.llm.common import Scratch
 
 #: Schedule rows of about 50 bytes that may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Deadlines of sources with next to no weight end here, within a long.
+FAR = 1 << 62
 
 
 def quotas(weights: dict, period: int) -> dict:
@@ -37,32 +41,49 @@ def quotas(weights: dict, period: int) -> dict:
     return q
 
 
+def exact(weights: dict, left: dict) -> tuple[dict, int]:
+    """Slots of each source in a period in which no source runs through its quota, in exactly the weights' proportion."""
+    shares = {s: Fraction(w) for s, w in weights.items()}
+    whole = math.lcm(*(x.denominator for x in shares.values())) * (max(left.values()) + 1)
+    q = {s: int(x * whole) for s, x in shares.items()}
+    return q, sum(q.values())
+
+
 def edf(q: dict, period: int, left: dict | None = None) -> list[tuple]:
     """(source, block, slot, release, deadline) of one period; it ends early when a source has no block left."""
     done, out, left = dict.fromkeys(q, 0), [], left or {}
+    order = {s: i for i, s in enumerate(sorted(q, key=lambda s: (str(s), s is None)))}
+    waiting, ready = [(0, i, s) for s, i in order.items()], []  # by release; by deadline
+    heapq.heapify(waiting)
     for slot in range(period):
-        ready = [s for s in q if done[s] * period // q[s] <= slot and done[s] < q[s]]
-        s = min(ready, key=lambda s: (-(-(done[s] + 1) * period // q[s]), str(s)))
-        out.append((s, done[s], slot, done[s] * period // q[s], -(-(done[s] + 1) * period // q[s])))
+        while waiting and waiting[0][0] <= slot:
+            release, i, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[s] + 1) * period // q[s]), i, s, release))
+        deadline, i, s, release = heapq.heappop(ready)
+        out.append((s, done[s], slot, release, min(deadline, FAR)))
         done[s] += 1
         if done[s] == left.get(s):
             break
+        if done[s] < q[s]:
+            heapq.heappush(waiting, (done[s] * period // q[s], i, s))
     return out
 
 
-def schedule(blocks: dict, weights: dict, period: int) -> tuple[list[tuple], list[tuple]]:
+def schedule(blocks: dict, weights: dict, period: int | None = None) -> tuple[list[tuple], list[tuple]]:
     """Phases (phase, source, first block, last block + 1, quota, first slot) and slots (phase, source, i, slot, release,
-    deadline) of block i within a period. There are at most two phases for each source."""
+    deadline) of block i within a period. There are at most two phases for each source. With a ``period`` the weights are
+    rounded to its slots."""
     phases, slots, base, k = [], [], 0, 0
     left, done = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
     while left:
-        q = quotas({s: weights[s] for s in left}, period)
+        live = {s: weights[s] for s in left}
+        q, slots_each = exact(live, left) if period is None else (quotas(live, period), period)
         full = min(n // q[s] for s, n in left.items())
-        for times, one in ((full, edf(q, period) if full else []), (1, None)):
+        for times, one in ((full, edf(q, slots_each) if full else []), (1, None)):
             if one is None:  # up to the end of the first source that runs out
                 if not all(left.values()):
                     break
-                one = edf(q, period, left)
+                one = edf(q, slots_each, left)
             if not times:
                 continue
             used: dict = {}
@@ -79,11 +100,11 @@ def schedule(blocks: dict, weights: dict, period: int) -> tuple[list[tuple], lis
     return phases, slots
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_chars: int = 50_000, period: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_chars: int = 50_000, period: int | None = None) -> DataFrame:
     """``docs`` as ``row`` with source, block, slot, release, deadline and start: sort by (slot, start) to read the mixture.
 
     weights: target share by source; else the volumes to the power ``temperature``. release and deadline count slots
-    from the start of the schedule's present round.
+    from the start of the schedule's present round. ``period`` is for a schedule that repeats: it rounds the weights.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -107,7 +128,7 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
         weights = {s: max(1, v) ** temperature for s, v in volumes.items()}
     if wrong := [s for s in volumes if not weights.get(s, 0) > 0]:
         raise ValueError(f"sources without a positive weight: {wrong[:5]}")
-    period = max(period, 16 * len(volumes))
+    period = period and max(period, 16 * len(volumes))
     phases, slots = schedule({s: v // block_chars + 1 for s, v in volumes.items()}, weights, period)
     a = spark.createDataFrame(phases, "phase int, p_source string, first long, last long, quota long, base long")
     b = spark.createDataFrame(slots, "s_phase int, s_source string, i long, slot long, release long, deadline long")
@@ -116,4 +137,4 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
     i = (F.col("block") - F.col("first")) % F.col("quota")
     rows = rows.withColumns({"want": i, "turn": F.floor((F.col("block") - F.col("first")) / F.col("quota"))})
     rows = rows.join(small(b), (F.col("phase") == F.col("s_phase")) & F.col("source").eqNullSafe(F.col("s_source")) & (F.col("want") == F.col("i")))
-    return rows.select("row", "source", "block", (F.col("base") + F.col("turn") * period + F.col("slot")).alias("slot"), "release", "deadline", "start")
+    return rows.select("row", "source", "block", (F.col("base") + F.col("turn") * (period or 0) + F.col("slot")).alias("slot"), "release", "deadline", "start")

@@ -109,6 +109,21 @@ def test_schedule_is_whole_and_within_a_block(blocks, weights):
             break
 
 
+@pytest.mark.parametrize("weights", [(0.5, 0.2, 0.15, 0.1, 0.05), (0.7, 0.29, 0.00999, 1e-5, 1e-30), (1, 1, 1)])
+def test_schedule_keeps_to_the_given_weights(weights):
+    share = {f"s{i}": w for i, w in enumerate(weights)}
+    phases, slots = mixing.schedule(dict.fromkeys(share, 20_000), share)
+    total, done = sum(share.values()), Counter()
+    first = [x for x in slots if x[0] == 0]
+    assert [x[3] for x in first] == list(range(len(first))) and len(first) >= 20_000 and len(slots) == 20_000 * len(share)
+    for _, s, i, slot, release, deadline in first:
+        assert i == done[s] and release <= slot < deadline
+        done[s] += 1
+        assert all(abs(done[x] - (slot + 1) * w / total) < 1 + 1e-9 for x, w in share.items())
+    places = {base + x[3] for x in slots for k, s, *_, base in phases if (k, s) == x[:2]}
+    assert places == set(range(len(slots)))
+
+
 def test_mixing_rows(spark):
     docs = documents(spark, [*TEXTS, *("word " * n for n in range(200))])
     docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(900, "no source", None, None, None, None, None)], DOCS))
