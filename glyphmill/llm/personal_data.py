@@ -100,8 +100,6 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     more: list[tuple[str, int, int]] = []
-    if not DIGIT.search(text):
-        return base, more
 
     def free(a: int, b: int) -> bool:
         return all(b <= x or y <= a for x, y in taken)

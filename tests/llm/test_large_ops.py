@@ -119,6 +119,12 @@ def test_personal_data(spark):
     assert personal_data.find(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_credentials_without_digits(spark):
+    texts = ["password: correct-horse-battery", "password: correct-horse-battery 1", "nothing to see"]
+    assert [r.spans for r in personal_data.find(documents(spark, texts)).orderBy("doc_id").collect()] == ["secret:10:31", "secret:10:31", ""]
+    assert [r.text for r in personal_data.redact(documents(spark, texts)).orderBy("doc_id").collect()] == ["password: <SECRET>", "password: <SECRET> 1", "nothing to see"]
+
+
 # language
 
 SYLLABLES = {"aa": ["ka", "ri", "to", "mu", "ne", "so"], "bb": ["sch", "ung", "ein", "ber", "keit", "ach"], "cc": ["eau", "oui", "ère", "tion", "ment", "que"]}
