@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage gets what its predecessor kept, written as Parquet and read again; all but the last return the columns of
-``documents``. The mixing stage keeps every document and writes them in the order of the mixture.
+``documents``. The mixing stage keeps every document and writes them in the order of the mixture, which the packing stage
+takes from the files and follows.
 """
 
 from __future__ import annotations
@@ -40,9 +41,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences are filled and numbered in the order in which the mixing stage has written the documents."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ordered=True)
 
 
 STAGES = [
@@ -53,7 +55,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Mixture inference, sampling and the tokenizer can't be said in SQL; tests compare run() with brute force.
+#: Mixture inference, sampling and the tokenizer can't be said in SQL; tests check what the stages keep and in which order run() packs it.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,9 @@
 
 1. ``tokenize_pieces`` turns every text into token ids and cuts only those longer than the capacity.
 2. ``plan`` packs *counts*: the histogram has at most ``capacity`` rows, so planning costs the same for any corpus.
-3. ``pack`` gives each piece a rank within its length, and the rank says which planned slot it takes.
+3. ``pack`` gives each piece a rank within its length, and the rank says which planned slot it takes. With a column
+   ``at``, pieces are ranked by it, and sequences are numbered by the least ``at`` that they hold, so that reading them
+   one after another follows that order as far as whole sequences can.
 
 Rows: a null or empty text is one piece holding the end token alone; repeated rows are packed each; columns other than
 doc_id and text are not read, so names may clash with those made here; an empty table packs to an empty table. A null
@@ -21,10 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch, small_batches
+from glyphmill.sources.catalog import with_row_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries at which a worker's word cache is emptied; a batch of at most BATCH_CHARS adds to it. Words encoded at once.
 CACHE_WORDS, BATCH_CHARS, LEARN = 600_000, 4_000_000, 500
+#: Bits for the rows of a file in ``at``.
+FILE_BITS = 36
 #: Python splits at these, the tokenizer's patterns don't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _tokenizers: dict = {}
@@ -85,8 +90,18 @@ def groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """One row per piece of at most ``capacity`` ids: PIECES."""
+def file_order(docs: DataFrame) -> DataFrame:
+    """The documents of a Parquet table with ``at``: they are in order of ``at`` as the table was written.
+
+    The number of the part file is in the upper bits.
+    """
+    part, split = (F.regexp_extract(F.col("_metadata.file_name"), f, 1).try_cast("long") for f in (r"^part-(\d+)", r"-c(\d+)\."))
+    number = F.coalesce(part, F.lit(0)) * 1000 + F.coalesce(split, F.lit(0))
+    return docs.select("doc_id", "text", (F.shiftleft(number, FILE_BITS) + F.col("_metadata.row_index")).alias("at"))
+
+
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, ordered: bool = False) -> DataFrame:
+    """One row per piece of at most ``capacity`` ids: PIECES, and the document's ``at`` where ``ordered``."""
     small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -95,17 +110,20 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
         for batch in batches:
             rows: list[tuple] = []
             docs_in, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            places = batch.column(2).to_pylist() if ordered else docs_in
             for lo, hi in groups([len(t) for t in texts]):
-                for doc, ids in zip(docs_in[lo:hi], words.texts(texts[lo:hi])):
+                for doc, place, ids in zip(docs_in[lo:hi], places[lo:hi], words.texts(texts[lo:hi])):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
-                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), place)[: len(kinds)])
+            cols = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["at"] if ordered else [])]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())[: len(names)]
+    wanted = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col("at")] if ordered else [])]
+    return docs.select(*wanted).mapInArrow(cut, PIECES + (", at long" if ordered else ""))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -141,20 +159,23 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(pieces: DataFrame, capacity: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """The pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    A length that a third of all pieces have is ranked in many salted parts, whose sizes are added up first.
+    A length that a third of all pieces have is ranked in many salted parts, whose sizes are added up first. The parts
+    of ordered pieces are those of one file each.
     """
+    ordered = "at" in pieces.columns
     spark = pieces.sparkSession
     scratch = scratch or Scratch(spark, "packing")
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["at"] if ordered else [])]
     pieces = scratch.save(pieces.select(*names), "pieces")
     total = pieces.count()
     salts = max(64, total // 100_000)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salt = F.shiftright("at", FILE_BITS) if ordered else F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts))
+    salted = pieces.withColumn("salt", salt)
     sizes = scratch.save(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "sizes")
     histogram = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
+    within = Window.partitionBy("length", "salt").orderBy(*(["at"] if ordered else []), "doc_id", "piece", "ids_crc32", "start")
     ranked = salted.withColumn("rank", F.row_number().over(within)).join(firsts, ["length", "salt"])
     ranked = ranked.select(*names, (F.col("first") + F.col("rank") - 1).alias("rank"))
 
@@ -172,8 +193,17 @@ def pack(pieces: DataFrame, capacity: int = 4096, scratch: Scratch | None = None
             cols = [*(batch.column(c) for c in names), pa.array(sequence[at] + k // copies[at]), pa.array(offset[at] + k % copies[at] * n)]
             yield pa.RecordBatch.from_arrays(cols, [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(take, PIECES + ", sequence_id long, offset long")
+    packed = ranked.mapInArrow(take, PIECES + (", at long" if ordered else "") + ", sequence_id long, offset long")
+    if not ordered:
+        return packed
+    packed = scratch.save(packed, "packed")
+    firsts = packed.groupBy(F.col("sequence_id").alias("planned")).agg(F.min(F.struct("at", "piece", "sequence_id")).alias("first"))
+    numbers = with_row_ids(scratch.save(firsts, "first_pieces"), "first", "number").select("planned", (F.col("number") - 1).alias("number"))
+    packed = packed.join(numbers, F.col("sequence_id") == F.col("planned"))
+    return packed.select(*names[:-1], F.col("number").alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    return pack(tokenize_pieces(docs, tokenizer_path, capacity, end_id), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, ordered: bool = False) -> DataFrame:
+    """``ordered``: the documents are a Parquet table whose order the sequences follow."""
+    docs = file_order(docs) if ordered else docs
+    return pack(tokenize_pieces(docs, tokenizer_path, capacity, end_id, ordered), capacity)

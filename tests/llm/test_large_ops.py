@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphmill.llm import common, cover_tree, language, near_copies, personal_data, repeats
+from glyphmill.llm import common, cover_tree, language, mixing, near_copies, personal_data, repeats
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, key string"
 
@@ -284,3 +284,27 @@ def test_pipeline(spark, tmp_path):
     assert sorted(rows) == list(range(60)) and "<EMAIL>" in rows[5].text and rows[5].n_chars == len(rows[5].text)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == set(range(60))
+
+
+def test_mixture_reaches_the_sequences(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = [babble(rng, "aa", int(rng.integers(40, 900))) for _ in range(150)]
+    docs = documents(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
+    mixed = common.Scratch(spark, "t").save(corpus_pipeline.mix_sources(spark, docs, ""), "mixed")
+    order = {r.doc_id: k for k, r in enumerate(sorted(mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect(), key=lambda r: (r.file_name, r.row_index)))}
+    wanted = [r.doc_id for r in mixing.mix(docs).orderBy("slot", "start", "row.doc_id").select("row.doc_id").collect()]
+    assert list(order) == wanted
+    rows = corpus_pipeline.pack_sequences(spark, mixed, "").collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: (order[r.doc_id], r.piece)):
+        first.setdefault(r.sequence_id, order[r.doc_id])
+    assert sorted(first) == list(range(len(first))) and len(first) > 5 and [first[k] for k in sorted(first)] == sorted(first.values())
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    with_stage = {(r.doc_id, r.piece, r.sequence_id, r.offset) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
+    without = {(r.doc_id, r.piece, r.sequence_id, r.offset) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {x[:2] for x in with_stage} == {x[:2] for x in without} and with_stage != without
