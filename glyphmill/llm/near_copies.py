@@ -1,7 +1,8 @@
 """Near-copies by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of five-word shingles are counted over all documents, by 2^18 hashed buckets: a shingle's weight
-   is its count in the text times the bucket's inverse document frequency. That table has the same size for any corpus.
+1. Document frequencies of five-word shingles are counted over all documents, by the shingles' 64-bit hashes: a shingle's
+   weight is its count in the text times its inverse document frequency. Groups of documents send each distinct hash
+   once to the range it lies in, where frequencies are added up, and get them back in the order of their hashes.
 2. Each text gets 64 consistent samples (Ioffe's improved scheme): two texts agree in a sample with probability equal to
    their weighted Jaccard similarity. Sixteen bands of four samples find candidates: at a similarity of 0.8 a pair is
    missed by all bands with probability 2e-4, at 0.9 with 1e-7.
@@ -26,10 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, components, small_batches
+from glyphmill.llm.common import Scratch, components, free_shuffles, small_batches
 
 WORDS, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 64, 16
@@ -37,6 +39,8 @@ DF_BITS = 18
 AGREE = 40
 BLOCK, BATCH_CHARS, CACHE_WORDS = 700, 2_000_000, 300_000
 BROADCAST_ROWS = 200_000
+#: Characters of a group of documents, and shingles that are counted in a range of hashes.
+GROUP_CHARS, RANGE = 200_000, 2_000_000
 U = np.uint64
 
 
@@ -86,10 +90,10 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[at], np.diff(np.append(at, len(s))), np.searchsorted(at, starts)
 
 
-def batches_of(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def batches_of(sizes: list[int], chars: int | None = None) -> Iterator[tuple[int, int]]:
     lo = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > BATCH_CHARS:
+        if total and total + n > (chars or BATCH_CHARS):
             yield lo, i
             lo, total = i, 0
         total += n
@@ -112,7 +116,13 @@ def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(multipliers, U), lo.astype(np.float32), np.log(lo).astype(np.float32)
 
 
+def exact_weights(tf: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
+    """Of shingles that ``df`` of ``total`` documents have."""
+    return tf.astype(np.float32) * np.log1p(total / df).astype(np.float32)
+
+
 def weights(s: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """By a table of buckets, which is an estimate: ``classes`` counts exactly."""
     return tf.astype(np.float32) * idf[(s >> U(64 - DF_BITS)).astype(np.int64)]
 
 
@@ -151,7 +161,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """ln(1 + documents / frequency) of each bucket, over all documents; a bucket counts each distinct shingle of a document."""
+    """ln(1 + documents / frequency) of each bucket, over all documents; a bucket counts each distinct shingle of a document.
+
+    An estimate for tables that have far fewer shingles than buckets; ``classes`` doesn't use it.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, docs = np.zeros(1 << DF_BITS, np.int64), 0
@@ -173,42 +186,91 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log1p(total / df).astype(np.float32) if total else np.ones(1 << DF_BITS, np.float32)
 
 
-def sketches(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, t1, t2, sig): hashes of the whole text and its samples; null where it has no words."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """(gid, doc_id, t1, t2, text): arrays of some neighbours, up to GROUP_CHARS characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gid = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = [t or "" for t in batch.column(3).to_pylist()]
-            sigs: list = []
-            for lo, hi in batches_of([len(t) for t in texts]):
-                s, tf, starts = shingles(texts[lo:hi])
-                rows = iter(sample(s, weights(s, tf, idf.value), starts))
-                sigs += [next(rows).tobytes() if m else None for m in np.diff(starts)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sigs, pa.binary())], ["doc_id", "t1", "t2", "sig"])
+            for lo, hi in batches_of([len(t or "") for t in batch.column(3).to_pylist()], GROUP_CHARS):
+                cols = [pa.array([batch.column(i).slice(lo, hi - lo).to_pylist()], pa.list_(kind)) for i, kind in enumerate((*[pa.int64()] * 3, pa.string()))]
+                yield pa.RecordBatch.from_arrays([pa.array([gid], pa.int64()), *cols], ["gid", "doc_id", "t1", "t2", "text"])
+                gid += 1
+
+    return docs.select("doc_id", "t1", "t2", "text").mapInArrow(run, "gid long, doc_id array<long>, t1 array<long>, t2 array<long>, text array<string>")
+
+
+def frequencies(groups: DataFrame) -> DataFrame:
+    """(gid, dfs): document frequencies, as four-byte numbers by range, of a group's distinct shingles in the order of their hashes."""
+    chars = groups.agg(F.sum(F.aggregate("text", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
+    bits = max(4, int(chars / 6 / RANGE).bit_length())
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gid, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s, _, _ = shingles(texts.as_py())
+                s, n = np.unique(s, return_counts=True)
+                ranges = (s >> U(64 - bits)).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(s)] if len(s) else []
+                cols = [[ranges[a], s[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()] for a, b in zip(cuts, cuts[1:])]
+                kinds = (pa.int64(), pa.binary(), pa.binary())
+                arrays = [pa.array(c, k) for c, k in zip(list(zip(*cols)) or [[]] * 3, kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array([gid] * len(cols), pa.int64()), *arrays], ["gid", "range", "hashes", "n"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, at = np.unique(np.frombuffer(b"".join(pdf.hashes), U), return_inverse=True)
+        df = np.bincount(at, np.frombuffer(b"".join(pdf.n), np.uint32)).astype(np.uint32)[at]
+        ends = np.cumsum([len(h) // 8 for h in pdf.hashes])[:-1]
+        return pd.DataFrame({"gid": pdf.gid, "range": pdf.range, "df": [x.tobytes() for x in np.split(df, ends)]})
+
+    sent = groups.select("gid", "text").mapInArrow(hashes, "gid long, range long, hashes binary, n binary")
+    back = sent.groupBy("range").applyInPandas(add, "gid long, range long, df binary")
+    return back.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("range", "df"))).alias("dfs"))
+
+
+def sketches(groups: DataFrame, counted: DataFrame, total: int) -> DataFrame:
+    """(doc_id, t1, t2, sig, df): hashes of the whole text, its samples, and its shingles' frequencies; null where it has no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                s, tf, starts = shingles(row["text"])
+                _, at = np.unique(s, return_inverse=True)
+                df = np.frombuffer(b"".join(x["df"] for x in row["dfs"] or []), np.uint32)[at]
+                rows = iter(sample(s, exact_weights(tf, df, total), starts))
+                sigs = [next(rows).tobytes() if m else None for m in np.diff(starts)]
+                dfs = [df[a:b].tobytes() if a < b else None for a, b in zip(starts, starts[1:])]
+                ids = (pa.array(row[c], pa.int64()) for c in ("doc_id", "t1", "t2"))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(sigs, pa.binary()), pa.array(dfs, pa.binary())], ["doc_id", "t1", "t2", "sig", "df"])
+
+    joined = groups.join(counted.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"), "left").select("doc_id", "t1", "t2", "text", "dfs")
+    return joined.mapInArrow(run, "doc_id long, t1 long, t2 long, sig binary, df binary")
+
 
-    return docs.select("doc_id", "t1", "t2", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, sig binary")
+def vector_of(text: str, df: bytes, total: int) -> tuple[np.ndarray, np.ndarray]:
+    s, tf, _ = shingles([text])
+    return s, exact_weights(tf, np.frombuffer(df, np.uint32), total)
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, idf, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, bodies: DataFrame, total: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar. Large groups of pairs with one text are split between tasks by the join."""
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         @lru_cache(64)
-        def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-            s, tf, _ = shingles([text])
-            return s, weights(s, tf, idf.value)
+        def vector(text: str, df: bytes) -> tuple[np.ndarray, np.ndarray]:
+            return vector_of(text, df, total)
 
-        for x, y in batches:
-            yield pd.Series([similarity(vector(a), vector(b)) for a, b in zip(x, y)], dtype=float)
+        for x, f, y, g in batches:
+            yield pd.Series([similarity(vector(a, m), vector(b, n)) for a, m, b, n in zip(x, f, y, g)], dtype=float)
 
-    left = bodies.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
-    right = bodies.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").where(score("text_a", "text_b") >= threshold).select("a", "b")
+    left = bodies.select(F.col("uid").alias("a"), F.col("text").alias("text_a"), F.col("df").alias("df_a"))
+    right = bodies.select(F.col("uid").alias("b"), F.col("text").alias("text_b"), F.col("df").alias("df_b"))
+    return pairs.join(right, "b").join(left, "a").where(score("text_a", "df_a", "text_b", "df_b") >= threshold).select("a", "b")
 
 
-def joined_in_buckets(members: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) between texts of one bucket, and not of one class, from (key, band, uid, comp, sig, text).
+def joined_in_buckets(members: DataFrame, total: int, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of one bucket, and not of one class, from (key, band, uid, comp, sig, text, df).
 
     A task looks at all pairs of a bucket in order of the agreement of their samples and verifies those that nothing
     has joined yet, so it returns fewer links than it has texts. A pair is looked at only in the first bucket that it
@@ -218,11 +280,12 @@ def joined_in_buckets(members: DataFrame, idf, threshold: float) -> DataFrame:
     cut = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "uid", "comp", "sig", "text")
+    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "uid", "comp", "sig", "text", "df")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         n, band = len(pdf), int(pdf.band.iat[0])
         uid, own, texts = pdf.uid.to_numpy(), pdf.own.to_numpy(), pdf.text.to_list()
+        dfs = pdf.df.to_list()
         cross = pdf.i.iat[0] != pdf.j.iat[0]
         sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(n, SAMPLES)
         comp = pd.factorize(pdf.comp)[0]
@@ -254,8 +317,7 @@ def joined_in_buckets(members: DataFrame, idf, threshold: float) -> DataFrame:
 
         @lru_cache(None)
         def vector(row: int) -> tuple[np.ndarray, np.ndarray]:
-            s, tf, _ = shingles([texts[row]])
-            return s, weights(s, tf, idf.value)
+            return vector_of(texts[row], dfs[row], total)
 
         for _, p, q in both.tolist():
             r, t = root(comp[p]), root(comp[q])
@@ -278,8 +340,13 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "near-copies")
     docs = keyed(documents)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    rows = scratch.save(sketches(docs, idf).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    total = docs.count()
+    groups = scratch.save(grouped(docs), "groups")
+    counted = scratch.save(frequencies(groups), "counted")
+    free_shuffles(spark)  # nothing refers to those of the counts any more
+    rows = scratch.save(sketches(groups, counted, total).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    scratch.drop("groups")
+    scratch.drop("counted")
     texts = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc"), F.max("sig").alias("sig"))
     texts = scratch.save(texts.withColumn("uid", F.monotonically_increasing_id()), "texts")
 
@@ -293,17 +360,19 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     wanted = scratch.save(wanted, "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     own = (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("doc"))
-    bodies = scratch.save(docs.join(wanted, own).select("uid", "text").dropDuplicates(["uid"]), "bodies")
+    counts = scratch.save(rows.join(wanted, own).select("uid", "df").dropDuplicates(["uid"]), "frequencies")
+    bodies = docs.join(wanted, own).select("uid", "text").dropDuplicates(["uid"])
+    bodies = scratch.save(bodies.join(counts, "uid"), "bodies")
 
     pairs = members.where("uid <> rep").select(F.col("rep").alias("a"), F.col("uid").alias("b")).distinct()
-    links = scratch.save(verified(pairs, bodies, idf, threshold), "links")
+    links = scratch.save(verified(pairs, bodies, total, threshold), "links")
     found = components(scratch, links)
     classed = members.join(found, members["uid"] == found["node"], "left").select("key", "band", "uid", F.coalesce("component", "uid").alias("comp"))
     classed = scratch.save(classed, "classed")
     mixed = classed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = scratch.save(classed.join(mixed, "key"), "open")
     open_ = open_.join(texts.select("uid", "sig"), "uid").join(bodies, "uid")
-    more = scratch.save(joined_in_buckets(open_, idf, threshold), "more")
+    more = scratch.save(joined_in_buckets(open_, total, threshold), "more")
     if not more.isEmpty():
         found = components(Scratch(spark, "near-copies"), links.union(more))
 

@@ -205,6 +205,23 @@ def test_near_copies_against_brute_force(spark):
     assert near_copies.classes(docs.limit(0)).count() == 0
 
 
+def test_frequencies_are_those_of_single_shingles(spark, monkeypatch):
+    """So many shingles that many buckets of a table of 2^18 would hold several."""
+    monkeypatch.setattr(near_copies, "GROUP_CHARS", 100_000)
+    rng = np.random.default_rng(12)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 3000))) for _ in range(150)]
+    texts = [f"a common line of seven words {t if k % 2 else ''}" for k, t in enumerate(texts)] + [None, "", "one two"]
+    docs = near_copies.keyed(documents(spark, texts))
+    groups = common.Scratch(spark, "t").save(near_copies.grouped(docs), "groups")
+    rows = near_copies.sketches(groups, near_copies.frequencies(groups), len(texts)).collect()
+    each = {i: near_copies.shingles([t or ""])[0] for i, t in enumerate(texts)}
+    df = dict(zip(*(x.tolist() for x in np.unique(np.concatenate(list(each.values())), return_counts=True))))
+    assert len(rows) == len(texts) and max(df.values()) == 150
+    for r in rows:
+        assert np.frombuffer(r.df or b"", np.uint32).tolist() == [df[x] for x in each[r.doc_id].tolist()]
+        assert (r.sig is None) == (not len(each[r.doc_id]))
+
+
 # repeats
 
 
