@@ -9,8 +9,8 @@
 3. Copies of a text are one node. In each bucket all texts are paired with the bucket's first text; pairs are verified
    by the exact weighted Jaccard similarity of the whole texts. Only classes matter, so pairs inside a class that is
    already linked are not looked at again. Buckets that still hold several classes go whole to tasks, which verify
-   every pair of texts that nothing has joined yet. A pair is passed over only if it agrees in fewer than 40 of 64
-   samples, which a similarity of 0.8 does with probability 1e-4, and 0.85 with 1e-7.
+   every pair of texts that nothing has joined yet, those first that agree in the most samples. Pairs whose total
+   weights are too far apart to be similar need no comparison.
 
 Texts are compared in lower case, words are parted by white space; a text of one to four words is a single shingle.
 
@@ -36,7 +36,6 @@ from glyphmill.llm.common import Scratch, components, free_shuffles, small_batch
 WORDS, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 64, 16
 DF_BITS = 18
-AGREE = 40
 BLOCK, BATCH_CHARS, CACHE_WORDS = 700, 2_000_000, 300_000
 BROADCAST_ROWS = 200_000
 #: Characters of a group of documents, and shingles that are counted in a range of hashes.
@@ -289,15 +288,22 @@ def joined_in_buckets(members: DataFrame, total: int, threshold: float) -> DataF
         cross = pdf.i.iat[0] != pdf.j.iat[0]
         sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(n, SAMPLES)
         comp = pd.factorize(pdf.comp)[0]
+
+        @lru_cache(None)
+        def vector(row: int) -> tuple[np.ndarray, np.ndarray]:
+            return vector_of(texts[row], dfs[row], total)
+
+        sums = np.array([vector(k)[1].sum(dtype=np.float64) for k in range(n)])
         found = []
         for lo in range(0, n, 64):
             agree = np.zeros((len(uid[lo : lo + 64]), n), np.int16)
             for k in range(SAMPLES):
                 agree += sig[lo : lo + 64, k, None] == sig[None, :, k]
-            x, y = np.nonzero(agree >= AGREE)
+            x, y = np.nonzero((np.arange(lo, lo + len(agree))[:, None] < np.arange(n)) & (comp[lo : lo + 64, None] != comp))
             a = agree[x, y]
             x += lo
-            keep = (x < y) & (comp[x] != comp[y])
+            # the lesser total weight by the greater is a bound of the similarity
+            keep = np.minimum(sums[x], sums[y]) >= (threshold - 1e-6) * np.maximum(sums[x], sums[y])
             if cross:
                 keep &= own[x] != own[y]
             x, y, a = x[keep], y[keep], a[keep]
@@ -315,11 +321,7 @@ def joined_in_buckets(members: DataFrame, total: int, threshold: float) -> DataF
                 c = up[c]
             return c
 
-        @lru_cache(None)
-        def vector(row: int) -> tuple[np.ndarray, np.ndarray]:
-            return vector_of(texts[row], dfs[row], total)
-
-        for _, p, q in both.tolist():
+        for p, q in (pair for at in range(0, len(both), 20_000) for pair in both[at : at + 20_000, 1:].tolist()):
             r, t = root(comp[p]), root(comp[q])
             if r != t and similarity(vector(p), vector(q)) >= threshold:
                 up[r] = t

@@ -222,6 +222,19 @@ def test_frequencies_are_those_of_single_shingles(spark, monkeypatch):
         assert (r.sig is None) == (not len(each[r.doc_id]))
 
 
+def test_pairs_of_a_bucket_are_verified_whatever_their_samples(spark):
+    """Three pairs, similar by their weights, whose samples agree in one band alone, and one that isn't similar."""
+    words = [[f"w{t}x{k}" for k in range(200)] for t in range(4)]
+    texts = [(2 * t + k, " ".join([*w[: 200 if t < 3 else 100], *(f"e{k}x{i}" for i in range(5 if t < 3 else 100))])) for t, w in enumerate(words) for k in range(2)]
+    band, rows = np.full(4, 7, np.uint32), []
+    for uid, text in texts:
+        sig = np.concatenate([band, np.arange(60, dtype=np.uint32) + 100 * (uid + 1)])
+        rows.append((1, 0, uid, uid, sig.tobytes(), text, np.ones(len(near_copies.shingles([text])[0]), np.uint32).tobytes()))
+    members = spark.createDataFrame(rows, "key long, band int, uid long, comp long, sig binary, text string, df binary")
+    got = near_copies.joined_in_buckets(members, 100, 0.8).collect()
+    assert {(min(r), max(r)) for r in got} == {(0, 1), (2, 3), (4, 5)}
+
+
 # repeats
 
 
