@@ -37,7 +37,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_/+-]{16,})")
 #: Characters that a candidate is freed from at its ends, the fewest characters it has, and the window for the words before it.
 EDGES, LEAST, BEFORE = "\"'`.,;:!?()[]{}<>*#$%&=", 6, 48
-ROUNDS, TRUSTED, SUPPORT = 3, 0.7, 5
+TRUSTED, SUPPORT = 0.7, 5
 BROADCAST_ROWS = 200_000
 SPAN = "array<struct<from:int,to:int,kind:string,pattern:string,instance:string>>"
 
@@ -155,27 +155,31 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def trusted_patterns(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS, trusted: float = TRUSTED, support: int = SUPPORT) -> DataFrame:
+def trusted_patterns(found: DataFrame, scratch: Scratch, trusted: float = TRUSTED, support: int = SUPPORT) -> DataFrame:
     """Patterns of high confidence from found(kind, pattern, instance).
 
     The graph has an edge per distinct (pattern, instance), counted before it is shuffled again. In each round a pattern's
     confidence is the trust in its instances by their number, and an instance that is no seed is trusted as much as
-    its best pattern that has support.
+    its best pattern that has support. Confidences only rise; the rounds end when they have settled.
     """
     edges = found.where("pattern <> ''").groupBy("pattern", "instance").agg(F.max((F.col("kind") != "").cast("double")).alias("seed"))
     edges = scratch.save(edges, "edges")
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("trust"))
     scores = scratch.save(seeds, "trust0")
-    for i in range(1, rounds + 1):
+    i, before = 0, None
+    while True:
+        i += 1
         known = edges.join(scores, "instance").groupBy("pattern").agg(
             (F.sum("trust") / (F.count("*") + 1)).alias("confidence"), F.sum((F.col("trust") > 0.5).cast("long")).alias("support")
         )
         good = known.where((F.col("support") >= support) & (F.col("confidence") >= trusted))
         good = scratch.save(good, f"patterns{i}")
-        if i < rounds:
-            new = edges.join(good, "pattern", "left").groupBy("instance").agg(F.greatest(F.max("seed"), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("trust"))
-            scores = scratch.save(new, f"trust{i}")
-    return good.select("pattern")
+        now = good.agg(F.count("*"), F.round(F.sum("confidence"), 6)).first()
+        if now == before or not now[0]:
+            return good.select("pattern")
+        before = now
+        new = edges.join(good, "pattern", "left").groupBy("instance").agg(F.greatest(F.max("seed"), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("trust"))
+        scores = scratch.save(new, f"trust{i}")
 
 
 def further_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:

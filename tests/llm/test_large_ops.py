@@ -125,6 +125,14 @@ def test_credentials_without_digits(spark):
     assert [r.text for r in personal_data.redact(documents(spark, texts)).orderBy("doc_id").collect()] == ["password: <SECRET>", "password: <SECRET> 1", "nothing to see"]
 
 
+def test_trust_reaches_as_many_patterns_as_it_can(spark):
+    """Each of six patterns needs the one before it."""
+    rows = [("card", f"p{k}", f"seed{k}-{i}") for k in range(6) for i in range(36)]
+    rows += [("", f"p{k + d}", f"new{k}-{i}") for k in range(6) for d in (0, 1) for i in range(8) if k + d < 6]
+    found = spark.createDataFrame(rows, "kind string, pattern string, instance string")
+    assert {r.pattern for r in personal_data.trusted_patterns(found, common.Scratch(spark, "t")).collect()} == {f"p{k}" for k in range(6)}
+
+
 # language
 
 SYLLABLES = {"aa": ["ka", "ri", "to", "mu", "ne", "so"], "bb": ["sch", "ung", "ein", "ber", "keit", "ach"], "cc": ["eau", "oui", "ère", "tion", "ment", "que"]}
