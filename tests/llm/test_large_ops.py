@@ -49,6 +49,7 @@ def brute_links(rows, cosine):
     n, pairs = len(rows), []
     x = [np.asarray(v, float) if v is not None and all(e is not None for e in v) else np.zeros(0) for _, v, _ in rows]
     ok = [len(v) and np.isfinite(v).all() and v.any() and rows[i][2] is not None for i, v in enumerate(x)]
+    x = [v / np.abs(v).max() if k else v for v, k in zip(x, ok)]
     for i in range(n):
         for j in range(i):
             if ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(x[i]) == len(x[j]) and x[i] @ x[j] / (np.linalg.norm(x[i]) * np.linalg.norm(x[j])) >= cosine:
@@ -56,27 +57,91 @@ def brute_links(rows, cosine):
     return pairs
 
 
-@pytest.mark.parametrize("leaf", [2000, 12])
-def test_links_against_brute_force(spark, monkeypatch, leaf):
-    monkeypatch.setattr(cover_tree, "LEAF", leaf)
+def cloud(rng, n, d, spread, copies):
+    """Rows around centres, some scaled, some differing from others in the last place."""
+    x = rng.normal(size=(-(-n // copies), d))
+    x = np.repeat(x, copies, 0)[:n] + rng.normal(size=(n, d)) * spread
+    k = len(x) // 4
+    x[:k] = x[k : 2 * k] * rng.choice([0.5, 1.0, 3.0, 1e200], (k, 1))
+    x[0] = np.nextafter(x[-1], np.inf)
+    return x
+
+
+@pytest.mark.parametrize("spread", [0.0, 1e-9, 0.05, 0.2, 1.0])
+@pytest.mark.parametrize("d", [2, 8, 64])
+def test_traversal_against_brute_force(spread, d):
+    rng = np.random.default_rng(d)
+    for n, copies, cosine in ((1, 1, 0.93), (40, 4, 0.93), (700, 30, 0.93), (700, 350, 0.9), (300, 300, 0.999), (300, 10, -0.2)):
+        x, weight = cover_tree.unit(cloud(rng, n, d, spread, copies)), rng.integers(1, 4, n)
+        if np.abs(x @ x.T - cosine).min() < 1e-13:  # rounding decides there
+            continue
+        for cut in (None, n // 3):
+            hit = x @ x.T >= cosine
+            np.fill_diagonal(hit, False)
+            if cut is not None:
+                hit[:cut, :cut] = hit[cut:, cut:] = False
+            got = cover_tree.Traversal(x, weight, cosine, cut)
+            assert (got.total == hit @ weight).all(), (n, copies, cosine, cut)
+            pairs = [(int(p), int(q)) for e in got.forest.edges for p, q in zip(*e)]
+            assert len(pairs) < n and roots(n, pairs) == roots(n, list(zip(*(k.tolist() for k in np.nonzero(hit)))))
+
+
+def check_links(spark, rows):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit("clash"))
+    got = {r.vec_id: r for r in cover_tree.link(frame).collect()}
+    pairs = brute_links(rows, cover_tree.COSINE)
+    assert len(got) == len(rows)
+    comp = roots(len(rows), pairs)
+    n = [0] * len(rows)
+    for i, j in pairs:
+        n[i], n[j] = n[i] + 1, n[j] + 1
+    first = {}
+    for i, (vec, *_) in enumerate(rows):
+        first[comp[i]] = min(first.get(comp[i], vec), vec)
+    for i, (vec, *_) in enumerate(rows):
+        assert (got[vec].n_links, got[vec].component_id, got[vec].kept) == (n[i], first[comp[i]], vec == first[comp[i]]), vec
+    return pairs, frame
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_links_against_brute_force(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(cover_tree, "LEAF_NUMBERS", 1)
+        monkeypatch.setattr(cover_tree, "LEAST_ROWS", 12)
+        monkeypatch.setattr(cover_tree, "SALT_ROWS", 30)
     rng, rows = np.random.default_rng(2), []
     for c in range(12):
         centre = rng.normal(size=6)
-        rows += [(len(rows) + k, [float(e) for e in np.float32(centre + rng.normal(size=6) * 0.18)], c % 2) for k in range(8)]
+        rows += [(len(rows) + k, [float(e) for e in centre + rng.normal(size=6) * 0.18], c % 2) for k in range(8)]
     rows += [(100 + k, rows[3][1], rows[3][2]) for k in range(5)]
     odd = [None, [], [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf")] + [1.0] * 5, rows[3][1][:5]]
-    rows += [(200 + k, v, 1) for k, v in enumerate(odd)] + [(300, rows[3][1], None), (301, [3e38] * 6, 0), (302, [3e38] * 6, 0)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("clash"))
-    got = {r.vec_id: r for r in cover_tree.link(frame).collect()}
-    pairs = brute_links(rows, cover_tree.COSINE)
-    assert len(pairs) > 100 and len(got) == len(rows)
-    comp = roots(len(rows), pairs)
-    for i, (vec, *_) in enumerate(rows):
-        first = min(rows[k][0] for k in range(len(rows)) if comp[k] == comp[i])
-        assert (got[vec].n_links, got[vec].component_id, got[vec].kept) == (sum(i in p for p in pairs), first, vec == first), vec
+    rows += [(200 + k, v, 1) for k, v in enumerate(odd)] + [(300, rows[3][1], None), (301, [3e38] * 6, 0), (302, [3e38] * 6, 0), (303, [3e300] * 6, 0)]
+    rows += [(310, [1.0, 2.0, 3.0, 0.0, 0.0, 0.0], 2), (311, [2.0, 4.0, 6.0, 0.0, 0.0, 0.0], 2), (312, [1.0, 2.0, 3.0, -0.0, 0.0, 0.0], 2)]
+    pairs, frame = check_links(spark, rows)
+    assert len(pairs) > 100
     assert cover_tree.link(frame.limit(0)).count() == 0
 
 
+def test_links_of_dense_groups(spark, monkeypatch):
+    """Nodes are split far below the distance of their vectors, which differ in the last place, and hold many links."""
+    monkeypatch.setattr(cover_tree, "LEAF_NUMBERS", 1)
+    monkeypatch.setattr(cover_tree, "LEAST_ROWS", 20)
+    monkeypatch.setattr(cover_tree, "FAN", 4)
+    rng, rows = np.random.default_rng(5), []
+    spot = rng.normal(size=5)
+    spot /= np.linalg.norm(spot)
+    side = rng.normal(size=5)
+    side -= side @ spot * spot
+    side /= np.linalg.norm(side)
+    at = lambda cos: cos * spot + np.sqrt(1 - cos * cos) * side
+    for k in range(90):
+        rows.append((k, [float(e) for e in np.nextafter(spot, spot + rng.normal(size=5))], 1))
+        rows.append((1000 + k, [float(e) for e in at(0.9300001 if k % 3 else 0.9299999) * (1 + k)], 1))
+        rows.append((2000 + k, [float(e) for e in rng.normal(size=5)], 1))
+    pairs, _ = check_links(spark, rows)
+    assert len(pairs) > 9000
+
+
 # personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
