@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmill.sources.scratch import Scratch
+
 CORPUS = "row_id long, sentence string, target string, polarity string"
 VOCABULARY = "vocab_id int, vocab string, score double"
 WINDOWS = "row_id long, pos int, y int, indices array<int>, values array<float>"
@@ -33,19 +37,23 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where("sentence IS NOT NULL").join(labels, "row_id", "left").select("row_id", "sentence", "target", "polarity")
 
 
-def with_row_ids(rows: DataFrame, order: str, name: str = "row_id") -> DataFrame:
-    """Dense keys 1..N in the order of a column.
+def with_row_ids(rows: DataFrame, order: str, name: str = "row_id", scratch: Scratch | None = None) -> DataFrame:
+    """Dense keys 1..N in the order of a column; ties by the hash of the whole row, and equal rows in any order.
 
-    Sorted ranges are numbered by themselves; only a count per range goes through one task.
+    Rows are sorted in ranges and stored with their place in their range, as a range exchange that is planned again may
+    draw other bounds. They are shuffled once; only a count per range goes through one task.
     """
     spark = rows.sparkSession
+    scratch = scratch or Scratch(spark, "row-ids")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))
+    ranged = rows.withColumn("_tie", tie).repartitionByRange(n, order, "_tie").sortWithinPartitions(order, "_tie").drop("_tie")
+    # a partition's rows are numbered in its upper bits and from 0 in the lower 33
+    stored = scratch.save(ranged.withColumn("_at", F.monotonically_increasing_id()), f"ranged-{uuid.uuid4().hex}")
+    stored = stored.withColumns({"_part": F.shiftright("_at", 33), "_k": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return numbered.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_k")).cast("long")).drop("_part", "_n", "_start", "_k")
+    starts = stored.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return stored.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_k") + 1).cast("long")).drop("_part", "_start", "_k", "_at")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -67,8 +75,13 @@ def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -
 
 
 def decimals(x: Column, digits: int = 4) -> Column:
-    """Fixed decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+    """Fixed decimals of the number exactly as it is stored, ties to even, as C's printf has them. For up to 2^53 / 10^digits."""
+    scale = F.lit(10.0**digits)
+    p = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the bits, so that both products are exact
+    rest = (high * scale - p) + (x - high) * scale
+    n = F.when((p - F.floor(p)) != 0.5, F.rint(p)).when(rest > 0, F.ceil(p)).when(rest < 0, F.floor(p)).otherwise(F.rint(p))
+    return F.format_string(f"%.{digits}f", n.cast("double") / scale)
 
 
 def key_values(row: DataFrame) -> DataFrame:

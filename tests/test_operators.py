@@ -46,6 +46,40 @@ def test_dense_row_ids(spark):
     assert [r.row_id for r in got] == list(range(1, 101))
 
 
+def test_dense_row_ids_of_many_rows_with_text(spark, tmp_path):
+    """Beyond the size of a range sample, with nulls, ties and repeated rows; read from a stored result."""
+    rows = spark.range(400_000).select((F.col("id") * 7919 % 100_003).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    rows = rows.union(spark.createDataFrame([(None, "a"), (5, None), (5, None)], "k long, text string"))
+    catalog.with_row_ids(rows, "k").write.parquet(f"{tmp_path}/rows")
+    got = spark.read.parquet(f"{tmp_path}/rows")
+    assert got.columns == ["k", "text", "row_id"]
+    assert got.agg(F.count("*"), F.countDistinct("row_id"), F.min("row_id"), F.max("row_id")).first()[:] == (400_003, 400_003, 1, 400_003)
+    wrong = got.alias("a").join(got.alias("b"), F.col("b.row_id") == F.col("a.row_id") + 1).where("a.k > b.k OR b.k IS NULL")
+    assert wrong.count() == 0
+    assert catalog.with_row_ids(rows.limit(0), "k").count() == 0
+
+
+def test_decimals_are_those_of_printf(spark):
+    numbers = [0.00125, 0.03125, 0.09375, 1.00005, 0.00005, 0.28125, -0.03125, -1.00005, 2.5, 1e9 + 0.00005, 0.0, 0.99995, 123456.78905]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").select("i", catalog.decimals(F.col("x")).alias("s")).orderBy("i")
+    assert [r.s for r in got.collect()] == ["%.4f" % x for x in numbers]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from glyphmill.sources import scratch
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": staticmethod(lambda key, default: default)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Session())
+    Context.master = "local[4]"
+    assert scratch.shared_folder(Session()).startswith("file://")
+
+
 def test_reports_round_trip(spark, tmp_path):
     row = spark.createDataFrame([(1, 0.5, True)], "a int, b double, c boolean")
     assert [(r.key, r.value) for r in catalog.key_values(reduce.formatted(row)).orderBy("at").collect()] == [("a", "1"), ("b", "0.5000"), ("c", "true")]
