@@ -2,51 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.sources.scratch import Scratch, free_shuffles
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/glyphmill-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go when the driver collects its garbage, which it may not do for long by itself."""
-    gc.collect()
-    spark._jvm.System.gc()
+__all__ = ["Scratch", "components", "free_shuffles", "shuffle_partitions", "small_batches", "table"]
 
 
-class Scratch:
-    """Tables of one run in the shared folder: they cut lineage and survive a lost executor.
-
-    Rows are written as Parquet and read again. ``drop`` removes a table as soon as nothing reads it any more.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        free_shuffles(self.spark)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
