@@ -9,7 +9,9 @@ strings are escaped, and ``unescape`` undoes it exactly.
 
 Rows: a null text or role is empty; a null thread is a thread of its own; a parent that is not there makes a root;
 messages on or below a cycle have no root and give no path; equal scores go to the longer path, then the smaller leaf
-id. ``linear`` orders equal turns by role and text. Other columns are not read. An empty table gives an empty table.
+id. Several rows of one (thread, id) are one message, the least by parent, score, role and text. ``linear`` orders equal
+turns by role and text, and equal rows are messages each. Other columns are not read. An empty table gives an empty
+table. A path is one row of the result, so the longest conversation has to fit a task.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch
+from glyphmill.sources.catalog import with_row_ids
 
 #: (text, escaped); the backslash is first when escaping and last when undoing it
 ESCAPES = [("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t")]
@@ -41,10 +44,25 @@ def unescape(text: Column, pairs: list[tuple[str, str]] = ESCAPES) -> Column:
 
 
 def linear(rows: DataFrame) -> DataFrame:
-    """Messages from (conv_id, turn, role, text): each replies to the row before it."""
+    """Messages from (conv_id, turn, role, text): each replies to the row before it.
+
+    Ids run through the whole sorted table, so that no thread's rows have to meet in one task.
+    """
     rows = rows.select(F.col("conv_id").alias("thread"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("id", F.row_number().over(Window.partitionBy("thread").orderBy("turn", "role", "text")).cast("long"))
-    return rows.select("thread", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    rows = with_row_ids(rows.withColumn("order", F.struct("thread", "turn", "role", "text")), "order", "id").drop("order")
+    firsts = rows.groupBy(F.col("thread").alias("t")).agg(F.min("id").alias("first"))
+    rows = rows.join(firsts, F.col("thread").eqNullSafe(F.col("t")))
+    return rows.select("thread", "id", F.when(F.col("id") > F.col("first"), F.col("id") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+
+
+def once(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """One message of each (key, id): of unlike ones the least by parent, score, role and text."""
+    many = scratch.save(nodes.groupBy("key", "id").count().where("count > 1").select("key", "id"), "repeated")
+    if many.isEmpty():
+        return nodes
+    rest = ("parent", "score", "role", "text")
+    single = nodes.groupBy("key", "id").agg(F.first("thread").alias("thread"), F.min(F.struct(*rest)).alias("m"))
+    return scratch.save(single.select("key", "thread", "id", *(f"m.{c}" for c in rest)), "once")
 
 
 def best_paths(messages: DataFrame, top: int = 1, scratch: Scratch | None = None) -> DataFrame:
@@ -53,6 +71,7 @@ def best_paths(messages: DataFrame, top: int = 1, scratch: Scratch | None = None
     # a null thread gets a key that no other one has
     key = F.coalesce(F.concat(F.lit("t"), F.col("thread").cast("string")), F.lit("null")).alias("key")
     nodes = scratch.save(messages.select(key, "thread", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "nodes")
+    nodes = once(nodes, scratch)
     ids = nodes.select("key", F.col("id").alias("parent"), F.lit(True).alias("there"))
     # only ids and sums travel from here on
     step = nodes.select("key", "id", "parent", "score").join(ids, ["key", "parent"], "left")

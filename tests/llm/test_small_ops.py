@@ -192,6 +192,23 @@ def judged(url, rules, default="allow"):
     return host, path, best and best[0] + best[1], best[2] if best else default
 
 
+def test_repeated_messages_count_once(spark):
+    rows = [("t", k, k - 1 if k else None, 1.0, "user", f"m{k}") for k in range(8)]
+    frame = spark.createDataFrame(rows * 3 + [("t", 7, 6, 1.0, "user", "later text")], "thread string, id long, parent long, score double, role string, text string")
+    got = chat.best_paths(frame).orderBy("pos").collect()
+    assert [r.text for r in got] == ["m0", *(f"m{k}" for k in range(1, 7)), "later text"]
+
+
+def test_linear_ids_follow_the_turns(spark):
+    rows = [(c, t, "user", f"{c} {t}") for c in (3, None, 1) for t in (2, 0, 1)] + [(1, 2, "assistant", "a"), (1, 2, "assistant", "a")]
+    got = chat.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for conv in (3, None, 1):
+        mine = sorted((r for r in got if r.thread == conv), key=lambda r: r.id)
+        assert [r.parent for r in mine] == [None, *(r.id for r in mine[:-1])]
+        assert [r.text for r in mine] == [f"{conv} 0", f"{conv} 1", *(["a", "a"] if conv == 1 else []), f"{conv} 2"]
+    assert len({r.id for r in got}) == len(got)
+
+
 def test_url_rules_against_brute_force(spark):
     rng = np.random.default_rng(0)
     labels, rules = ["com", "net", "a", "b", "example", "x-y"], []
@@ -255,6 +272,8 @@ def test_clashing_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(digests, "wide_hash", lambda text: [(F.length(text) * 0).cast("long").alias("h1"), F.lit(7).cast("long").alias("h2")])
     got = {r.doc_id: r for r in digests.fingerprints(documents(spark, ["abc", "ABC", "other"])).collect()}
     assert got[0].fingerprint == got[1].fingerprint != got[2].fingerprint
+    for some in (TEXTS, ["one two three", "four five six", "seven eight nine", "x", "X"]):
+        check_digests({r.doc_id: r for r in digests.fingerprints(documents(spark, some)).collect()}, sorted(enumerate(some), reverse=True))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
