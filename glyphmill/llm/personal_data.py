@@ -1,7 +1,8 @@
 """Personal data: base entities by pattern, further identifiers by bootstrapped contextual extraction.
 
-1. ``Scanner`` finds the base entities (email, ip, card, phone), credentials after a telling word, and candidates: other
-   tokens with digits. Each comes with its lexical pattern: the words before it.
+1. ``scan`` finds the base entities (email, ip, card, phone), credentials after a telling word, and candidates: other
+   tokens with digits, of any length, where those with one space between them are one (an identifier without a digit is
+   none). Each comes with its lexical pattern: the two words before it.
 2. Base entities and credentials are the seeds. Spark scores the graph of patterns and instances round by round: a
    pattern is as good as the share of its distinct instances that are trusted, an instance as good as the patterns it
    is found in.
@@ -35,8 +36,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_/+-]{16,})")
-#: Characters that a candidate is freed from at its ends, the fewest characters it has, and the window for the words before it.
-EDGES, LEAST, BEFORE = "\"'`.,;:!?()[]{}<>*#$%&=", 6, 48
+SPACE = re.compile(r"\s")
+#: Characters that a candidate is freed from at its ends.
+EDGES = "\"'`.,;:!?()[]{}<>*#$%&="
 TRUSTED, SUPPORT = 0.7, 5
 BROADCAST_ROWS = 200_000
 SPAN = "array<struct<from:int,to:int,kind:string,pattern:string,instance:string>>"
@@ -85,46 +87,69 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def short(text: str) -> str:
+    """The text, or its hash where it is long: a name for it."""
+    return text if len(text) <= 64 else hashlib.md5(text.encode("utf-8", "replace")).hexdigest()
+
+
 def pattern_before(text: str, start: int) -> str:
     """The two words before, lower-cased, with digits made alike."""
-    words = re.sub(r"[0-9]", "0", text[max(0, start - BEFORE) : start].lower()).split()
-    return " ".join(words[-2:])[-40:]
+    reach = 32
+    while True:
+        before = text[max(0, start - reach) : start]
+        words = before.rsplit(None, 2)
+        if reach >= start or len(words) == 3:
+            break
+        reach *= 4
+    return short(" ".join(DIGIT.sub("0", " ".join(words[-2:]).lower()).split()))
 
 
-def instance(text: str) -> str:
-    return text.lower() if len(text) <= 64 else hashlib.md5(text.lower().encode("utf-8", "replace")).hexdigest()
+def tokens_with_digits(text: str) -> Iterator[tuple[int, int]]:
+    """White-space tokens that hold a digit, without the characters EDGES at their ends."""
+    done = 0
+    for m in DIGIT.finditer(text):
+        if m.start() < done:
+            continue
+        before = text[done : m.start()]
+        a = m.start() - (0 if not before or before[-1].isspace() else len(before.rsplit(None, 1)[-1]))
+        end = SPACE.search(text, m.end())
+        b = done = end.start() if end else len(text)
+        word = text[a:b]
+        yield a + len(word) - len(word.lstrip(EDGES)), b - len(word) + len(word.rstrip(EDGES))
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and further ones: credentials ("secret") and candidates (""), which overlap no other."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    more: list[tuple[str, int, int]] = []
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
-
-    for m in SECRET.finditer(text):
-        if free(*m.span(1)):
-            more.append(("secret", *m.span(1)))
-    taken += [(a, b) for _, a, b in more]
-    done = 0
-    for m in DIGIT.finditer(text):
-        a = m.start()
-        if a < done:
-            continue
-        b = m.end()
-        while a > done and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        done = b
-        word = text[a:b]
-        a += len(word) - len(word.lstrip(EDGES))
-        b -= len(word) - len(word.rstrip(EDGES))
-        if b - a >= LEAST and free(a, b):
-            more.append(("", a, b))
-    return base, more
+    def union(spans: list[tuple[int, int]]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for a, b in sorted(spans):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return out
+
+    def free(spans: Iterator[tuple[int, int]], taken: list[list[int]]) -> Iterator[tuple[int, int]]:
+        """Of spans in order those that touch nothing in ``taken``."""
+        k = 0
+        for a, b in spans:
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if k == len(taken) or b <= taken[k][0]:
+                yield a, b
+
+    taken = union([(a, b) for _, a, b in base])
+    secrets = list(free((m.span(1) for m in SECRET.finditer(text)), taken))
+    runs: list[list[int]] = []
+    for a, b in free(tokens_with_digits(text), union([*map(tuple, taken), *secrets])):
+        # groups with one space between them are one identifier
+        if runs and a == runs[-1][1] + 1 and text[a - 1] == " " and text[a - 2].isalnum() and text[a].isalnum():
+            runs[-1][1] = b
+        else:
+            runs.append([a, b])
+    return base, [*(("secret", a, b) for a, b in secrets), *(("", a, b) for a, b in runs)]
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
@@ -147,7 +172,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 base, more = scan(text)
                 line = listed(base)
                 n = [sum(k == s[0] for s in base) for k in KINDS]
-                found = [{"from": a, "to": b, "kind": k, "pattern": pattern_before(text, a), "instance": instance(text[a:b])} for k, a, b in [*base, *more]]
+                found = [{"from": a, "to": b, "kind": k, "pattern": pattern_before(text, a), "instance": short(text[a:b].lower())} for k, a, b in [*base, *more]]
                 rows.append((doc, key, *n, hashlib.sha256(line.encode()).hexdigest(), line, found))
             cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in schema.split(", ", 8)])
@@ -163,7 +188,7 @@ def trusted_patterns(found: DataFrame, scratch: Scratch, trusted: float = TRUSTE
     its best pattern that has support. Confidences only rise; the rounds end when they have settled.
     """
     edges = found.where("pattern <> ''").groupBy("pattern", "instance").agg(F.max((F.col("kind") != "").cast("double")).alias("seed"))
-    edges = scratch.save(edges, "edges")
+    edges = scratch.save(edges, "edges")  # one row a pair: a text in a third of all documents weighs no more than others
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("trust"))
     scores = scratch.save(seeds, "trust0")
     i, before = 0, None
@@ -178,7 +203,7 @@ def trusted_patterns(found: DataFrame, scratch: Scratch, trusted: float = TRUSTE
         if now == before or not now[0]:
             return good.select("pattern")
         before = now
-        new = edges.join(good, "pattern", "left").groupBy("instance").agg(F.greatest(F.max("seed"), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("trust"))
+        new = edges.join(F.broadcast(good) if now[0] <= BROADCAST_ROWS else good, "pattern", "left").groupBy("instance").agg(F.greatest(F.max("seed"), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("trust"))
         scores = scratch.save(new, f"trust{i}")
 
 

@@ -198,6 +198,73 @@ def test_trust_reaches_as_many_patterns_as_it_can(spark):
     assert {r.pattern for r in personal_data.trusted_patterns(found, common.Scratch(spark, "t")).collect()} == {f"p{k}" for k in range(6)}
 
 
+def plain_trust(rows):
+    """Trusted patterns of (kind, pattern, instance) by loops over sets."""
+    edges = {(p, x) for _, p, x in rows if p}
+    trust = {x: 0.0 for _, x in edges} | {x: 1.0 for k, p, x in rows if k and p}
+    seeds, before = dict(trust), None
+    while True:
+        good = {}
+        for p in {p for p, _ in edges}:
+            own = [trust[x] for q, x in edges if q == p]
+            confidence = sum(own) / (len(own) + 1)
+            if sum(t > 0.5 for t in own) >= personal_data.SUPPORT and confidence >= personal_data.TRUSTED:
+                good[p] = confidence
+        if good == before or not good:
+            return set(good)
+        before, trust = good, {x: max([seeds[x], *(c for p, c in good.items() if (p, x) in edges)]) for x in trust}
+
+
+def test_trusted_patterns_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    for share in (0.6, 0.75, 0.9):
+        rows = [("card" if rng.random() < share else "", f"p{rng.integers(12) if k % 3 else 0}", f"x{rng.integers(90)}") for k in range(500)] + [("card", "", "x1")]
+        found = spark.createDataFrame(rows, "kind string, pattern string, instance string")
+        assert {r.pattern for r in personal_data.trusted_patterns(found, common.Scratch(spark, "t")).collect()} == plain_trust(rows)
+
+
+def plain_words(text):
+    """Candidates by splitting: runs of words with digits."""
+    out, at = [], 0
+    for word in re.split(r"(\s)", text):
+        a, b = at, at + len(word)
+        at = b
+        if any(c in "0123456789" for c in word):
+            a, b = a + len(word) - len(word.lstrip(personal_data.EDGES)), b - len(word) + len(word.rstrip(personal_data.EDGES))
+            if out and out[-1][1] + 1 == a and text[a - 1] == " " and text[out[-1][1] - 1].isalnum() and text[a].isalnum():
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab 12,.\n\t\u00a0", max_size=50))
+def test_candidates_are_runs_of_words_with_digits(text):
+    base, more = personal_data.scan(text)
+    if not base:
+        assert [(a, b) for k, a, b in more if not k] == plain_words(text)
+        for k, a, b in more:
+            assert personal_data.pattern_before(text, a) == " ".join(re.sub("[0-9]", "0", text[:a].lower()).split()[-2:])
+
+
+def test_identifiers_in_groups(spark):
+    texts = [f"please charge card +1 743 555 38{k} today" for k in range(20, 40)]
+    texts += [f"please charge card {x} now" for x in ("4012 8888 8888 1882", "DE89 3704 0044 0532 0130 00", "555 123 4567", "7A9")] + ["on page 12 of 30", None]
+    got = [r.spans for r in personal_data.find(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got[20:] == ["id:19:38", "id:19:46", "id:19:31", "id:19:22", "", ""]
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = "1.2.3.4 x9 " * 200_000 + "y" * 1_000_000 + " 7 7,7"
+    began = time.process_time()
+    base, more = personal_data.scan(text)
+    assert len(base) == 200_000 and len(more) == 200_001
+    assert len(personal_data.pattern_before(text, more[-1][1] - 1)) == 32 and time.process_time() - began < 20
+
+
 # language
 
 SYLLABLES = {"aa": ["ka", "ri", "to", "mu", "ne", "so"], "bb": ["sch", "ung", "ein", "ber", "keit", "ach"], "cc": ["eau", "oui", "ère", "tion", "ment", "que"]}
