@@ -228,6 +228,22 @@ def test_url_rules_against_brute_force(spark):
     assert url_rules.judge_urls(twice, url_rules.rule_table(spark)).count() == 8
 
 
+def test_many_path_rules_on_a_host_and_its_subdomains(spark):
+    rng = np.random.default_rng(1)
+    path = lambda n: "".join(f"/{rng.choice(list('abcé'))}" for _ in range(n))
+    rules = {("host.com", path(rng.integers(0, 9))): "block" for _ in range(3000)} | {(f"s{k}.host.com", path(rng.integers(0, 4))): "allow" for k in range(400) for _ in range(3)}
+    rules = [(h, p, v) for (h, p), v in rules.items()] + [("host.com", "/a", "block"), ("host.com", "/a", "allow"), ("HOST.com", "/\U0010ffff", "block")]
+    rules = list({r[:2]: r for r in sorted((h.lower(), p, v) for h, p, v in rules)}.values())
+    urls = [f"http://{rng.choice(['', 'x.', f's{rng.integers(500)}.', f'y.s{rng.integers(500)}.'])}host.com{path(rng.integers(0, 12))}" for _ in range(1500)] + ["http://host.com/\U0010ffff\U0010ffff"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_rules.judge_urls(pages, url_rules.rule_table(spark, rules), ranges=7).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == judged(urls[r.page_id], rules), urls[r.page_id]
+    named = url_rules.path_events(url_rules.rule_table(spark, rules)).count()
+    assert named == 2 * len(rules) and url_rules.host_events(url_rules.rule_table(spark, rules).select("host").distinct()).agg(F.max(F.size("state"))).first()[0] == 2
+
+
 # digests
 
 
