@@ -2,118 +2,106 @@
 
 Each source is cut into blocks of about equal volume. A source of weight w gets a release time floor(i / w) and a
 deadline ceil((i + 1) / w) for its block i, and earliest deadline first fills one slot after another: at any time a
-source has had its share to within less than one block. Weights are taken as exact fractions and never rounded to slots,
-so that holds over the whole run; the schedule has a row for each block, 600,000 of them at 30 GB. When a source runs
-out, the weights of the others are scaled up and the schedule starts anew from there, so every document keeps a place.
-
-A source with a third of all rows is summed up in many salted chunks.
-
-Rows: a null or empty text has no volume and goes with the block it falls in; a null source is a source of its own;
-repeated rows each have a place; ``mix`` keeps all columns in a struct ``row``, so names can't clash. An empty table
-mixes to an empty table. Weights given for sources that have no rows are left out; sources without a given weight, and
-weights of zero or less, are an error.
+source has had its share of blocks to within less than one block. Weights are taken as exact fractions and never rounded
+to slots, so that holds over the whole run. When a source runs out, the weights of the others are scaled up and the
+schedule starts anew from there, so every document keeps a place.
+
+The schedule has a row for each block (600,000 at 30 GB and 50,000 characters a block; larger corpora take larger
+blocks). The driver makes it in stretches of STRETCH rows, which are stored and joined to the documents by (source,
+block); it holds a row per source and one stretch. A source with a third of all rows is summed up in many salted chunks.
+
+Rows: a null or empty text has no volume and goes with the block it falls in; a text is never cut, it goes whole with the
+block that it begins in, so where texts are longer than blocks the volume (not the number of blocks) is off the target by
+as much; a null source is a source of its own; repeated rows each have a place; ``mix`` keeps all columns in a struct
+``row``, so names can't clash. An empty table mixes to an empty table. Weights given for sources that have no rows are
+left out; sources without a given weight, and weights of zero or less, are an error.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch
 
-#: Schedule rows of about 50 bytes that may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows of the schedule that are made at a time; documents of a chunk, whose volumes are summed up together.
+STRETCH, CHUNK_ROWS = 200_000, 20_000
 #: Deadlines of sources with next to no weight end here, within a long.
 FAR = 1 << 62
+SCHEDULE = "s_source string, s_block long, slot long, release long, deadline long"
 
 
-def quotas(weights: dict, period: int) -> dict:
-    """Whole slots a period, at least one each, by largest remainder."""
-    total = math.fsum(weights.values())
-    share = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    q = {s: 1 + int(x) for s, x in share.items()}
-    for s in sorted(share, key=lambda s: (int(share[s]) - share[s], str(s)))[: period - sum(q.values())]:
-        q[s] += 1
-    return q
-
-
-def exact(weights: dict, left: dict) -> tuple[dict, int]:
-    """Slots of each source in a period in which no source runs through its quota, in exactly the weights' proportion."""
-    shares = {s: Fraction(w) for s, w in weights.items()}
-    whole = math.lcm(*(x.denominator for x in shares.values())) * (max(left.values()) + 1)
-    q = {s: int(x * whole) for s, x in shares.items()}
+def shares(weights: dict) -> tuple[dict, int]:
+    """The weights as whole numbers in exactly their proportion, and their sum."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    whole = math.lcm(*(x.denominator for x in exact.values())) if exact else 1
+    q = {s: int(x * whole) for s, x in exact.items()}
     return q, sum(q.values())
 
 
-def edf(q: dict, period: int, left: dict | None = None) -> list[tuple]:
-    """(source, block, slot, release, deadline) of one period; it ends early when a source has no block left."""
-    done, out, left = dict.fromkeys(q, 0), [], left or {}
+def earliest_deadline(q: dict, left: dict) -> Iterator[tuple]:
+    """(source, block, slot, release, deadline) by the weights ``q``, up to the end of the first source of ``left`` that
+    runs out; slots and blocks are counted from 0."""
+    total, done = sum(q.values()), dict.fromkeys(q, 0)
     order = {s: i for i, s in enumerate(sorted(q, key=lambda s: (str(s), s is None)))}
     waiting, ready = [(0, i, s) for s, i in order.items()], []  # by release; by deadline
     heapq.heapify(waiting)
-    for slot in range(period):
+    for slot in itertools.count():
         while waiting and waiting[0][0] <= slot:
             release, i, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(done[s] + 1) * period // q[s]), i, s, release))
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // q[s]), i, s, release))
         deadline, i, s, release = heapq.heappop(ready)
-        out.append((s, done[s], slot, release, min(deadline, FAR)))
+        yield s, done[s], slot, release, deadline
         done[s] += 1
-        if done[s] == left.get(s):
-            break
-        if done[s] < q[s]:
-            heapq.heappush(waiting, (done[s] * period // q[s], i, s))
-    return out
+        if done[s] == left[s]:
+            return
+        heapq.heappush(waiting, (done[s] * total // q[s], i, s))
 
 
-def schedule(blocks: dict, weights: dict, period: int | None = None) -> tuple[list[tuple], list[tuple]]:
-    """Phases (phase, source, first block, last block + 1, quota, first slot) and slots (phase, source, i, slot, release,
-    deadline) of block i within a period. There are at most two phases for each source. With a ``period`` the weights are
-    rounded to its slots."""
-    phases, slots, base, k = [], [], 0, 0
-    left, done = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
+def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block, slot, release, deadline) of every block, slot by slot."""
+    left, done, base = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0
     while left:
-        live = {s: weights[s] for s in left}
-        q, slots_each = exact(live, left) if period is None else (quotas(live, period), period)
-        full = min(n // q[s] for s, n in left.items())
-        for times, one in ((full, edf(q, slots_each) if full else []), (1, None)):
-            if one is None:  # up to the end of the first source that runs out
-                if not all(left.values()):
-                    break
-                one = edf(q, slots_each, left)
-            if not times:
-                continue
-            used: dict = {}
-            for s, i, slot, release, deadline in one:
-                slots.append((k, s, i, slot, release, deadline))
-                used[s] = used.get(s, 0) + 1
-            for s, n in used.items():
-                phases.append((k, s, done[s], done[s] + times * n, n, base))
-                done[s] += times * n
-                left[s] -= times * n
-            base += times * len(one)
-            k += 1
-        left = {s: n for s, n in left.items() if n}
-    return phases, slots
-
-
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_chars: int = 50_000, period: int | None = None) -> DataFrame:
+        first, slots = dict(done), 0
+        for s, i, slot, release, deadline in earliest_deadline(shares({s: weights[s] for s in left})[0], left):
+            yield s, first[s] + i, base + slot, base + release, min(base + deadline, FAR)
+            done[s] += 1
+            slots += 1
+        left = {s: blocks[s] - done[s] for s in left if blocks[s] > done[s]}
+        base += slots
+
+
+def stored_schedule(scratch: Scratch, blocks: dict, weights: dict) -> DataFrame:
+    """The schedule as a table SCHEDULE."""
+    rows, spark = schedule(blocks, weights), scratch.spark
+    kinds = pa.schema([("s_source", pa.string()), *((c, pa.int64()) for c in ("s_block", "slot", "release", "deadline"))])
+    for k in itertools.count():
+        some = list(itertools.islice(rows, STRETCH))
+        if not some and k:
+            break
+        arrays = [pa.array(c, f.type) for c, f in zip(zip(*some), kinds)] if some else [pa.array([], f.type) for f in kinds]
+        scratch.save(spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds)).to(spark.createDataFrame([], SCHEDULE).schema), f"schedule/{k}")
+    return spark.read.schema(SCHEDULE).parquet(f"{scratch.root}/schedule/*")
+
+
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_chars: int = 50_000) -> DataFrame:
     """``docs`` as ``row`` with source, block, slot, release, deadline and start: sort by (slot, start) to read the mixture.
 
-    weights: target share by source; else the volumes to the power ``temperature``. release and deadline count slots
-    from the start of the schedule's present round. ``period`` is for a schedule that repeats: it rounds the weights.
+    weights: target share by source; else the volumes to the power ``temperature``.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+    scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.withColumns({"source": F.col("row.source").cast("string"), "chars": F.length(F.coalesce("row.text", F.lit(""))).cast("long")})
     rows = rows.withColumn("hash", F.xxhash64("row.doc_id", "source", "row.text"))
     # chunks come from the documents alone, and their number from the corpus's size
-    total = docs.count()
-    chunks = max(64, total // 50_000)
+    chunks = max(64, docs.count() // CHUNK_ROWS)
     rows = rows.withColumn("chunk", F.pmod(F.col("hash"), F.lit(chunks)))
     sums = scratch.save(rows.groupBy("source", "chunk").agg(F.sum("chars").alias("volume")), "chunks")
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,13 +116,6 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
         weights = {s: max(1, v) ** temperature for s, v in volumes.items()}
     if wrong := [s for s in volumes if not weights.get(s, 0) > 0]:
         raise ValueError(f"sources without a positive weight: {wrong[:5]}")
-    period = period and max(period, 16 * len(volumes))
-    phases, slots = schedule({s: v // block_chars + 1 for s, v in volumes.items()}, weights, period)
-    a = spark.createDataFrame(phases, "phase int, p_source string, first long, last long, quota long, base long")
-    b = spark.createDataFrame(slots, "s_phase int, s_source string, i long, slot long, release long, deadline long")
-    small = F.broadcast if max(len(phases), len(slots)) <= BROADCAST_ROWS else lambda df: df
-    rows = rows.drop("first").join(small(a), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last")))
-    i = (F.col("block") - F.col("first")) % F.col("quota")
-    rows = rows.withColumns({"want": i, "turn": F.floor((F.col("block") - F.col("first")) / F.col("quota"))})
-    rows = rows.join(small(b), (F.col("phase") == F.col("s_phase")) & F.col("source").eqNullSafe(F.col("s_source")) & (F.col("want") == F.col("i")))
-    return rows.select("row", "source", "block", (F.col("base") + F.col("turn") * (period or 0) + F.col("slot")).alias("slot"), "release", "deadline", "start")
+    planned = stored_schedule(scratch, {s: v // block_chars + 1 for s, v in volumes.items()}, weights)
+    rows = rows.join(planned, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")))
+    return rows.select("row", "source", "block", "slot", "release", "deadline", "start")

@@ -1,10 +1,13 @@
 """Packing, mixing, chat, URL rules and digests: edge cases, round trips and brute force."""
 
 import hashlib
+import math
 import os
+import time
 import unicodedata
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -84,50 +87,63 @@ def test_packing_ties_repeats_and_nothing(spark):
 # mixing
 
 
+def check_schedule(have, weights):
+    """Against the definition, with the exact weights and no code of the schedule's: releases, deadlines, shares, slots."""
+    rows, at = list(mixing.schedule(have, weights)), 0
+    assert [r[2] for r in rows] == list(range(sum(have.values()))) and Counter(r[0] for r in rows) == Counter({s: n for s, n in have.items() if n})
+    left, done = {s: n for s, n in have.items() if n}, Counter()
+    while left:  # from one source's end to the next
+        total, begun, base = sum(Fraction(weights[s]) for s in left), Counter(done), at
+        share = {s: Fraction(weights[s]) / total for s in left}
+        while all(done[s] < have[s] for s in left):
+            s, block, slot, release, deadline = rows[at]
+            i = block - begun[s]
+            assert block == done[s] and release == base + math.floor(i / share[s]) <= slot < deadline == min(base + math.ceil((i + 1) / share[s]), mixing.FAR)
+            done[s] += 1
+            at += 1
+            assert all(abs(done[x] - begun[x] - (at - base) * w) < 1 for x, w in share.items())
+        left = {s: n for s, n in left.items() if done[s] < n}
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 60), min_size=1, max_size=8), st.lists(st.floats(0.05, 1), min_size=8, max_size=8))
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=8), st.lists(st.floats(1e-6, 1), min_size=8, max_size=8))
 def test_schedule_is_whole_and_within_a_block(blocks, weights):
-    have = {f"s{i}": n for i, n in enumerate(blocks)}
-    share = {f"s{i}": w for i, w in enumerate(weights[: len(blocks)])}
-    phases, slots = mixing.schedule(have, share, 64)
-    by = {}
-    for k, s, i, slot, release, deadline in slots:
-        assert release <= slot < deadline
-        by[k, s, i] = slot
-    taken = {}
-    for k, s, first, last, q, base in phases:
-        for b in range(first, last):
-            slot = base + (b - first) // q * 64 + by[k, s, (b - first) % q]
-            assert slot not in taken
-            taken[slot] = s
-    assert sorted(taken) == list(range(sum(blocks))) and Counter(taken.values()) == have
-    done, alive = Counter(), mixing.quotas(share, 64)
-    for slot in range(len(taken)):
-        done[taken[slot]] += 1
-        assert all(abs(done[s] - (slot + 1) * alive[s] / 64) < 1 for s in alive)
-        if any(done[s] == have[s] for s in have):
-            break
-
-
-@pytest.mark.parametrize("weights", [(0.5, 0.2, 0.15, 0.1, 0.05), (0.7, 0.29, 0.00999, 1e-5, 1e-30), (1, 1, 1)])
+    check_schedule({f"s{i}": n for i, n in enumerate(blocks)}, {f"s{i}": w for i, w in enumerate(weights)})
+
+
+@pytest.mark.parametrize("weights", [(0.5, 0.2, 0.15, 0.1, 0.05), (0.7, 0.29, 0.00999, 1e-5, 1e-30), (1, 1, 1), (Fraction(1, 3), Fraction(2, 3)), (1, 1e-5)])
 def test_schedule_keeps_to_the_given_weights(weights):
-    share = {f"s{i}": w for i, w in enumerate(weights)}
-    phases, slots = mixing.schedule(dict.fromkeys(share, 20_000), share)
-    total, done = sum(share.values()), Counter()
-    first = [x for x in slots if x[0] == 0]
-    assert [x[3] for x in first] == list(range(len(first))) and len(first) >= 20_000 and len(slots) == 20_000 * len(share)
-    for _, s, i, slot, release, deadline in first:
-        assert i == done[s] and release <= slot < deadline
-        done[s] += 1
-        assert all(abs(done[x] - (slot + 1) * w / total) < 1 + 1e-9 for x, w in share.items())
-    places = {base + x[3] for x in slots for k, s, *_, base in phases if (k, s) == x[:2]}
-    assert places == set(range(len(slots)))
+    check_schedule({f"s{i}" if i else None: 5_000 for i in range(len(weights))}, {f"s{i}" if i else None: w for i, w in enumerate(weights)})
+
+
+def test_schedule_of_many_sources():
+    have = {f"s{i}": 3 + i % 40 for i in range(800)}
+    began = time.process_time()
+    rows = list(mixing.schedule(have, {s: n**0.7 for s, n in have.items()}))
+    assert len(rows) == sum(have.values()) and time.process_time() - began < 20
+
+
+def test_blocks_follow_from_the_documents(spark, monkeypatch):
+    """By brute force: places of a source's documents are gapless, blocks are cut from them, slots are the schedule's."""
+    monkeypatch.setattr(mixing, "STRETCH", 7)
+    docs = documents(spark, [*("word " * (n * 7 % 91) for n in range(150)), "long " * 3000])
+    docs = docs.union(spark.createDataFrame([(900 + k, None if k else "a text without a source", None, None, None, None, None) for k in range(3)], DOCS))
+    got = mixing.mix(docs, {"s0": 0.5, "s1": 0.25, "s2": 0.2, None: 0.05}, block_chars=500).collect()
+    have = Counter()
+    for source in {r.source for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.source == source), key=lambda r: (r.start, len(r.row.text or ""))):
+            assert r.start == at and r.block == at // 500
+            at += len(r.row.text or "")
+        have[source] = at // 500 + 1
+    planned = {x[:2]: x[2:] for x in mixing.schedule(have, {"s0": 0.5, "s1": 0.25, "s2": 0.2, None: 0.05})}
+    assert all(planned[r.source, r.block] == (r.slot, r.release, r.deadline) for r in got) and len(got) == 154
 
 
 def test_mixing_rows(spark):
     docs = documents(spark, [*TEXTS, *("word " * n for n in range(200))])
     docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(900, "no source", None, None, None, None, None)], DOCS))
-    got = mixing.mix(docs, block_chars=2000, period=64).collect()
+    got = mixing.mix(docs, block_chars=2000).collect()
     assert len(got) == docs.count() and sorted(str(r.row.doc_id) for r in got) == sorted(str(r.doc_id) for r in docs.collect())
     of = {}
     for r in got:
