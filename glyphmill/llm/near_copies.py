@@ -8,9 +8,10 @@
    missed by all bands with probability 2e-4, at 0.9 with 1e-7.
 3. Copies of a text are one node. In each bucket all texts are paired with the bucket's first text; pairs are verified
    by the exact weighted Jaccard similarity of the whole texts. Only classes matter, so pairs inside a class that is
-   already linked are not looked at again. Buckets that still hold several classes go whole to tasks, which verify
-   every pair of texts that nothing has joined yet, those first that agree in the most samples. Pairs whose total
-   weights are too far apart to be similar need no comparison.
+   already linked are not looked at again. Of buckets that still hold several classes, outlines go to tasks (samples,
+   total weight, weight by 256 bins of hashes), which tell by exact bounds which texts may be similar to another one.
+   Only those texts follow, and tasks verify every pair of them that the bounds allow and that nothing has joined yet,
+   those first that agree in the most samples.
 
 Texts are compared in lower case, words are parted by white space; a text of one to four words is a single shingle.
 
@@ -35,8 +36,9 @@ from glyphmill.llm.common import Scratch, components, free_shuffles, small_batch
 
 WORDS, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 64, 16
-DF_BITS = 18
-BLOCK, BATCH_CHARS, CACHE_WORDS = 700, 2_000_000, 300_000
+#: Texts of a group whose pairs are verified, and outlines of a group whose pairs are looked at, with so many bins each.
+BLOCK, OUTLINES, BINS = 700, 2000, 256
+BATCH_CHARS, CACHE_WORDS = 2_000_000, 300_000
 BROADCAST_ROWS = 200_000
 #: Characters of a group of documents, and shingles that are counted in a range of hashes.
 GROUP_CHARS, RANGE = 200_000, 2_000_000
@@ -120,11 +122,6 @@ def exact_weights(tf: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
     return tf.astype(np.float32) * np.log1p(total / df).astype(np.float32)
 
 
-def weights(s: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """By a table of buckets, which is an estimate: ``classes`` counts exactly."""
-    return tf.astype(np.float32) * idf[(s >> U(64 - DF_BITS)).astype(np.int64)]
-
-
 def sample(s: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A row of SAMPLES numbers for each text that has shingles."""
     multipliers, gamma, log_gamma = draws()
@@ -132,19 +129,38 @@ def sample(s: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     out = np.zeros((len(first), SAMPLES), np.uint32)
     if not len(first):
         return out
-    log_w = np.log(w)
-    for k, m in enumerate(multipliers):
-        x = s * m
-        x ^= x >> U(31)
-        r = gamma.take((x >> U(48)).astype(np.int64))
-        beta = ((x >> U(16)) & U(0xFFFF)).astype(np.float32) * np.float32(2**-16)
-        t = np.floor(log_w / r + beta)
-        t_bits = t.astype(np.int64).view(U)
-        rank = log_gamma.take(((x >> U(32)) & U(0xFFFF)).astype(np.int64)) - r * (t - beta) - r
+    log_w, n = np.log(w), len(s)
+    x, y, at = np.empty(n, U), np.empty(n, U), np.empty(n, np.int64)
+    r, beta, t, rank = (np.empty(n, np.float32) for _ in range(4))
+    for k, m in enumerate(multipliers):  # into the same arrays again and again
+        np.multiply(s, m, out=x)
+        np.right_shift(x, U(31), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.right_shift(x, U(48), out=y)
+        gamma.take(y.view(np.int64), out=r, mode="clip")
+        np.right_shift(x, U(16), out=y)
+        np.bitwise_and(y, U(0xFFFF), out=y)
+        beta[:] = y
+        beta *= np.float32(2**-16)
+        np.divide(log_w, r, out=t)
+        t += beta
+        np.floor(t, out=t)
+        at[:] = t
+        np.right_shift(x, U(32), out=y)
+        np.bitwise_and(y, U(0xFFFF), out=y)
+        log_gamma.take(y.view(np.int64), out=rank, mode="clip")
+        t -= beta
+        t *= r
+        rank -= t
+        rank -= r
         rank += np.float32(4096)
-        key = rank.astype(np.float64).view(U) & ~U(0xFFFFFFFF)
-        key |= (x ^ (t_bits * U(0x9E3779B97F4A7C15))) & U(0xFFFFFFFF)
-        out[:, k] = np.minimum.reduceat(key, first) & U(0xFFFFFFFF)
+        np.multiply(at.view(U), U(0x9E3779B97F4A7C15), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.bitwise_and(x, U(0xFFFFFFFF), out=x)
+        y[:] = rank.view(np.uint32)  # the bits of positive numbers are in the numbers' order
+        np.left_shift(y, U(32), out=y)
+        np.bitwise_or(x, y, out=x)
+        out[:, k] = np.minimum.reduceat(x, first) & U(0xFFFFFFFF)
     return out
 
 
@@ -159,32 +175,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / total) if total else 1.0
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """ln(1 + documents / frequency) of each bucket, over all documents; a bucket counts each distinct shingle of a document.
-
-    An estimate for tables that have far fewer shingles than buckets; ``classes`` doesn't use it.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, docs = np.zeros(1 << DF_BITS, np.int64), 0
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            docs += len(texts)
-            for lo, hi in batches_of([len(t) for t in texts]):
-                s, _, _ = shingles(texts[lo:hi])
-                n += np.bincount((s >> U(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(n[at], docs))], ["bucket", "n"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = rows.toPandas()  # at most 2^18 + 1 rows
-    total = int(table.n[table.bucket == -1].sum())
-    df = np.ones(1 << DF_BITS)
-    table = table[table.bucket >= 0]
-    df[table.bucket.to_numpy(np.int64)] = table.n.to_numpy()
-    return np.log1p(total / df).astype(np.float32) if total else np.ones(1 << DF_BITS, np.float32)
-
-
 def grouped(docs: DataFrame) -> DataFrame:
     """(gid, doc_id, t1, t2, text): arrays of some neighbours, up to GROUP_CHARS characters."""
 
@@ -268,49 +258,88 @@ def verified(pairs: DataFrame, bodies: DataFrame, total: int, threshold: float)
     return pairs.join(right, "b").join(left, "a").where(score("text_a", "df_a", "text_b", "df_b") >= threshold).select("a", "b")
 
 
-def joined_in_buckets(members: DataFrame, total: int, threshold: float) -> DataFrame:
-    """Links (a, b) between texts of one bucket, and not of one class, from (key, band, uid, comp, sig, text, df).
+def outlines(bodies: DataFrame, total: int) -> DataFrame:
+    """(uid, weight, bins): a text's total weight, and its weight by the first byte of the shingles' hashes.
 
-    A task looks at all pairs of a bucket in order of the agreement of their samples and verifies those that nothing
-    has joined yet, so it returns fewer links than it has texts. A pair is looked at only in the first bucket that it
-    shares. Large buckets are cut into blocks, and each pair of blocks is a group of its own.
+    The lesser of two texts' weights in each bin, added up, is no less than what they share, which bounds the similarity.
     """
+
+    @F.pandas_udf("weight double, bins binary")
+    def outline(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, dfs in batches:
+            rows = []
+            for text, df in zip(texts, dfs):
+                s, w = vector_of(text, df, total)
+                rows.append((w.sum(dtype=np.float64), np.bincount((s >> U(56)).astype(np.int64), w, BINS).astype(np.float32).tobytes()))
+            yield pd.DataFrame(rows, columns=["weight", "bins"])
+
+    return bodies.select("uid", outline("text", "df").alias("o")).select("uid", "o.*")
+
+
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Each row of a bucket ``key`` for each pair (i, j) of blocks of the bucket that has the row's ``own`` block."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    cut = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    cut = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "uid", "comp", "sig", "text", "df")
+    return cut.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "blocks", "other")
+
+
+def open_pairs(pdf: pd.DataFrame, threshold: float) -> Iterator[np.ndarray]:
+    """Rows (agreement, p, q) of the pairs of a group that may be similar, that no class joins, and that share no earlier bucket."""
+    n, band, cross = len(pdf), int(pdf.band.iat[0]), pdf.i.iat[0] != pdf.j.iat[0]
+    own, comp, sums = pdf.own.to_numpy(), pd.factorize(pdf.comp)[0], pdf.weight.to_numpy()
+    sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(n, SAMPLES)
+    bins = np.frombuffer(b"".join(pdf.bins), np.float32).reshape(n, BINS)
+    columns, low = np.ascontiguousarray(sig.T), (threshold - 1e-3) / (1 + threshold)
+    for lo in range(0, n, 64):
+        hi = min(n, lo + 64)
+        may = (np.arange(lo, hi)[:, None] < np.arange(n)) & (comp[lo:hi, None] != comp)
+        # the lesser total weight by the greater bounds the similarity
+        may &= np.minimum(sums[lo:hi, None], sums) >= (threshold - 1e-6) * np.maximum(sums[lo:hi, None], sums)
+        if cross:
+            may &= own[lo:hi, None] != own
+        x, y = np.nonzero(may)
+        x += lo
+        for at in range(0, len(x), 10_000):
+            p, q = x[at : at + 10_000], y[at : at + 10_000]
+            # shared / (both - shared) >= threshold, with what the bins allow to be shared
+            keep = np.minimum(bins[p], bins[q]).sum(1) >= low * (sums[p] + sums[q])
+            p, q = p[keep], q[keep]
+            same = sig[p] == sig[q]
+            keep = same.reshape(-1, BANDS, SAMPLES // BANDS).all(2).argmax(1) == band
+            yield np.stack([same[keep].sum(1), p[keep], q[keep]], 1)
+
+
+def in_doubt(members: DataFrame, threshold: float) -> DataFrame:
+    """(key, uid) of the texts that may be similar to another text of their bucket, judged without the texts."""
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [np.unique(x[:, 1:]) for x in open_pairs(pdf, threshold)]
+        rows = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+        return pdf[["key", "uid"]].iloc[rows]
+
+    cut = in_blocks(members, OUTLINES).select("key", "i", "j", "own", "band", "uid", "comp", "sig", "weight", "bins")
+    return cut.groupBy("key", "i", "j").applyInPandas(some, "key long, uid long").distinct()
+
+
+def joined_in_buckets(members: DataFrame, total: int, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of one bucket, and not of one class, from (key, band, uid, comp, sig, weight, bins, text, df).
+
+    A task looks at all pairs of a bucket that may be similar in order of the agreement of their samples, and verifies
+    those that nothing has joined yet, so it returns fewer links than it has texts. A pair is looked at only in the first
+    bucket that it shares. Large buckets are cut into blocks, and each pair of blocks is a group of its own.
+    """
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, band = len(pdf), int(pdf.band.iat[0])
-        uid, own, texts = pdf.uid.to_numpy(), pdf.own.to_numpy(), pdf.text.to_list()
-        dfs = pdf.df.to_list()
-        cross = pdf.i.iat[0] != pdf.j.iat[0]
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(n, SAMPLES)
+        uid, texts, dfs = pdf.uid.to_numpy(), pdf.text.to_list(), pdf.df.to_list()
         comp = pd.factorize(pdf.comp)[0]
 
         @lru_cache(None)
         def vector(row: int) -> tuple[np.ndarray, np.ndarray]:
             return vector_of(texts[row], dfs[row], total)
 
-        sums = np.array([vector(k)[1].sum(dtype=np.float64) for k in range(n)])
-        found = []
-        for lo in range(0, n, 64):
-            agree = np.zeros((len(uid[lo : lo + 64]), n), np.int16)
-            for k in range(SAMPLES):
-                agree += sig[lo : lo + 64, k, None] == sig[None, :, k]
-            x, y = np.nonzero((np.arange(lo, lo + len(agree))[:, None] < np.arange(n)) & (comp[lo : lo + 64, None] != comp))
-            a = agree[x, y]
-            x += lo
-            # the lesser total weight by the greater is a bound of the similarity
-            keep = np.minimum(sums[x], sums[y]) >= (threshold - 1e-6) * np.maximum(sums[x], sums[y])
-            if cross:
-                keep &= own[x] != own[y]
-            x, y, a = x[keep], y[keep], a[keep]
-            for at in range(0, len(x), 20_000):
-                p, q = x[at : at + 20_000], y[at : at + 20_000]
-                shared = (sig[p] == sig[q]).reshape(-1, BANDS, SAMPLES // BANDS).all(2).argmax(1) == band
-                found.append(np.stack([a[at : at + 20_000], p, q], 1)[shared])
+        found = list(open_pairs(pdf, threshold))
         both = np.concatenate(found) if found else np.zeros((0, 3), int)
         both = both[np.argsort(-both[:, 0], kind="stable")]
         up, out = list(range(int(comp.max()) + 1)), []
@@ -328,6 +357,7 @@ def joined_in_buckets(members: DataFrame, total: int, threshold: float) -> DataF
                 out.append((uid[p], uid[q]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+    cut = in_blocks(members, BLOCK).select("key", "i", "j", "own", "band", "uid", "comp", "sig", "weight", "bins", "text", "df")
     return cut.groupBy("key", "i", "j").applyInPandas(links, "a long, b long")
 
 
@@ -373,8 +403,10 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     classed = scratch.save(classed, "classed")
     mixed = classed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = scratch.save(classed.join(mixed, "key"), "open")
-    open_ = open_.join(texts.select("uid", "sig"), "uid").join(bodies, "uid")
-    more = scratch.save(joined_in_buckets(open_, total, threshold), "more")
+    outlined = scratch.save(outlines(bodies.join(open_.select("uid").distinct(), "uid", "left_semi"), total), "outlines")
+    open_ = scratch.save(open_.join(texts.select("uid", "sig"), "uid").join(outlined, "uid"), "outlined")
+    doubt = scratch.save(in_doubt(open_, threshold), "doubt")
+    more = scratch.save(joined_in_buckets(open_.join(doubt, ["key", "uid"]).join(bodies, "uid"), total, threshold), "more")
     if not more.isEmpty():
         found = components(Scratch(spark, "near-copies"), links.union(more))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -300,7 +301,7 @@ def test_language(spark):
 
 def test_samples_estimate_the_weighted_similarity():
     rng = np.random.default_rng(0)
-    idf = rng.uniform(0.5, 8, 1 << near_copies.DF_BITS).astype(np.float32)
+    idf = rng.uniform(0.5, 8, 1 << 18).astype(np.float32)
     words, hits, want = [f"w{k}" for k in range(400)], [], []
     for t in range(60):
         a = list(rng.choice(words, 300))
@@ -308,7 +309,7 @@ def test_samples_estimate_the_weighted_similarity():
         for k in rng.integers(0, 300, 1 + t // 4):
             b[k] = "other"
         s, tf, starts = near_copies.shingles([" ".join(a), " ".join(b)])
-        w = near_copies.weights(s, tf, idf)
+        w = tf.astype(np.float32) * idf[(s >> np.uint64(46)).astype(np.int64)]
         one, two = near_copies.sample(s, w, starts)
         hits.append((one == two).mean())
         want.append(near_copies.similarity((s[: starts[1]], w[: starts[1]]), (s[starts[1] :], w[starts[1] :])))
@@ -335,8 +336,9 @@ def test_near_copies_against_brute_force(spark):
     docs = docs.union(docs.limit(2)).union(spark.createDataFrame([(None, texts[0], "", "", 0, 0, "")], DOCS))
     rows = near_copies.classes(docs).collect()
     assert len(rows) == docs.count() and sum(r.kept for r in rows) == len({r.class_id for r in rows})
-    idf = near_copies.inverse_frequencies(near_copies.keyed(docs))
-    vectors = [(lambda s: (s[0], near_copies.weights(s[0], s[1], idf)))(near_copies.shingles([t or ""])) for t in texts]
+    found = [near_copies.shingles([r.text or ""]) for r in docs.collect()]
+    df = Counter(h for s in found for h in s[0].tolist())
+    vectors = [(s[0], near_copies.exact_weights(s[1], np.array([df[h] for h in s[0].tolist()], np.uint32), len(found))) for s in found[: len(texts)]]
     pairs = [(j, i) for i in range(len(texts)) for j in range(i) if (texts[i] or "") == (texts[j] or "") or len(vectors[i][0]) and len(vectors[j][0]) and near_copies.similarity(vectors[i], vectors[j]) >= 0.8]
     want = roots(len(texts), pairs)
     assert {r.doc_id: r.class_id for r in rows if r.doc_id is not None} == dict(enumerate(want))
@@ -370,8 +372,12 @@ def test_pairs_of_a_bucket_are_verified_whatever_their_samples(spark):
     for uid, text in texts:
         sig = np.concatenate([band, np.arange(60, dtype=np.uint32) + 100 * (uid + 1)])
         rows.append((1, 0, uid, uid, sig.tobytes(), text, np.ones(len(near_copies.shingles([text])[0]), np.uint32).tobytes()))
+    rows += [(r[0], r[1], 100 + r[2], r[3], *r[4:]) for r in rows[:1]]  # of a class that is joined already
     members = spark.createDataFrame(rows, "key long, band int, uid long, comp long, sig binary, text string, df binary")
-    got = near_copies.joined_in_buckets(members, 100, 0.8).collect()
+    members = members.join(near_copies.outlines(members, 100), "uid")
+    doubt = near_copies.in_doubt(members, 0.8)
+    assert {r.uid for r in doubt.collect()} == {0, 1, 2, 3, 4, 5, 100}
+    got = near_copies.joined_in_buckets(members.join(doubt, ["key", "uid"]).where("uid < 100"), 100, 0.8).collect()
     assert {(min(r), max(r)) for r in got} == {(0, 1), (2, 3), (4, 5)}
 
 
