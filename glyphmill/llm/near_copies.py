@@ -27,7 +27,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,36 +37,56 @@ WORDS, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 64, 16
 #: Texts of a group whose pairs are verified, and outlines of a group whose pairs are looked at, with so many bins each.
 BLOCK, OUTLINES, BINS = 700, 2000, 256
-BATCH_CHARS, CACHE_WORDS = 2_000_000, 300_000
+BATCH_CHARS = 2_000_000
 BROADCAST_ROWS = 200_000
 #: Characters of a group of documents, and shingles that are counted in a range of hashes.
 GROUP_CHARS, RANGE = 200_000, 2_000_000
 U = np.uint64
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+@lru_cache(1)
+def white_space() -> np.ndarray:
+    """Which code points part words, as ``str.split`` does."""
+    return np.frombuffer(bytes(chr(c).isspace() for c in range(0x110000)), bool)
+
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of all texts, and each text's number of words.
 
-_words = WordHashes()
+    A word's hash is made of those of its characters with their places in it, all texts at once.
+    """
+    lowered = [t.lower() for t in texts]
+    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = white_space()[points]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    first = np.flatnonzero(begins)
+    ends = np.cumsum([len(t) + 1 for t in lowered], dtype=np.int64)
+    counts = np.diff(np.searchsorted(first, ends), prepend=0)
+    if not len(first):
+        return np.zeros(0, U), counts
+    place = np.arange(len(points), dtype=U)
+    place -= np.repeat(np.append(0, first).astype(U), np.diff(np.concatenate([[0], first, [len(points)]])))
+    place *= U(0xC2B2AE3D27D4EB4F)
+    place ^= points * U(0x9E3779B97F4A7C15)
+    place ^= place >> U(29)
+    place *= U(0xD6E8FEB86659FD93)
+    place ^= place >> U(32)
+    place[blank] = 0
+    h = np.add.reduceat(place, first)
+    h ^= h >> U(31)
+    h *= U(0xBF58476D1CE4E5B9)
+    return h, counts
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts in order of text, then hash; their counts; and where each text's begin, with the end."""
-    parts, sizes = [], []
-    for t in texts:
-        words = t.lower().split()
-        n = len(words)
-        h = np.fromiter(map(_words.__getitem__, words), U, n)
-        if 0 < n < WORDS:
-            h = np.concatenate([h, np.zeros(WORDS - n, U)])
-        parts.append(h)
-        sizes.append(len(h))
-    h = np.concatenate(parts) if parts else np.zeros(0, U)
+    words, n_words = word_hashes(texts)
+    sizes = np.where(n_words > 0, np.maximum(n_words, WORDS), 0)  # short texts are padded to one shingle
+    ends = np.cumsum(sizes)
+    h = np.zeros(int(ends[-1]) if len(ends) else 0, U)
+    at = np.arange(len(words)) + np.repeat(ends - sizes - (np.cumsum(n_words) - n_words), n_words)
+    h[at] = words
     n = max(0, len(h) - WORDS + 1)
     s = np.zeros(n, U)
     for k in range(WORDS):
@@ -75,9 +94,8 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s ^= s >> U(32)
     s *= U(0xD6E8FEB86659FD93)
     s ^= s >> U(29)
-    ends = np.cumsum(sizes, dtype=np.int64)
     each = []
-    for a, m in zip((ends - sizes).tolist(), sizes):
+    for a, m in zip((ends - sizes).tolist(), sizes.tolist()):
         one = s[a : a + m - WORDS + 1] if m else s[:0]
         one.sort()
         each.append(one)
@@ -291,7 +309,7 @@ def open_pairs(pdf: pd.DataFrame, threshold: float) -> Iterator[np.ndarray]:
     own, comp, sums = pdf.own.to_numpy(), pd.factorize(pdf.comp)[0], pdf.weight.to_numpy()
     sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(n, SAMPLES)
     bins = np.frombuffer(b"".join(pdf.bins), np.float32).reshape(n, BINS)
-    columns, low = np.ascontiguousarray(sig.T), (threshold - 1e-3) / (1 + threshold)
+    few, low = bins.reshape(n, 32, -1).sum(2), (threshold - 1e-3) / (1 + threshold)
     for lo in range(0, n, 64):
         hi = min(n, lo + 64)
         may = (np.arange(lo, hi)[:, None] < np.arange(n)) & (comp[lo:hi, None] != comp)
@@ -303,9 +321,10 @@ def open_pairs(pdf: pd.DataFrame, threshold: float) -> Iterator[np.ndarray]:
         x += lo
         for at in range(0, len(x), 10_000):
             p, q = x[at : at + 10_000], y[at : at + 10_000]
-            # shared / (both - shared) >= threshold, with what the bins allow to be shared
-            keep = np.minimum(bins[p], bins[q]).sum(1) >= low * (sums[p] + sums[q])
-            p, q = p[keep], q[keep]
+            # shared / (both - shared) >= threshold, with what the bins allow to be shared: some together first, then each
+            for of in (few, bins):
+                keep = np.minimum(of[p], of[q]).sum(1) >= low * (sums[p] + sums[q])
+                p, q = p[keep], q[keep]
             same = sig[p] == sig[q]
             keep = same.reshape(-1, BANDS, SAMPLES // BANDS).all(2).argmax(1) == band
             yield np.stack([same[keep].sum(1), p[keep], q[keep]], 1)

@@ -299,6 +299,21 @@ def test_language(spark):
 # near-copies
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aAbÉİß \n\t\x1c\u00a0\u3000\ud800\U0001f600", max_size=40), max_size=6))
+def test_word_hashes_tell_words_apart(texts):
+    h, counts = near_copies.word_hashes(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert counts.tolist() == [len(t.lower().split()) for t in texts] and len(h) == len(words)
+    of = dict(zip(words, h.tolist()))
+    assert [of[w] for w in words] == h.tolist() and len(set(of.values())) == len(of)
+    s, n, starts = near_copies.shingles(texts)
+    for t, a, b in zip(texts, starts, starts[1:]):
+        w = t.lower().split()
+        want = Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1))))
+        assert sorted(n[a:b].tolist()) == sorted(want.values()) and (np.diff(s[a:b].astype(float)) >= 0).all()
+
+
 def test_samples_estimate_the_weighted_similarity():
     rng = np.random.default_rng(0)
     idf = rng.uniform(0.5, 8, 1 << 18).astype(np.float32)
