@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, components, free_shuffles, small_batches
+from glyphmill.llm.common import Scratch, components, free_shuffles, shuffle_partitions, small_batches
 
 WORDS, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 64, 16
@@ -339,6 +339,7 @@ def in_doubt(members: DataFrame, threshold: float) -> DataFrame:
         return pdf[["key", "uid"]].iloc[rows]
 
     cut = in_blocks(members, OUTLINES).select("key", "i", "j", "own", "band", "uid", "comp", "sig", "weight", "bins")
+    cut = cut.repartition(shuffle_partitions(members.sparkSession), "key", "i", "j")  # few bytes, but much to compare
     return cut.groupBy("key", "i", "j").applyInPandas(some, "key long, uid long").distinct()
 
 
