@@ -2,7 +2,7 @@
 
 1. ``tokenize_pieces`` turns every text into token ids and cuts only those longer than the capacity.
 2. ``plan`` packs *counts*: the histogram has at most ``capacity`` rows, so planning costs the same for any corpus.
-3. ``pack`` gives each piece a rank within its length, and the rank says which planned slot it takes. With a column
+3. ``pack`` gives each piece a rank within its length, and joins it by length and rank to the planned slot it takes. With a column
    ``at``, pieces are ranked by it, and sequences are numbered by the least ``at`` that they hold, so that reading them
    one after another follows that order as far as whole sequences can.
 
@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, small_batches
+from glyphmill.llm.common import Scratch, shuffle_partitions, small_batches
 from glyphmill.sources.catalog import with_row_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries at which a worker's word cache is emptied; a batch of at most BATCH_CHARS adds to it. Words encoded at once.
 CACHE_WORDS, BATCH_CHARS, LEARN = 600_000, 4_000_000, 500
+#: Ranks of a slot that are unrolled at once.
+PART = 50_000
 #: Bits for the rows of a file in ``at``.
 FILE_BITS = 36
 #: Python splits at these, the tokenizer's patterns don't.
@@ -156,6 +158,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return sorted(slots)
 
 
+def places(slots: DataFrame) -> DataFrame:
+    """(length, rank, sequence_id, offset) for every rank of the planned slots, unrolled in parts of PART ranks."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("ranks") - 1) / PART))).alias("part")
+    parts = slots.select("*", part).repartition(shuffle_partitions(slots.sparkSession), "length", "first", "part")
+    k = F.explode(F.sequence(F.col("part") * PART, F.least(F.col("part") * PART + PART, F.col("ranks")) - 1)).alias("k")
+    each = parts.select("length", "first", "sequence", "copies", "place", k)
+    sequence = F.col("sequence") + F.floor(F.col("k") / F.col("copies"))
+    return each.select("length", (F.col("first") + F.col("k")).alias("rank"), sequence.alias("sequence_id"), (F.col("place") + F.col("k") % F.col("copies") * F.col("length")).alias("offset"))
+
+
 def pack(pieces: DataFrame, capacity: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """The pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
@@ -179,21 +191,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, scratch: Scratch | None = None
     ranked = salted.withColumn("rank", F.row_number().over(within)).join(firsts, ["length", "salt"])
     ranked = ranked.select(*names, (F.col("first") + F.col("rank") - 1).alias("rank"))
 
-    slots = np.array(plan(histogram, capacity) or np.zeros((0, 6)), np.int64)
-    shared = spark.sparkContext.broadcast(slots)  # its size is bounded by the capacity
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, first, _, sequence, copies, offset = shared.value.T
-        wide = np.int64(1) << 44
-        keys = length * wide + first
-        for batch in batches:
-            n, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            at = np.searchsorted(keys, n * wide + rank, "right") - 1
-            k = rank - first[at]
-            cols = [*(batch.column(c) for c in names), pa.array(sequence[at] + k // copies[at]), pa.array(offset[at] + k % copies[at] * n)]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "sequence_id", "offset"])
-
-    packed = ranked.mapInArrow(take, PIECES + (", at long" if ordered else "") + ", sequence_id long, offset long")
+    slots = spark.createDataFrame(plan(histogram, capacity), "length long, first long, ranks long, sequence long, copies long, place long")
+    packed = ranked.join(places(slots), ["length", "rank"]).select(*names, "sequence_id", "offset")
     if not ordered:
         return packed
     packed = scratch.save(packed, "packed")
