@@ -1,17 +1,16 @@
 """How far a matrix can be compressed: truncated SVD and PCA reports from one decomposition each.
 
-The spectrum is computed once at the largest rank; every smaller rank is a prefix of it. The Gramian and its
-eigenvectors live on the driver, which bounds the columns (8 bytes times their square).
+The spectrum is computed once at the largest rank; every smaller rank is a prefix of it. Tasks sum the products of the
+entries of their rows, a batch at a time and for the entries that occur; these sums are added up on the cluster. The
+Gramian and its eigenvectors live on the driver, which bounds the columns (8 bytes times their square).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,42 +18,101 @@ from glyphmill.functions.scalars import dim_ladder, max_components
 from glyphmill.sources.catalog import decimals
 
 THRESHOLD = 0.95
+#: Products of entries that a task holds before it sums them up.
+PRODUCTS = 4_000_000
 
 
 def dense_features(rows: DataFrame, values: str) -> DataFrame:
-    return rows.select(array_to_vector(F.col(values).cast("array<double>")).alias("features"))
+    return rows.select(F.sequence(F.lit(0), F.size(values) - 1).alias("indices"), F.col(values).cast("array<double>").alias("values"))
 
 
-def sparse_features(vectors: DataFrame, size: int) -> DataFrame:
+def sparse_features(vectors: DataFrame) -> DataFrame:
     """From (indices, values) of the windows."""
-    make = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
-    return vectors.select(make("indices", F.col("values").cast("array<double>")).alias("features"))
-
-
-def svd_spectrum(features: DataFrame, k: int) -> tuple[list[tuple[int, float, float]], np.ndarray]:
+    return vectors.select("indices", F.col("values").cast("array<double>").alias("values"))
+
+
+def moments(features: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, sums of the columns, and the Gramian, from rows (indices, values) without repeated indices."""
+    if size >= 1 << 31:
+        raise ValueError("too many columns")
+
+    def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return k, np.bincount(at, np.concatenate(values), len(k))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, keys, values, held = 0, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            k, v = summed(keys, values)
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], ["entry", "total"])
+
+        for batch in batches:
+            n += batch.num_rows
+            column, value = batch.column(0), batch.column(1)
+            width = np.diff(column.offsets.to_numpy()).astype(np.int64)
+            j, x = column.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy()
+            starts = np.cumsum(width) - width
+            for lo in range(0, len(width), 2000):  # each entry with each entry of its row
+                w, s = width[lo : lo + 2000], starts[lo : lo + 2000]
+                each = np.repeat(w, w)
+                left = np.repeat(np.arange(s[0], s[0] + w.sum()) if len(w) else s, each)
+                place = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each)
+                right = np.repeat(np.repeat(s, w), each) + place
+                upper = j[left] <= j[right]
+                left, right = left[upper], right[upper]
+                keys += [j[left] * size + j[right], -1 - j[s[0] : s[0] + w.sum()]]  # columns' sums below zero
+                values += [x[left] * x[right], x[s[0] : s[0] + w.sum()]]
+                held += len(left)
+                if held > PRODUCTS:
+                    k, v = summed(keys, values)
+                    keys, values, held = [k], [v], 0
+                    if len(k) > PRODUCTS // 4:
+                        yield out()
+                        keys, values = [], []
+        keys.append(np.array([FEW]))
+        values.append(np.array([float(n)]))
+        yield out()
+
+    sums = features.select("indices", "values").mapInArrow(products, "entry long, total double").groupBy("entry").agg(F.sum("total").alias("total"))
+    # a row of the Gramian a line: the driver reads one after another
+    lines = sums.groupBy(F.when(F.col("entry") >= 0, F.floor(F.col("entry") / size)).otherwise(-1).alias("i")).agg(F.collect_list("entry").alias("entries"), F.collect_list("total").alias("totals"))
+    n, column, gram = 0, np.zeros(size), np.zeros((size, size))
+    for line in lines.toLocalIterator():
+        entries, totals = np.array(line.entries, np.int64), np.array(line.totals)
+        if line.i >= 0:
+            gram[line.i, entries % size] = totals
+            gram[entries % size, line.i] = totals
+        else:
+            n = int(totals[entries == FEW].sum())
+            column[-1 - entries[entries != FEW]] = totals[entries != FEW]
+    return n, column, gram
+
+
+#: The key of the number of rows.
+FEW = -(1 << 62)
+
+
+def svd_spectrum(features: DataFrame, size: int, k: int) -> tuple[list[tuple[int, float, float]], np.ndarray]:
     """(component, singular value, share of the columns' variance) and the components as columns.
 
     Rows aren't centred, so a component's variance is s^2 / n minus its squared mean.
     """
-    rows = features.rdd.map(lambda r: OldVectors.fromML(r[0])).cache()
-    matrix = RowMatrix(rows)
-    n, stats = matrix.numRows(), matrix.computeColumnSummaryStatistics()
-    mean = np.array(stats.mean())
-    total = float(np.sum(np.array(stats.variance())) * (n - 1) / n)
-    found = matrix.computeSVD(k)
-    s, v = np.array(found.s.toArray()), found.V.toArray()
-    share = (s**2 / n - (mean @ v) ** 2) / total if total > 0 else np.zeros(len(s))
-    rows.unpersist()
+    n, column, gram = moments(features, size)
+    values, v = np.linalg.eigh(gram)
+    s, v = np.sqrt(np.maximum(0.0, values[::-1][:k])), v[:, ::-1][:, :k]
+    mean = column / max(1, n)
+    total = float(np.trace(gram) / max(1, n) - mean @ mean)
+    share = (s**2 / max(1, n) - (mean @ v) ** 2) / total if total > 0 else np.zeros(len(s))
     return [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(s, share))], v
 
 
-def pca_spectrum(features: DataFrame, k: int) -> tuple[list[tuple[int, float, float]], np.ndarray]:
+def pca_spectrum(features: DataFrame, size: int, k: int) -> tuple[list[tuple[int, float, float]], np.ndarray]:
     """The same for centred rows: a singular value is the root of (n - 1) times the component's variance."""
-    model = PCA(k=k, inputCol="features", outputCol="reduced").fit(features)
-    ratios = model.explainedVariance.toArray()
-    stats = RowMatrix(features.rdd.map(lambda r: OldVectors.fromML(r[0]))).computeColumnSummaryStatistics()
-    total, n = float(np.sum(np.array(stats.variance()))), stats.count()
-    return [(i + 1, float(np.sqrt((n - 1) * r * total)), float(r)) for i, r in enumerate(ratios)], model.pc.toArray()
+    n, column, gram = moments(features, size)
+    values, v = np.linalg.eigh(gram - np.outer(column, column) / max(1, n))
+    values, total = np.maximum(0.0, values[::-1][:k]), max(float(values.sum()), 0.0)
+    return [(i + 1, float(np.sqrt(x)), float(x / total) if total > 0 else 0.0) for i, x in enumerate(values)], v[:, ::-1][:, :k]
 
 
 def spectrum_table(spark: SparkSession, spectrum: list[tuple[int, float, float]]) -> DataFrame:
@@ -62,10 +120,23 @@ def spectrum_table(spark: SparkSession, spectrum: list[tuple[int, float, float]]
 
 
 def components_table(spark: SparkSession, v: np.ndarray) -> DataFrame:
-    """The fitted model: one row a component."""
+    """The fitted model: one row a component; its first ``k`` rows are the model of rank ``k``."""
     return spark.createDataFrame([(i + 1, [float(x) for x in v[:, i]]) for i in range(v.shape[1])], "component int, loadings array<double>")
 
 
+def projected(features: DataFrame, components: np.ndarray) -> DataFrame:
+    """(reduced) of each row (indices, values): its products with the components, which are columns."""
+    shared = features.sparkSession.sparkContext.broadcast(components.astype(np.float64))  # 8 bytes times columns times rank
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            rows = [np.array(x) @ v[np.array(i, np.int64)] for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], ["reduced"])
+
+    return features.select("indices", "values").mapInArrow(run, "reduced array<double>")
+
+
 def svd_report(spectrum: DataFrame, original: int, dims: list[int], threshold: float = THRESHOLD) -> DataFrame:
     """A row for each dimension, the largest first; the smallest that reaches the threshold is flagged."""
     upto = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)  # one row a component
@@ -94,5 +165,5 @@ def formatted(report: DataFrame) -> DataFrame:
 
 def svd_sweep(features: DataFrame, original: int, rows: int, step: int = 200, least: int = 1000, threshold: float = THRESHOLD) -> DataFrame:
     dims = dim_ladder(original, max_components(rows, original), step, least)
-    spectrum, _ = svd_spectrum(features, max(dims))
+    spectrum, _ = svd_spectrum(features, original, max(dims))
     return svd_report(spectrum_table(features.sparkSession, spectrum), original, dims, threshold)

@@ -96,19 +96,34 @@ def test_aligned(spark):
         windows.assert_aligned(spark.range(3), spark.range(4)).collect()
 
 
-def test_svd_and_pca_against_numpy(spark):
+def test_svd_and_pca_against_numpy(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "PRODUCTS", 500)
     x = np.random.default_rng(0).normal(size=(60, 8)) + np.arange(8)
     f = reduce.dense_features(spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>"), "v")
-    spectrum, v = reduce.svd_spectrum(f, 8)
+    spectrum, v = reduce.svd_spectrum(f, 8, 8)
     s = np.linalg.svd(x, compute_uv=False)
     assert np.allclose([a[1] for a in spectrum], s) and np.isclose(sum(a[2] for a in spectrum), 1)
     assert np.allclose([a[2] for a in spectrum], (x @ v).var(0) / x.var(0).sum())
-    spectrum, _ = reduce.pca_spectrum(f, 8)
+    assert sorted(np.round(r.reduced, 6) for r in reduce.projected(f, v[:, :1]).collect()) == sorted(np.round(x @ v[:, :1], 6).tolist())
+    spectrum, _ = reduce.pca_spectrum(f, 8, 8)
     assert np.allclose([a[1] for a in spectrum], np.linalg.svd(x - x.mean(0), compute_uv=False)) and np.isclose(sum(a[2] for a in spectrum), 1)
     report = reduce.svd_sweep(f, 8, 60, step=2, least=2).collect()
     assert [r.reduced_dim for r in report] == [6, 4, 2] and sum(r.is_min_dim_over_threshold for r in report) <= 1
 
 
+def test_moments_of_sparse_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(sorted(rng.choice(50, rng.integers(0, 9), replace=False).tolist()),) for _ in range(300)]
+    rows = [(i, rng.normal(size=len(i)).tolist()) for (i,) in rows]
+    x = np.zeros((300, 50))
+    for k, (i, v) in enumerate(rows):
+        x[k, i] = v
+    n, column, gram = reduce.moments(spark.createDataFrame(rows, "indices array<int>, values array<double>"), 50)
+    assert n == 300 and np.allclose(column, x.sum(0)) and np.allclose(gram, x.T @ x)
+    n, _, gram = reduce.moments(spark.createDataFrame([], "indices array<int>, values array<double>"), 5)
+    assert n == 0 and not gram.any()
+
+
 def test_nucleus_invariants(spark):
     x = np.random.default_rng(1).normal(size=(20, 30)) * 3
     logits = sampling.logits_of(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "s int, v array<double>"), "s", "v")
@@ -180,6 +195,8 @@ def test_training_and_resuming(spark, fitted, tmp_path):
     assert log[1][1] < log[0][1] and nextword.last_saved(spark, run) == 2
     more, log = nextword.train(vectors, 60, run, epochs=3, hidden=(16, 8), batch_size=512, mode="continue")
     assert [r[0] for r in log] == [3] and spark.read.parquet(f"{run}/log").count() == 3
+    whole, _ = nextword.train(vectors, 60, f"file://{tmp_path}/whole", epochs=3, hidden=(16, 8), batch_size=512)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(more, whole))  # continuing is as good as not having stopped
     same, log = nextword.train(vectors, 60, run, epochs=3, mode="continue", hidden=(16, 8))
     assert log == [(3, -1.0, -1.0)] and all(np.array_equal(a, b) for a, b in zip(more, same))
     with pytest.raises(ValueError):
