@@ -46,3 +46,8 @@ def draw(candidates: DataFrame, seed: int) -> DataFrame:
 def random_rows(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """n rows without replacement: each task keeps its n smallest random numbers."""
     return rows.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(n)
+
+
+def keyed_rows(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """n rows without replacement, the same for a seed on any engine: those with the least digests of seed and key."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

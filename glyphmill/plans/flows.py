@@ -43,8 +43,8 @@ def final_vocabulary(spark: SparkSession, corpus: DataFrame, size: int, catalog:
 def vectorise(spark: SparkSession, corpus: DataFrame, model: bytes, catalog: Catalog, width: int = 15, slide: int = 1) -> DataFrame:
     """Context windows with labels, stored as one table keyed (row_id, pos)."""
     ids = subword.encoded(corpus, model).select("row_id", "ids")
-    found = windows.windows(ids, F.lit(subword.BOS), F.lit(subword.EOS), width, slide, "ids")
-    write_table(windows.vectors(found, width), catalog.path("context_windows"))
+    found = windows.sparse_rows(ids, subword.BOS, subword.EOS, width, slide, "ids").withColumn("values", F.col("values").cast("array<float>"))
+    write_table(found, catalog.path("context_windows"))
     return spark.read.parquet(catalog.path("context_windows"))
 
 

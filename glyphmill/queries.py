@@ -12,6 +12,7 @@ from glyphmill.functions import scalars
 from glyphmill.operators import decode, nextword, reduce, sampling, stats, subword, windows
 from glyphmill.sources import catalog
 from glyphmill.sources.catalog import table
+from glyphmill.sources.scratch import Scratch
 
 VOCAB, LENGTH, WIDTH = 8000, 10, scalars.WINDOW
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,8 +42,8 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("sentence"))
 
 
-def benchmark(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), stats.white_space(F.col("text")).alias("tokens"))
+def split_documents(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("row_id", stats.white_space(F.col("sentence")).alias("tokens"))
 
 
 SQL_TOKENS = r"list_filter(string_split_regex({}, '\s+'), lambda t: t <> '')"
@@ -100,9 +101,10 @@ def last_epoch(spark: SparkSession, d: str) -> DataFrame:
     return catalog.last_epoch(spark.createDataFrame([("1", "", ""), (" 7", "", ""), ("x", "", ""), ("", "", ""), ("3", "", "")], catalog.TRAIN_LOG))
 
 
-@query()
+@query("SELECT doc_id AS row_id, text AS sentence FROM documents ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 20")
 def random_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.random_rows(documents(spark, d), 20, seed=7)
+    """A draw that the seed and the key decide."""
+    return sampling.keyed_rows(documents(spark, d), 20, "row_id", seed=7)
 
 
 # scalar functions ----------------------------------------------------------------------------------------------------
@@ -237,56 +239,67 @@ w AS (SELECT row_id, p, CAST(unnest(range(0, len(p) - {WIDTH}, {slide})) AS INTE
 SELECT row_id, pos, p[pos + {WIDTH} + 1] AS y FROM w"""
 
 
-SQL_VECTORS = f"""WITH p AS (SELECT item_id AS row_id, {_padded_sql(SQL_TOKENS.format('text'))} AS p FROM benchmark),
+SQL_VECTORS = f"""WITH p AS (SELECT doc_id AS row_id, {_padded_sql(SQL_TOKENS.format('text'))} AS p FROM documents),
 w AS (SELECT row_id, p, CAST(unnest(range(0, len(p) - {WIDTH})) AS INTEGER) AS pos FROM p),
-e AS (SELECT row_id, pos, p, unnest(range(0, {WIDTH})) AS i FROM w)
-SELECT row_id, pos, p[pos + i + 1] AS token, round(sum(1.0 / pow(i + 1, 0.25)), 6) AS weight FROM e GROUP BY row_id, pos, p[pos + i + 1]"""
+e AS (SELECT row_id, pos, p, unnest(range(0, {WIDTH})) AS i FROM w),
+g AS (SELECT row_id, pos, p[pos + i + 1] AS token, sum(1.0 / pow(i + 1, 0.25)) AS weight FROM e GROUP BY row_id, pos, p[pos + i + 1])
+SELECT row_id, pos, CAST(count(*) AS INTEGER) AS n, md5(string_agg(token || ':' || CAST(CAST(round(weight * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY token)) AS entries FROM g GROUP BY row_id, pos"""
+
+
+def _digested(entries: F.Column) -> F.Column:
+    """Of an array of (token, weight) in order of the tokens."""
+    return F.md5(F.array_join(F.transform(entries, lambda e: F.concat(e["token"], F.lit(":"), F.round(e["weight"] * 10000).cast("long").cast("string"))), " "))
 
 
 @query(_labels_sql("documents", "doc_id"))
 def windows_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents(spark, d).select("row_id", stats.white_space(F.col("sentence")).alias("tokens"))
-    return windows.windows(rows, F.lit("<s>"), F.lit("</s>")).select("row_id", "pos", "y")
+    return windows.windows(split_documents(spark, d), F.lit("<s>"), F.lit("</s>")).select("row_id", "pos", "y")
 
 
-@query(_labels_sql("benchmark", "item_id", 3))
+@query(_labels_sql("documents", "doc_id", 3))
 def windows_slide(spark: SparkSession, d: str) -> DataFrame:
-    return windows.windows(benchmark(spark, d), F.lit("<s>"), F.lit("</s>"), slide=3).select("row_id", "pos", "y")
+    return windows.windows(split_documents(spark, d), F.lit("<s>"), F.lit("</s>"), slide=3).select("row_id", "pos", "y")
 
 
 @query(SQL_VECTORS)
 def windows_vectors(spark: SparkSession, d: str) -> DataFrame:
-    found = windows.exploded(windows.windows(benchmark(spark, d), F.lit("<s>"), F.lit("</s>")))
-    return found.withColumn("weight", r6(F.col("weight")))
+    """Each window's sparse row, as the number of its entries and their digest."""
+    found = windows.sparse_rows(split_documents(spark, d), "<s>", "</s>")
+    entries = F.zip_with("indices", "values", lambda t, w: F.struct(t.alias("token"), w.alias("weight")))
+    return found.select("row_id", "pos", F.size("indices").alias("n"), _digested(entries).alias("entries"))
 
 
 @query(SQL_VECTORS)
 def windows_vectors_frame(spark: SparkSession, d: str) -> DataFrame:
-    return windows.framed(benchmark(spark, d), F.lit("<s>"), F.lit("</s>")).withColumn("weight", r6(F.col("weight")))
+    """The same by a window frame over exploded tokens."""
+    found = windows.framed(split_documents(spark, d), F.lit("<s>"), F.lit("</s>"))
+    found = found.groupBy("row_id", "pos").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("e"))
+    return found.select("row_id", "pos", F.size("e").alias("n"), _digested(F.col("e")).alias("entries"))
 
 
-@query(f"SELECT item_id AS row_id, array_to_string(list_slice(t, greatest(len(t) - {WIDTH} + 1, 1), len(t)), ' ') AS context FROM (SELECT item_id, {SQL_TOKENS.format('text')} AS t FROM benchmark)")
+@query(f"SELECT doc_id AS row_id, array_to_string(list_slice(t, greatest(len(t) - {WIDTH} + 1, 1), len(t)), ' ') AS context FROM (SELECT doc_id, {SQL_TOKENS.format('text')} AS t FROM documents)")
 def trailing_context(spark: SparkSession, d: str) -> DataFrame:
-    return benchmark(spark, d).select("row_id", F.array_join(windows.trailing(F.col("tokens")), " ").alias("context"))
+    return split_documents(spark, d).select("row_id", F.array_join(windows.trailing(F.col("tokens")), " ").alias("context"))
 
 
-@query(f"SELECT item_id AS row_id, array_to_string({SQL_TOKENS.format('text')}, '') || '</s>' AS text FROM benchmark")
+@query(f"SELECT doc_id AS row_id, array_to_string({SQL_TOKENS.format('text')}, '') || '</s>' AS text FROM documents")
 def pieces_joined(spark: SparkSession, d: str) -> DataFrame:
-    whole = F.concat(F.array_repeat(F.lit("<s>"), 15), F.col("tokens"), F.array(F.lit("</s>")))
-    return benchmark(spark, d).select("row_id", windows.joined_pieces(whole, F.lit("<s>")).alias("text"))
+    whole = F.concat(F.array_repeat(F.lit("<s>"), WIDTH), F.col("tokens"), F.array(F.lit("</s>")))
+    return split_documents(spark, d).select("row_id", windows.joined_pieces(whole, F.lit("<s>")).alias("text"))
 
 
-_VOCABULARY_SQL = f"""t AS (SELECT item_id AS row_id, unnest({SQL_TOKENS.format('text')}) AS token, unnest(range(0, len({SQL_TOKENS.format('text')}))) AS place FROM benchmark),
+_VOCABULARY_SQL = f"""t AS (SELECT doc_id AS row_id, unnest({SQL_TOKENS.format('text')}) AS token, unnest(range(0, len({SQL_TOKENS.format('text')}))) AS place FROM documents),
 v AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS vocab_id FROM (SELECT DISTINCT token FROM t))"""
 
 
-@query(f"WITH {_VOCABULARY_SQL} SELECT row_id, CAST(place AS INTEGER) AS place, vocab_id, t.token AS piece FROM t JOIN v ON t.token = v.token WHERE vocab_id < 500")
+@query(f"WITH {_VOCABULARY_SQL} SELECT row_id, CAST(place AS INTEGER) AS place, vocab_id, t.token AS piece FROM t JOIN v ON t.token = v.token WHERE vocab_id < (SELECT count(*) FROM v)")
 def piece_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens to dense ids and back by equi-joins with the vocabulary; ids out of range are left out."""
-    t = benchmark(spark, d).select("row_id", F.posexplode("tokens").alias("place", "token"))
+    """Tokens to dense ids and back by equi-joins with the vocabulary; ids beyond its size are left out."""
+    t = split_documents(spark, d).select("row_id", F.posexplode("tokens").alias("place", "token"))
     v = catalog.with_row_ids(t.select("token").distinct(), "token", "id").select("token", (F.col("id") - 1).cast("int").alias("vocab_id"))
     ids = t.join(v, "token").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("place", "vocab_id"))).alias("s"))
-    ids = ids.select("row_id", F.explode(F.filter("s", lambda x: (x["vocab_id"] >= 0) & (x["vocab_id"] < 500))).alias("s")).select("row_id", "s.place", "s.vocab_id")
+    known = F.filter("s", lambda x: windows.is_known(x["vocab_id"], F.lit(v.count())))
+    ids = ids.select("row_id", F.explode(known).alias("s")).select("row_id", "s.place", "s.vocab_id")
     return ids.join(v.withColumnRenamed("token", "piece"), "vocab_id").select("row_id", "place", "vocab_id", "piece")
 
 
@@ -363,50 +376,85 @@ def report_flags(spark: SparkSession, d: str) -> DataFrame:
     return report.withColumns({c: F.col(c).cast("int") for c in ("original_dim", "reduced_dim")})
 
 
+def _unit_rows(spark: SparkSession, d: str) -> DataFrame:
+    return reduce.dense_features(table(spark, d, "embeddings"), "embedding")
+
+
+_CORPUS_VOCAB = 1400
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).withColumn("sentence", N.normalize(F.col("sentence")))
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[bytes, DataFrame]:
+    """The corpus's vocabulary and its context vectors, stored."""
+    model = subword.fit_vocabulary(_corpus(spark, d), _CORPUS_VOCAB)
+    ids = subword.encoded(_corpus(spark, d), model).select("row_id", "ids")
+    vectors = windows.sparse_rows(ids, subword.BOS, subword.EOS, tokens="ids").withColumn("values", F.col("values").cast("array<float>"))
+    return model, Scratch(spark, "vectors").save(vectors, "vectors")
+
+
 @query()
 def svd_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    return reduce.svd_sweep(reduce.dense_features(rows, "embedding"), 64, rows.count(), step=8, least=8)
+    """Of the corpus's context vectors: one decomposition, a row for each dimension of the ladder."""
+    _, vectors = _vectors(spark, d)
+    return reduce.svd_sweep(reduce.sparse_features(vectors), _CORPUS_VOCAB, vectors.count())
 
 
 @query()
 def pca_report(spark: SparkSession, d: str) -> DataFrame:
-    spectrum, _ = reduce.pca_spectrum(reduce.dense_features(table(spark, d, "embeddings"), "embedding"), 32)
-    return catalog.key_values(reduce.formatted(reduce.pca_report(reduce.spectrum_table(spark, spectrum), 64, 32)))
+    _, vectors = _vectors(spark, d)
+    spectrum, _ = reduce.pca_spectrum(reduce.sparse_features(vectors), _CORPUS_VOCAB, 600)
+    return catalog.key_values(reduce.formatted(reduce.pca_report(reduce.spectrum_table(spark, spectrum), _CORPUS_VOCAB, 600)))
 
 
-# learned operators ---------------------------------------------------------------------------------------------------
+@query("""WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.x * b.x), 4) AS total FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""")
+def gramian(spark: SparkSession, d: str) -> DataFrame:
+    """What both decompositions start from: sums of products of columns."""
+    _, _, gram = reduce.moments(_unit_rows(spark, d), 64)
+    rows = [(i, j, float(gram[i, j])) for i in range(64) for j in range(i, 64)]
+    return spark.createDataFrame(rows, "i int, j int, total double").withColumn("total", F.round("total", 4))
 
 
-def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).withColumn("sentence", N.normalize(F.col("sentence")))
+@query("""WITH e AS (SELECT unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+v AS (SELECT var_pop(x) AS v FROM e GROUP BY i) SELECT round(sum(v), 4) AS variance, 1.0::DOUBLE AS svd_share, 1.0::DOUBLE AS pca_share FROM v""")
+def spectrum_totals(spark: SparkSession, d: str) -> DataFrame:
+    """All components together explain all of the columns' variance, in either decomposition."""
+    rows = _unit_rows(spark, d)
+    svd, _ = reduce.svd_spectrum(rows, 64, 64)
+    pca, _ = reduce.pca_spectrum(rows, 64, 64)
+    variance = sum(x[1] ** 2 for x in pca) / max(1, table(spark, d, "embeddings").count())
+    return spark.createDataFrame([(round(variance, 4), round(sum(x[2] for x in svd), 6), round(sum(x[2] for x in pca), 6))], "variance double, svd_share double, pca_share double")
+
+
+# learned operators ---------------------------------------------------------------------------------------------------
 
 
 @query()
 def spm_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return subword.vocabulary(spark, subword.fit_vocabulary(_corpus(spark, d), 1400))
+    return subword.vocabulary(spark, subword.fit_vocabulary(_corpus(spark, d), _CORPUS_VOCAB))
 
 
 @query()
 def spm_token_stats(spark: SparkSession, d: str) -> DataFrame:
     corpus = _corpus(spark, d)
-    return stats.token_statistics(subword.encoded(corpus, subword.fit_vocabulary(corpus, 1400)), 1400)
+    return stats.token_statistics(subword.encoded(corpus, subword.fit_vocabulary(corpus, _CORPUS_VOCAB)), _CORPUS_VOCAB)
 
 
-def _trained(spark: SparkSession, d: str):
-    corpus = table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("sentence"))
-    model = subword.fit_vocabulary(corpus, 200)
-    ids = subword.encoded(corpus, model).select("row_id", "ids")
-    vectors = windows.vectors(windows.windows(ids, F.lit(subword.BOS), F.lit(subword.EOS), tokens="ids"))
-    return model, *nextword.train(vectors, 200, epochs=2, hidden=(64, 32))
+#: The network's own layers over all windows of the corpus; one epoch in large mini-batches, as each is a Spark job.
+_TRAINING = {"epochs": 1, "batch_size": 1 << 16}
 
 
 @query()
 def train_log(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(_trained(spark, d)[2], "epoch int, loss double, sparse_categorical_accuracy double")
+    _, vectors = _vectors(spark, d)
+    return spark.createDataFrame(nextword.train(vectors, _CORPUS_VOCAB, **_TRAINING)[1], "epoch int, loss double, sparse_categorical_accuracy double")
 
 
 @query()
 def generated_text(spark: SparkSession, d: str) -> DataFrame:
-    model, weights, _ = _trained(spark, d)
+    model, vectors = _vectors(spark, d)
+    weights, _ = nextword.train(vectors, _CORPUS_VOCAB, **_TRAINING)
     return decode.generate(decode.seeds_for(spark, "none10"), weights, model, seed=1)

@@ -31,6 +31,22 @@ def test_two_formulations_of_windows(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+@pytest.mark.parametrize("width, slide, nearest", [(15, 1, False), (3, 2, True), (1, 1, False)])
+def test_sparse_rows_are_the_windows_vectors(spark, monkeypatch, kind, width, slide, nearest):
+    monkeypatch.setattr(windows, "ROWS", 7)
+    rng = np.random.default_rng(0)
+    rows = [(i, [str(x) if kind == "string" else int(x) for x in rng.integers(0, 12, rng.integers(0, 30))]) for i in range(300)] + [(1000, ["é"] if kind == "string" else [99]), (1001, None)]
+    frame = spark.createDataFrame(rows, f"row_id long, tokens array<{kind}>")
+    bos, eos = ("<s>", "</s>") if kind == "string" else (2, 3)
+    plain = windows.vectors(windows.windows(frame.where("tokens IS NOT NULL"), F.lit(bos), F.lit(eos), width, slide), width, nearest)
+    a = {(r.row_id, r.pos): (r.y, list(r.indices), [round(v, 5) for v in r["values"]]) for r in plain.collect()}
+    b = {(r.row_id, r.pos): (r.y, list(r.indices), [round(v, 5) for v in r["values"]]) for r in windows.sparse_rows(frame, bos, eos, width, slide, nearest_first=nearest).where("row_id <> 1001").collect()}
+    assert a.keys() == b.keys()
+    assert all(a[k][:2] == b[k][:2] and np.allclose(a[k][2], b[k][2], atol=2e-5) for k in a)
+    assert windows.sparse_rows(frame.limit(0), bos, eos).count() == 0
+
+
 def test_token_statistics(spark):
     rows = spark.createDataFrame([("a b a c",), ("a b",), ("",), ("d",)], "sentence string").withColumn("tokens", stats.white_space(F.col("sentence")))
     r = stats.token_statistics(rows, 10).first()
