@@ -14,10 +14,6 @@ def white_space(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda t: t != "")
-
-
 def token_frequency(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     return rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 

@@ -13,7 +13,9 @@ CORPUS = "row_id long, sentence string, target string, polarity string"
 VOCABULARY = "vocab_id int, vocab string, score double"
 WINDOWS = "row_id long, pos int, y int, indices array<int>, values array<float>"
 TRAIN_LOG = "epoch string, loss string, sparse_categorical_accuracy string"
-CHECKPOINT = r"^.*next_word_model_epoch_(\d+)\.(?:h5|keras|parquet)$"
+# fixed values: names of the artifacts of earlier runs
+CHECKPOINT = r"^(?:.*/)?next_word_model_epoch_(\d+)\.(?:h5|keras)$"
+VOCABULARIES = "*_tokenized_*.db"
 
 
 class Catalog:
@@ -115,6 +117,11 @@ def latest_checkpoint(names: DataFrame) -> DataFrame:
     return found.agg(F.max_by("name", F.struct("epoch", "name")).alias("name"), F.max("epoch").alias("epoch")).where("name IS NOT NULL")
 
 
+def stored_paths(spark: SparkSession, folder: str, names: str = VOCABULARIES) -> DataFrame:
+    """(path) of the files under a folder whose names fit; their contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", True).load(folder).select("path")
+
+
 def listed_sizes(paths: DataFrame) -> DataFrame:
     """(path, vocab_size) from the number in each name, ascending; a path without one is an error."""
     found = F.regexp_extract("path", r"(\d+)[^/\d]*$", 1)

@@ -257,3 +257,49 @@ def test_flows(spark, small_corpus, tmp_path):
     vectors = flows.vectorise(spark, corpus, model, store)
     assert flows.compress(spark, vectors, 60, store, step=20, least=20).count() == 2
     assert catalog.read_tsv(spark, store.path("token_statistics"), "vocab_size int, mean double").count() == 2
+
+
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    from glyphmill.__main__ import main, parser
+
+    rng = np.random.default_rng(3)
+    words = ["price", "2016", *("".join(rng.choice(list("aeionrstlm"), rng.integers(3, 9))) for _ in range(300))]
+    docs = [(i, " ".join(rng.choice(words, 12)), f"s{i % 2}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(subword, "MIN_VOCAB", 40)
+    monkeypatch.setattr(nextword, "HIDDEN", (8, 4))
+
+    def said(*argv):
+        assert main(["--root", f"file://{tmp_path}/store", *argv], spark) == 0
+        return capsys.readouterr().out
+
+    tables = ("--tables", str(tmp_path))
+    assert "sentence: string" in said("describe", *tables) and said("prepare", *tables) == "60 sentences\n"
+    assert len(said("compare", *tables, "--sample", "4").splitlines()) == 5
+    assert len(said("weights", "--most", "3").splitlines()) == 4
+    assert len(said("sweep", "--low", "30", "--high", "40", "--steps", "2").splitlines()) == 3
+    assert said("vocabulary", "--size", "40").startswith("vocab_size, ")
+    n = int(said("vectorise", "--slide", "2").split()[0])
+    assert n == spark.read.parquet(f"{tmp_path}/store/context_windows").count() > 60
+    assert len(said("windows", "--sample", "3").splitlines()) == 4
+    assert len(said("svd", "--step", "10", "--least", "10").splitlines()) == 4 and spark.read.parquet(f"{tmp_path}/store/svd_model").count() == 30
+    assert "explained_variance_rate" in said("pca", "--dim", "5") and spark.read.parquet(f"{tmp_path}/store/pca_model/dim=5").count() == 5
+    assert said("train", "--epochs", "1", "--batch", "4096").startswith("1\t")
+    assert said("train", "--epochs", "1", "--mode", "continue") == "1\t-1.00000000\t-1.00000000\n"
+    assert len(said("generate", "--mode", "none10").splitlines()) == 10 and said("generate", "--mode", "take", "--text", "PRICE")
+    assert "sparse_categorical_accuracy" in said("view", "--report", "training_log")
+    for wrong in (["vocabulary", "--size", "39"], ["vectorise", "--width", "0"], ["generate", "--mode", "other"], []):
+        with pytest.raises(SystemExit):
+            parser().parse_args(wrong)
+    monkeypatch.delenv("GLYPHMILL_ROOT", raising=False)
+    with pytest.raises(SystemExit):
+        main(["weights"], spark)
+
+
+def test_stored_artifacts_are_listed(spark, tmp_path):
+    for name in ("a_tokenized_1400.db", "a_tokenized_10000.db", "notes.txt"):
+        (tmp_path / name).write_text("x")
+    assert [r.vocab_size for r in catalog.listed_sizes(catalog.stored_paths(spark, str(tmp_path))).collect()] == [1400, 10000]
+    names = spark.createDataFrame([("x/next_word_model_epoch_3.h5",), ("old_next_word_model_epoch_9.h5",), ("next_word_model_epoch_4.parquet",)], "name string")
+    assert catalog.latest_checkpoint(names).first().epoch == 3
