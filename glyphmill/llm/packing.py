@@ -13,6 +13,7 @@ doc_id is kept as it is.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,8 +33,12 @@ CACHE_WORDS, BATCH_CHARS, LEARN = 600_000, 4_000_000, 500
 PART = 50_000
 #: Bits for the rows of a file in ``at``.
 FILE_BITS = 36
+#: Marks that no token of the vocabulary's patterns holds together with a letter or a digit beside them.
+MARKS = ".,;:!?#%()[]{}\"*"
 #: Python splits at these, the tokenizer's patterns don't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: First and last characters that stay a letter or a digit whatever the tokenizer's normalisation does.
+PLAIN_ENDS = frozenset(c for c in map(chr, range(0x250)) if c.isascii() and c.isalnum() or c.isalpha() and c.lower().isalpha() and len(c.lower()) == 1 and c >= "\u00c0")
 _tokenizers: dict = {}
 
 
@@ -49,29 +54,75 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), LEARN):
-            some = words[at : at + LEARN]
+    def learn(self, words: set[str]) -> None:
+        """Marks around a word are tokens of their own, so words that differ in them or in their case are encoded once."""
+        parts, plain = {}, set()
+        for word in words:
+            core = word.strip(MARKS)
+            if core and core[0] in PLAIN_ENDS and core[-1] in PLAIN_ENDS:
+                key = core.lower() if core.isascii() else core
+                if core is word:
+                    parts[word] = (key,)
+                    plain.add(key)
+                else:
+                    at = word.index(core)
+                    parts[word] = split = (word[:at], key, word[at + len(core) :])
+                    plain.update(split)
+            else:
+                plain.add(word)
+        plain.discard("")
+        known = self.known
+        self._encode([w for w in plain if w not in known])
+        known[""] = b""
+        for word, split in parts.items():
+            known[word] = known[split[0]] if len(split) == 1 else known[split[0]] + known[split[1]] + known[split[2]]
+
+    def _encode(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        for at in range(0, len(letters), LEARN):  # each has one token that ends a word
+            some = letters[at : at + LEARN]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ending[ids])
+            if len(ends) == len(some):
+                self._keep(some, ids, [0, *(ends + 1).tolist()])
+            else:
+                rest += some
+        for at in range(0, len(rest), LEARN):
+            some = rest[at : at + LEARN]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4").tobytes()
+            starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids))
             ends = np.cumsum([len(w) + 1 for w in some])
-            starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids) // 4)
-            cuts = [0, *(4 * np.searchsorted(starts, ends, "left")).tolist()]
-            self.known.update(zip(some, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+            self._keep(some, np.array(encoded.ids, "<u4"), [0, *np.searchsorted(starts, ends, "left").tolist()])
+
+    def _keep(self, words: list[str], ids: np.ndarray, cuts: list[int]) -> None:
+        raw = ids.tobytes()
+        self.known.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:]))))
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian ids of each text."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
+        known = self.known
         odd = [any(c in t for c in ODD_SPACE) for t in texts]
         words = [[] if o else t.split() for t, o in zip(texts, odd)]
-        self.learn(list(set().union(*words) - self.known.keys()))
+        flat = list(itertools.chain.from_iterable(words))
+        found = list(map(known.get, flat))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        self.learn({flat[i] for i in gaps})
+        for i in gaps:
+            found[i] = known[flat[i]]
+        at = 0
         for t, o, w in zip(texts, odd, words):
-            yield self.encode(t) if o else b"".join(map(self.known.__getitem__, w))
+            yield self.encode(t) if o else b"".join(found[at : at + len(w)])
+            at += len(w)
 
 
 def word_ids(path: str) -> WordIds:

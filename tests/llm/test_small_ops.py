@@ -76,6 +76,13 @@ def test_pieces_against_the_tokenizer(spark):
     assert max(ends.values()) <= 4096
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="aAbZéÉßİΣσ'’.,;:!?#%()[]{}\"*-_0129½²五\u0338\u0301 \n\t\u00a0<>&ﬁＡ１\U0001f600가\u1100\u1161", max_size=30), max_size=8))
+def test_word_ids_are_the_tokenizers(texts):
+    words = packing.word_ids(word_bpe())
+    assert list(words.texts(texts)) == [words.encode(t) for t in texts]
+
+
 def test_packing_ties_repeats_and_nothing(spark):
     docs = documents(spark, ["same words"] * 50)
     docs = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, "x", None, None, None, None, None)], DOCS))
