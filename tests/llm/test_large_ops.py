@@ -296,6 +296,91 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Buckets of trigrams, one by one."""
+    chars, before = [" "], False
+    for c in text.lower():
+        if c.isalpha() or before:
+            chars.append(c if c.isalpha() else " ")
+        before = c.isalpha()
+    if not any(c.isalpha() for c in text.lower()):
+        return Counter()
+    out, mask = Counter(), 2**64 - 1
+    chars.append(" ")
+    for a, b, c in zip(chars, chars[1:], chars[2:]):
+        h = (ord(a) * 0x9E3779B97F4A7C15 & mask) ^ (ord(b) * 0xC2B2AE3D27D4EB4F & mask) ^ (ord(c) * 0x165667B19E3779F9 & mask)
+        out[(h * 0xD6E8FEB86659FD93 & mask) >> 48] += 1
+    return out
+
+
+def plain_mixture(grams, models):
+    """Shares of the models and the log-likelihood, by loops."""
+    share, total = [1 / len(models)] * len(models), sum(grams.values())
+    for _ in range(language.STEPS):
+        new = [0.0] * len(models)
+        for g, n in grams.items():
+            parts = [s * m(g) for s, m in zip(share, models)]
+            for k, x in enumerate(parts):
+                new[k] += n * x / sum(parts) / total
+        settled = max(abs(a - b) for a, b in zip(new, share)) < language.SETTLED
+        share = new
+        if settled:
+            break
+    return share, sum(n * np.log(sum(s * m(g) for s, m in zip(share, models))) for g, n in grams.items())
+
+
+def plain_language(train):
+    """A function of a text to (language, score, background, set) from (text, language) pairs."""
+    counts = {}
+    for text, lang in train:
+        counts.setdefault(lang, Counter()).update(plain_grams(text))
+    names = sorted(counts)
+    sums = {k: sum(counts[k].values()) for k in names}
+    models = [lambda g, k=k: (counts[k][g] + language.SMOOTHING) / (sums[k] + language.SMOOTHING * 65536) for k in names] + [lambda g: 1 / 65536]
+
+    def infer(text):
+        grams = plain_grams(text or "")
+        if not grams:
+            return "und", 0.0, 1.0, set()
+        n = sum(grams.values())
+        share, _ = plain_mixture(grams, models)
+        order = sorted(range(len(names)), key=lambda k: -share[k])
+        chosen = order[:1]
+        best = plain_mixture(grams, [models[chosen[0]], models[-1]])
+        for k in order[1:]:
+            if share[k] * n < 1:
+                break
+            more = plain_mixture(grams, [*(models[x] for x in (*chosen, k)), models[-1]])
+            if (more[1] - best[1]) / language.OVERLAP <= language.PENALTY * np.log(n + 1):
+                break
+            chosen, best = [*chosen, k], more
+        spoken = best[0][:-1]
+        top = spoken.index(max(spoken))
+        return names[chosen[top]], spoken[top] / sum(spoken), best[0][-1], {names[k] for k in chosen}
+
+    return infer
+
+
+def test_language_against_brute_force(spark):
+    import zlib
+
+    rng = np.random.default_rng(12)
+    langs = [str(x) for x in rng.choice(list(SYLLABLES), 70)]
+    texts = [babble(rng, x, int(rng.integers(1, 40))) for x in langs]
+    texts += [babble(rng, "aa", 40) + " 12 ,.! " + babble(rng, "cc", 40), "x", "!!", None, "Ünï ЖЩ aé", texts[0], texts[0], "ka" * 30_000]
+    langs += [None] * 5 + [langs[0], langs[0], "aa"]
+    docs = documents(spark, texts, langs)
+    rows = language.identify(docs.union(docs.limit(1)).union(spark.createDataFrame([(None, "kari tomu", "bb", "", 0, 0, "")], DOCS))).collect()
+    assert len(rows) == len(texts) + 2  # repeated rows are judged each, one of a null id teaches nothing
+    known = [(t, x) for i, (t, x) in enumerate(zip([*texts, texts[0]], [*langs, langs[0]])) if t is not None and x is not None and zlib.crc32(str(i if i < len(texts) else 0).encode()) % 3 != 1]
+    infer = plain_language(known)
+    for r in rows:
+        text = texts[r.doc_id] if r.doc_id is not None else "kari tomu"
+        lang, score, background, names = infer(text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-6 and abs(r.background - background) < 1e-6, text
+        assert {p.split(":")[0] for p in r.languages.split(",") if p} == names
+
+
 # near-copies
 
 
@@ -499,3 +584,49 @@ def test_mixture_reaches_the_sequences(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
     without = {(r.doc_id, r.piece, r.sequence_id, r.offset) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {x[:2] for x in with_stage} == {x[:2] for x in without} and with_stage != without
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """What run() gives on a table with every odd kind of row, against plain versions of the stages."""
+    import zlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(21)
+    langs = [str(x) for x in rng.choice(list(SYLLABLES), 40)]
+    texts = [babble(rng, x, int(rng.integers(8, 60))) for x in langs]
+    texts += [texts[3], texts[4] + " ka", None, "", "123 456", "ж" * 400, babble(rng, "aa", 30_000), "write to a.b@c.org or +1 (743) 555-3824 " + babble(rng, "aa", 30), "password: correct-horse-battery " + babble(rng, "bb", 30)]
+    langs += ["aa"] * (len(texts) - len(langs))
+    rows = [(i, t, x, f"s{i % 3}" if i % 7 else None, len(t or ""), "extra") for i, (t, x) in enumerate(zip(texts, langs))]
+    rows += [rows[5], rows[5], (None, babble(rng, "cc", 20), "cc", "s1", 0, "extra")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    infer = plain_language([(r[1], r[2]) for r in rows if r[0] is not None and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 3 != 1])
+    left = [r for r in rows if (lambda f: f[0] != "und" and f[2] <= corpus_pipeline.MOST_BACKGROUND)(infer(r[1]))]
+    shingled = [near_copies.shingles([r[1]]) for r in left]
+    df = Counter(h for s in shingled for h in s[0].tolist())
+    vectors = [(s[0], near_copies.exact_weights(s[1], np.array([df[h] for h in s[0].tolist()], np.uint32), len(left))) for s in shingled]
+    pairs = [(j, i) for i in range(len(left)) for j in range(i) if left[i][1] == left[j][1] or near_copies.similarity(vectors[i], vectors[j]) >= near_copies.SIMILARITY]
+    comp = roots(len(left), pairs)
+    left = [min((left[k] for k in range(len(left)) if comp[k] == c), key=lambda r: (r[0] is None, r[0])) for c in sorted(set(comp))]
+    assert {r.doc_id for r in got} == {r[0] for r in left} and {41, 42, 43, 44, 45} & {r[0] for r in left} == ({41} & {r[0] for r in left})
+    tok, of = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for doc, text, *_ in left:
+        spans = sorted((a, b, k) for k, a, b in [*plain_spans(text), *(("secret", *m.span(1)) for m in re.finditer(r"password: ([a-z-]{16,})", text))])
+        for a, b, kind in reversed(spans):
+            text = f"{text[:a]}<{kind.upper()}>{text[b:]}"
+        of[doc] = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4")
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert zlib.crc32(of[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert sum(r.length for r in got) == sum(map(len, of.values())) and sorted(ends) == list(range(len(ends))) and max(ends.values()) <= 4096
+    # an empty table with a column of a clashing name
+    kept = spark.createDataFrame([], schema)
+    assert corpus_pipeline.mix_sources(spark, kept, "").columns == kept.columns
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
