@@ -242,13 +242,18 @@ SELECT row_id, pos, p[pos + {WIDTH} + 1] AS y FROM w"""
 SQL_VECTORS = f"""WITH p AS (SELECT doc_id AS row_id, {_padded_sql(SQL_TOKENS.format('text'))} AS p FROM documents),
 w AS (SELECT row_id, p, CAST(unnest(range(0, len(p) - {WIDTH})) AS INTEGER) AS pos FROM p),
 e AS (SELECT row_id, pos, p, unnest(range(0, {WIDTH})) AS i FROM w),
-g AS (SELECT row_id, pos, p[pos + i + 1] AS token, sum(1.0 / pow(i + 1, 0.25)) AS weight FROM e GROUP BY row_id, pos, p[pos + i + 1])
-SELECT row_id, pos, CAST(count(*) AS INTEGER) AS n, md5(string_agg(token || ':' || CAST(CAST(round(weight * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY token)) AS entries FROM g GROUP BY row_id, pos"""
+g AS (SELECT row_id, pos, p[pos + i + 1] AS token, sum(1.0 / pow(i + 1, 0.25)) AS weight FROM e GROUP BY row_id, pos, p[pos + i + 1]),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_id, pos ORDER BY token) AS k FROM g)
+SELECT row_id, pos, CAST(count(*) AS INTEGER) AS n, min(token) AS first_token, max(token) AS last_token, round(max(weight), 4) AS heaviest, round(sum(weight * k), 4) AS moment FROM r GROUP BY row_id, pos"""
 
 
-def _digested(entries: F.Column) -> F.Column:
-    """Of an array of (token, weight) in order of the tokens."""
-    return F.md5(F.array_join(F.transform(entries, lambda e: F.concat(e["token"], F.lit(":"), F.round(e["weight"] * 10000).cast("long").cast("string"))), " "))
+def _summed_up(rows: DataFrame) -> DataFrame:
+    """Of sparse rows in order of their tokens: ends, the largest weight, and the weights by their places."""
+    places = F.zip_with("values", F.sequence(F.lit(1), F.size("values")), lambda w, k: w * k)
+    return rows.select(
+        "row_id", "pos", F.size("indices").alias("n"), F.get("indices", F.lit(0)).alias("first_token"), F.element_at("indices", -1).alias("last_token"),
+        F.round(F.array_max("values"), 4).alias("heaviest"), F.round(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), 4).alias("moment"),
+    )
 
 
 @query(_labels_sql("documents", "doc_id"))
@@ -263,10 +268,8 @@ def windows_slide(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQL_VECTORS)
 def windows_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Each window's sparse row, as the number of its entries and their digest."""
-    found = windows.sparse_rows(split_documents(spark, d), "<s>", "</s>")
-    entries = F.zip_with("indices", "values", lambda t, w: F.struct(t.alias("token"), w.alias("weight")))
-    return found.select("row_id", "pos", F.size("indices").alias("n"), _digested(entries).alias("entries"))
+    """Each window's sparse row, summed up in a few numbers."""
+    return _summed_up(windows.sparse_rows(split_documents(spark, d), "<s>", "</s>"))
 
 
 @query(SQL_VECTORS)
@@ -274,7 +277,7 @@ def windows_vectors_frame(spark: SparkSession, d: str) -> DataFrame:
     """The same by a window frame over exploded tokens."""
     found = windows.framed(split_documents(spark, d), F.lit("<s>"), F.lit("</s>"))
     found = found.groupBy("row_id", "pos").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("e"))
-    return found.select("row_id", "pos", F.size("e").alias("n"), _digested(F.col("e")).alias("entries"))
+    return _summed_up(found.select("row_id", "pos", F.col("e.token").alias("indices"), F.col("e.weight").alias("values")))
 
 
 @query(f"SELECT doc_id AS row_id, array_to_string(list_slice(t, greatest(len(t) - {WIDTH} + 1, 1), len(t)), ' ') AS context FROM (SELECT doc_id, {SQL_TOKENS.format('text')} AS t FROM documents)")
