@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, cover_tree, digests, language, mixing, near_copies, packing, personal_data, repeats, url_rules
+from glyphmill.llm import chat, cover_tree, digests, language, mixing, near_copies, packing, periodic_runs, personal_data, repeats, spelling, toxicity, url_rules
 from glyphmill.llm.common import table
 
 
@@ -102,6 +102,19 @@ SELECT page_id, host, path, split_part(hit, ' ', 1) AS rule, coalesce(split_part
 FROM best
 """
 
+
+def op11_clause_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("clauses")
+
+
+def op12_errata_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), spoil=True)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_made_runs(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_cover_tree_links": op1_cover_tree_links,
     "op2_canonical_digest": op2_canonical_digest,
@@ -113,6 +126,9 @@ QUERIES = {
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_rules": op10_url_rules,
+    "op11_clause_toxicity": op11_clause_toxicity,
+    "op12_errata_spelling": op12_errata_spelling,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_cover_tree_links": OP1_SQL, "op3_reply_tree_chat": OP3_SQL, "op10_url_rules": OP10_SQL}
