@@ -45,14 +45,16 @@ def with_made_runs(docs: DataFrame) -> DataFrame:
     """
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     w = F.when(F.pmod(h, F.lit(10)) == 0, words(F.col("text")))
-    at = docs.select("*", F.struct(w.alias("w"), F.floor(h / 10).cast("long").alias("g")).alias("_made"))
-    w, g = F.col("_made.w"), F.col("_made.g")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    at = docs.select(row, w.alias("w"), F.floor(h / 10).cast("long").alias("g"))
+    w, g = F.col("w"), F.col("g")
     n = F.size(w)
     a = F.pmod(g, n.cast("long")).cast("int")
     p = F.lit(1) + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("int")
     repeated = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
     made = F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(repeated, F.lit(1), n - a)), " ")
-    return at.withColumn("text", F.when(n > 0, made).otherwise(F.col("text"))).drop("_made")
+    text = F.when(n > 0, made).otherwise(F.col("row.text")).alias("text")
+    return at.select(*(text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def names_of(codes: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:

@@ -82,19 +82,16 @@ def test_few_places_at_once(monkeypatch):
 
 def test_run_digests(spark):
     r = random.Random(5)
-    texts = [None, "", " \t\n", "a", "a a a a a a", " a a a a a\x0ba\x0c", "x y x y x y x y z", "é\xa0é é\xa0é é\xa0é é\xa0é é\xa0é é\xa0é", "a a a a a", "k " * 30000, "a b " * 5 + "b " * 9]
+    texts = [None, "", " \t\n", "a", "a a a a a a", " a a a a a\x0ba\x0c", "x y x y x y x y z", "é\xa0é é\xa0é é\xa0é é\xa0é é\xa0é é\xa0é", "a a a a a", "k " * 3000, "a b " * 5 + "b " * 9]
     texts += [" ".join(r.choice("ab") for _ in range(r.randint(1, 90))) for _ in range(150)] + ["a b " * 5 + "b " * 9] * 2
     ids = [None, None, *range(2, len(texts) - 1), 2]
     docs = frame(spark, texts, ids)
     got = periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_made_runs(docs))).collect()
-    assert sorted(map(tuple, got), key=str) == sorted((brute_digest(i, t) for i, t in zip(ids, texts) if t is None or len(t) < 9999), key=str) + [] or len(got) == len(texts)
-    mine = {(r_.doc_id, r_.n_runs, r_.start, r_.length, r_.period, r_.exponent_milli, r_.runs_sha256, r_.collapsed_sha256) for r_ in got}
-    assert {brute_digest(i, t) for i, t in zip(ids, texts) if t is None or len(t) < 9999} <= mine
-    assert len(got) == len(texts)
+    assert sorted(map(tuple, got), key=str) == sorted((brute_digest(i, t) for i, t in zip(ids, texts)), key=str)
 
 
 def test_runs_keep_columns_and_empty_tables(spark):
-    docs = frame(spark, ["a a a a a a b"]).selectExpr("doc_id", "text", "7 AS runs", "8 AS collapsed", "9 AS _made", "10 AS w")
+    docs = frame(spark, ["a a a a a a b"]).selectExpr("doc_id", "text", "7 AS runs", "8 AS collapsed", "9 AS row", "10 AS w")
     row = periodic_runs.find_runs(periodic_runs.with_made_runs(docs)).first()
     assert (row.doc_id, row.n_words, [tuple(r) for r in row.runs], row.collapsed) == (0, 7, [(0, 6, 1)], "a b")
     assert periodic_runs.find_runs(docs.limit(0)).count() == 0
