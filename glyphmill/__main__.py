@@ -71,9 +71,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     def stored(name: str) -> DataFrame:
         return spark.read.parquet(store.path(name))
 
-    def model() -> tuple[bytes, int]:
+    def model() -> tuple[subword.Vocabulary, int]:
         found = subword.load_model(spark, store.path("model_final"))
-        return found, subword.processor(found).get_piece_size()
+        return found, len(found)
 
     if a.command == "describe":
         return views.described(catalog.corpus(spark, a.tables))

@@ -32,7 +32,7 @@ def sweep(spark: SparkSession, corpus: DataFrame, sizes: list[int], catalog: Cat
     return report
 
 
-def final_vocabulary(spark: SparkSession, corpus: DataFrame, size: int, catalog: Catalog) -> bytes:
+def final_vocabulary(spark: SparkSession, corpus: DataFrame, size: int, catalog: Catalog) -> subword.Vocabulary:
     model = subword.fit_final_vocabulary(corpus, size)
     subword.save_model(spark, model, catalog.path("model_final"))
     write_table(subword.vocabulary(spark, model), catalog.path("vocab_final"))
@@ -40,7 +40,7 @@ def final_vocabulary(spark: SparkSession, corpus: DataFrame, size: int, catalog:
     return model
 
 
-def vectorise(spark: SparkSession, corpus: DataFrame, model: bytes, catalog: Catalog, width: int = 15, slide: int = 1) -> DataFrame:
+def vectorise(spark: SparkSession, corpus: DataFrame, model: subword.Vocabulary, catalog: Catalog, width: int = 15, slide: int = 1) -> DataFrame:
     """Context windows with labels, stored as one table keyed (row_id, pos)."""
     ids = subword.encoded(corpus, model).select("row_id", "ids")
     found = windows.sparse_rows(ids, subword.BOS, subword.EOS, width, slide, "ids").withColumn("values", F.col("values").cast("array<float>"))
@@ -71,7 +71,7 @@ def compress_pca(spark: SparkSession, vectors: DataFrame, vocab: int, k: int, ca
     return report
 
 
-def generate(spark: SparkSession, weights: list, model: bytes, mode: str, text: str = "", seed: int = 0, catalog: Catalog | None = None, **options) -> DataFrame:
+def generate(spark: SparkSession, weights: list, model: subword.Vocabulary, mode: str, text: str = "", seed: int = 0, catalog: Catalog | None = None, **options) -> DataFrame:
     """Generated lines; with a catalog they are also stored as a text file."""
     found = decode.generate(decode.seeds_for(spark, mode, text), weights, model, seed=seed, **options)
     lines = decode.lines(found, mode == "none10")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -390,9 +391,19 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).withColumn("sentence", N.normalize(F.col("sentence")))
 
 
-def _vectors(spark: SparkSession, d: str) -> tuple[bytes, DataFrame]:
+@lru_cache(2)
+def _fitted(application: str, d: str) -> subword.Vocabulary:
+    return subword.fit_vocabulary(_corpus(SparkSession.getActiveSession(), d), _CORPUS_VOCAB)
+
+
+def _model(spark: SparkSession, d: str) -> subword.Vocabulary:
+    """The corpus's vocabulary, fitted on all its words once in a session."""
+    return _fitted(spark.sparkContext.applicationId, d)
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[subword.Vocabulary, DataFrame]:
     """The corpus's vocabulary and its context vectors, stored."""
-    model = subword.fit_vocabulary(_corpus(spark, d), _CORPUS_VOCAB)
+    model = _model(spark, d)
     ids = subword.encoded(_corpus(spark, d), model).select("row_id", "ids")
     vectors = windows.sparse_rows(ids, subword.BOS, subword.EOS, tokens="ids").withColumn("values", F.col("values").cast("array<float>"))
     return model, Scratch(spark, "vectors").save(vectors, "vectors")
@@ -437,13 +448,12 @@ def spectrum_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def spm_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return subword.vocabulary(spark, subword.fit_vocabulary(_corpus(spark, d), _CORPUS_VOCAB))
+    return subword.vocabulary(spark, _model(spark, d))
 
 
 @query()
 def spm_token_stats(spark: SparkSession, d: str) -> DataFrame:
-    corpus = _corpus(spark, d)
-    return stats.token_statistics(subword.encoded(corpus, subword.fit_vocabulary(corpus, _CORPUS_VOCAB)), _CORPUS_VOCAB)
+    return stats.token_statistics(subword.encoded(_corpus(spark, d), _model(spark, d)), _CORPUS_VOCAB)
 
 
 #: The network's own layers over all windows of the corpus; one epoch in large mini-batches, as each is a Spark job.

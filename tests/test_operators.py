@@ -1,8 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import decode, nextword, reduce, sampling, stats, subword, windows
+from glyphmill.operators import decode, nextword, reduce, sampling, stats, subword, unigram, windows
 from glyphmill.plans import flows
 from glyphmill.sources import catalog
 from glyphmill.streaming import prefix
@@ -181,6 +183,103 @@ def test_subwords(spark, small_corpus, fitted, tmp_path):
         subword.fit_final_vocabulary(small_corpus, 100)
 
 
+def all_paths(word, scores, unknown):
+    """Every way to write a word as pieces, with its score."""
+    if not word:
+        return [((), 0.0)]
+    out = []
+    for k in range(1, len(word) + 1):
+        piece = word[:k]
+        if piece in scores or k == 1:
+            out += [((piece, *rest), scores.get(piece, unknown) + x) for rest, x in all_paths(word[k:], scores, unknown)]
+    return out
+
+
+def test_lattice_against_all_paths():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        made = {"".join(rng.choice(list("abc"), rng.integers(1, 4))) for _ in range(9)} | {"a"}
+        pieces, words = sorted(made), ["".join(rng.choice(list("abcd"), rng.integers(0, 8))) for _ in range(6)]
+        scores, n = rng.normal(-3, 1, len(pieces)), rng.integers(1, 9, len(words))
+        lattice, unknown = unigram.Lattice.of(words, unigram.Trie.of(pieces)), scores.min() - unigram.UNKNOWN
+        s = lattice.scored(scores, unknown, np.float64)
+        row, place, size = lattice.best(s)
+        counts, like = lattice.sums(s, n, len(pieces))
+        of, total, expected = dict(zip(pieces, scores)), 0.0, np.zeros(len(pieces))
+        for i, w in enumerate(words):
+            paths = all_paths(w, of, unknown)
+            whole = np.logaddexp.reduce([x for _, x in paths])
+            total += n[i] * whole
+            for path, x in paths:
+                for p in path:
+                    if p in of:
+                        expected[pieces.index(p)] += n[i] * np.exp(x - whole)
+            best = tuple(w[p : p + k] for p, k in zip(place[row == i], size[row == i]))
+            assert "".join(best) == w and np.isclose(sum(of.get(p, unknown) for p in best), max(x for _, x in paths))
+        assert np.isclose(like, total) and np.allclose(counts, expected)
+
+
+def test_digamma():
+    x = np.array([0.5, 1.0, 2.0, 10.0, 1000.0])
+    assert np.allclose(unigram.digamma(x), [-1.9635100260214235, -0.5772156649015329, 0.42278433509846713, 2.2517525890667211, 6.907255195648812], atol=1e-10)
+
+
+@pytest.fixture(scope="module")
+def library(spark):
+    """The public library's own model of the smallest tables, and their texts."""
+    import io
+
+    import sentencepiece
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    model = io.BytesIO()
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=(line for t in texts for line in t.split("\n")), model_writer=model, vocab_size=1000, model_type="unigram", pad_id=0, unk_id=1, bos_id=2, eos_id=3, minloglevel=2, max_sentence_length=100000,
+    )
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model.getvalue())
+    return texts, sp, subword.Vocabulary(tuple(sp.id_to_piece(i) for i in range(1000)), tuple(sp.get_score(i) for i in range(1000)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_encoding_is_the_librarys(spark, library):
+    """The same ids but for exact ties, which the library settles by how its sums over a whole text happen to be rounded."""
+    texts, sp, model = library
+    odd = [None, "", " ", "a\u2581b  c\u00a0\u200bd", "\u3000ＡＢ～１２ ｶﾞｽ", "日本 日本x日", "q\x07r\ufeff", "é" * 5000, "x y " * 3000, "!日!", "日日 日"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd + texts)], "row_id int, sentence string")
+    got = {r.row_id: r for r in subword.encoded(rows, model).collect()}
+    differ = 0
+    for i, t in enumerate(odd + texts):
+        want = sp.encode(t or "")
+        mine = list(got[i].ids)
+        differ += want != mine
+        assert len(want) == len(mine) and abs(sum(model.scores[k] for k in want) - sum(model.scores[k] for k in mine)) < 1e-2
+        assert "".join(got[i].tokens) == sp.normalize(t or "")
+    assert differ <= 0.05 * len(texts)
+    words = subword.training_words(rows).toPandas().word.tolist()
+    row, _, _, ids = model.encode(words)
+    single = [[] for _ in words]
+    for r, k in zip(row.tolist(), ids.tolist()):
+        if k != subword.UNK or not single[r] or single[r][-1] != subword.UNK:
+            single[r].append(k)
+    # words by themselves
+    assert sum(a != b for a, b in zip(sp.encode([w[1:] for w in words]), single)) == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_fit_is_as_likely_as_the_librarys(spark, library):
+    texts, sp, theirs = library
+    corpus = spark.createDataFrame(list(enumerate(texts)), "row_id int, sentence string")
+    mine = subword.fit_vocabulary(corpus, 1000)
+    words = subword.training_words(corpus).cache()
+
+    def likelihood(model):
+        s = np.array(model.scores[4:])
+        return subword.expected(words, list(model.pieces[4:]), s - np.logaddexp.reduce(s))[1]
+
+    assert likelihood(mine) > 1.01 * likelihood(theirs)  # negative: at most one percent worse
+    assert len(set(mine.pieces) & set(theirs.pieces)) > 800 and len(set(mine.pieces)) == 1000
+
+
 def test_every_line_enters_the_vocabulary(spark):
     """Two lines with 210,000 copies each: whichever has the smaller hash, the other's words count as much."""
     lines = ["abc abd bcd cda", "xyz xyw yzw zwx"]
@@ -188,7 +287,7 @@ def test_every_line_enters_the_vocabulary(spark):
     found = {r.vocab for r in subword.vocabulary(spark, subword.fit_vocabulary(corpus, 16)).collect()}
     assert set("abcdxyzw") <= found
     odd = spark.createDataFrame([(1, "a  b\tc\r\n\na b"), (2, None), (3, "x" * 4193 + " b"), (4, " ")], "row_id long, sentence string")
-    assert {r.word: r.n for r in subword.training_words(odd).collect()} == {"a": 2, "b": 2, "c": 1}
+    assert {r.word: r.n for r in subword.training_words(odd).collect()} == {"▁a": 2, "▁b": 3, "▁c": 1, "▁" + "x" * 4193: 1}
 
 
 def test_gradient_against_differences():
@@ -237,8 +336,55 @@ def test_context_is_the_training_context(spark):
     ids = [9, 4, 4, 7]
     rows = spark.createDataFrame([(1, ids)], "row_id long, tokens array<int>")
     last = windows.vectors(windows.windows(rows, *ends())).where("pos = 4").first()
-    i, v = decode.context([2] * 15 + ids, 60)
-    assert dict(zip(i, np.float32(v))) == dict(zip(last.indices, np.float32(last["values"])))
+    weights = nextword.initial(60, (16, 8))
+    logits = decode.logits_of(weights, decode.contexts([ids]))
+    assert np.allclose(logits, nextword.forward(weights, [last.indices], [last["values"]])[-1], atol=1e-5)
+    strange = decode.contexts([[70, -1, 4, 7]])
+    assert np.isfinite(decode.logits_of(weights, strange)).all()
+
+
+def one_by_one(weights, seed_ids, drawn, top_k, temperature):
+    """The rule as it reads, a sequence and a token at a time."""
+    ids = list(seed_ids)
+    for u in drawn:
+        z = decode.logits_of([w.astype(np.float64) for w in weights], decode.contexts([ids]))[0] / temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        order = sorted(range(len(p)), key=lambda k: (-p[k], -k))
+        mass, upto, kept = max(0.99 * 0.97 ** len(ids), 0.4), 0.0, []
+        for k in order:
+            if kept and upto >= mass or top_k and len(kept) == top_k:
+                break
+            kept.append(k)
+            upto += p[k]
+        share = np.cumsum(p[kept]) / p[kept].sum()
+        ids.append(kept[min(int((share <= u).sum()), len(kept) - 1)])
+        if ids[-1] == subword.EOS:
+            break
+    return ids
+
+
+@pytest.mark.parametrize(("top_k", "temperature"), [(2, 1.0), (0, 0.7), (5, 2.0)])
+def test_sequences_advance_together_as_alone(top_k, temperature):
+    rng = np.random.default_rng(4)
+    weights = [w * 3 for w in nextword.initial(30, (16, 8), 3)]
+    seeds = [[], [4, 5], [3] * 20, list(range(4, 30)), [7]]
+    drawn = rng.random((len(seeds), 25))
+    found = decode.sequences(weights, seeds, drawn, top_k, temperature)
+    assert found == [one_by_one(weights, s, u, top_k, temperature) for s, u in zip(seeds, drawn)]
+    assert found[1:] == decode.sequences(weights, seeds[1:], drawn[1:], top_k, temperature)
+
+
+def test_pick_keeps_the_nucleus(spark):
+    """The candidates of a draw are those of the rule over long rows."""
+    rng = np.random.default_rng(1)
+    logits, length = rng.normal(size=(6, 20)).round(1) * 2, np.array([0, 1, 5, 20, 30, 90])
+    for i in range(6):
+        rows = spark.createDataFrame([(i, k, float(x)) for k, x in enumerate(logits[i])], "seq int, k int, logit double")
+        kept = {r.k for r in sampling.nucleus(sampling.softmax(rows), F.lit(int(length[i]))).collect()}
+        u = np.linspace(0, 0.999999, 4000)
+        got = decode.pick(np.repeat(logits[i : i + 1], len(u), 0), np.repeat(length[i], len(u)), u, 0)
+        assert set(got.tolist()) == kept
 
 
 def test_streaming_prefix_equals_batch(spark, tmp_path):
