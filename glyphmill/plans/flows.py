@@ -85,7 +85,7 @@ def train(vectors: DataFrame, vocab: int, catalog: Catalog, **options):
     """Weights and log; the whole run's log is also stored as TSV with eight decimals."""
     with span("train"):
         trained = nextword.train(vectors, vocab, catalog.path("training"), **options)
-        log = vectors.sparkSession.read.parquet(catalog.path("training") + "/log").orderBy("epoch")
+        log = nextword.run_log(vectors.sparkSession, catalog.path("training")).orderBy("epoch")
         numbers = (decimals(F.col(c), 8).alias(c) for c in ("loss", "sparse_categorical_accuracy"))
         write_tsv(log.select("epoch", *numbers).coalesce(1), catalog.path("training_log"))
     return trained

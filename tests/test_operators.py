@@ -309,7 +309,7 @@ def test_training_and_resuming(spark, fitted, tmp_path):
     weights, log = nextword.train(vectors, 60, run, epochs=2, hidden=(16, 8), batch_size=512)
     assert log[1][1] < log[0][1] and nextword.last_saved(spark, run) == 2
     more, log = nextword.train(vectors, 60, run, epochs=3, hidden=(16, 8), batch_size=512, mode="continue")
-    assert [r[0] for r in log] == [3] and spark.read.parquet(f"{run}/log").count() == 3
+    assert [r[0] for r in log] == [3] and sorted(r.epoch for r in nextword.run_log(spark, run).collect()) == [1, 2, 3]
     whole, _ = nextword.train(vectors, 60, f"file://{tmp_path}/whole", epochs=3, hidden=(16, 8), batch_size=512)
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(more, whole))  # continuing is as good as not having stopped
     same, log = nextword.train(vectors, 60, run, epochs=3, mode="continue", hidden=(16, 8))
@@ -318,6 +318,72 @@ def test_training_and_resuming(spark, fitted, tmp_path):
         nextword.train(vectors, 60, mode="other")
 
 
+def plain_loop(vectors, vocab, hidden, batch_size, epochs, seed=42):
+    """The same training in one process: whole mini-batches, one after another."""
+    rows = vectors.select("row_id", "pos", "indices", "values", "y").collect()
+    weights = nextword.initial(vocab, hidden, seed)
+    vector = nextword.flat(weights)
+    adam, steps = nextword.Adam.new(vector.size), -(-len(rows) // batch_size)
+    for epoch in range(1, epochs + 1):
+        drawn = vectors.select(F.pmod(F.xxhash64("row_id", "pos", F.lit(f"step:{seed}:{epoch}")), F.lit(steps)).alias("s")).collect()
+        for step in range(steps):
+            some = [r for r, s in zip(rows, drawn) if s.s == step]
+            if some:
+                g, _, _ = nextword.gradient(nextword.views(vector, [w.shape for w in weights]), [r.indices for r in some], [r["values"] for r in some], np.array([r.y for r in some]))
+                adam.step(vector, nextword.flat(g) / len(some))
+    return vector
+
+
+@pytest.mark.parametrize("workers", [1, 2, 3])
+def test_tasks_train_as_one_loop(fitted, workers):
+    _, vectors = fitted
+    some = vectors.where("row_id < 12")
+    weights, log = nextword.train(some, 60, epochs=2, hidden=(9, 7), batch_size=40, workers=workers)
+    assert np.allclose(nextword.flat(weights), plain_loop(some, 60, (9, 7), 40, 2), atol=2e-4)
+    assert len(log) == 2 and 0 <= log[1][2] <= 1
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("write", [0, 1, 2])
+def test_killed_between_writes(spark, fitted, tmp_path, monkeypatch, write):
+    """Whichever write of the second epoch is the last one, the run goes on as if it had not been killed."""
+    _, vectors = fitted
+    some, run, options = vectors.where("row_id < 10"), f"file://{tmp_path}/run", {"hidden": (6, 5), "batch_size": 64, "workers": 1}
+    table, commit, calls = nextword.weights_table, nextword.commit, []
+
+    def dying(f):
+        def g(*a):
+            calls.append(f)
+            if len(calls) == 4 + write:  # three writes an epoch
+                raise Killed
+            return f(*a)
+
+        return g
+
+    monkeypatch.setattr(nextword, "weights_table", dying(table))
+    monkeypatch.setattr(nextword, "commit", dying(commit))
+    with pytest.raises(Killed):
+        nextword.train(some, 60, run, epochs=3, **options)
+    monkeypatch.undo()
+    assert nextword.last_saved(spark, run) == 1
+    (tmp_path / "run" / "epoch=2").mkdir(exist_ok=True)  # a folder without rows
+    more, log = nextword.train(some, 60, run, epochs=3, mode="continue", **options)
+    assert [r[0] for r in log] == [2, 3] and sorted(r.epoch for r in nextword.run_log(spark, run).collect()) == [1, 2, 3]
+    whole, _ = nextword.train(some, 60, epochs=3, **options)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(more, whole))
+
+
+def test_log_without_weights(spark, fitted, tmp_path):
+    _, vectors = fitted
+    run = f"file://{tmp_path}/run"
+    nextword.commit(spark, run, (4, 0.5, 0.25))
+    _, log = nextword.train(vectors.where("row_id < 3"), 60, run, epochs=5, mode="continue", hidden=(4, 3), batch_size=64)
+    assert [r[0] for r in log] == [5] and nextword.last_saved(spark, run) == 5
+
+
 def test_generation(spark, fitted):
     model, vectors = fitted
     weights = nextword.initial(60, (16, 8))
