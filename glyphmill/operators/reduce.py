@@ -1,8 +1,7 @@
 """How far a matrix can be compressed: truncated SVD and PCA reports from one decomposition each.
 
-The spectrum is computed once at the largest rank; every smaller rank is a prefix of it. Tasks sum the products of the
-entries of their rows, a batch at a time and for the entries that occur; these sums are added up on the cluster. The
-Gramian and its eigenvectors live on the driver, which bounds the columns (8 bytes times their square).
+The spectrum is computed once at the largest rank by a randomised range finder (``factor``); every smaller rank is a prefix
+of it. ``moments`` gives the Gramian where that itself is asked for.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.scalars import dim_ladder, max_components
+from glyphmill.operators import factor
 from glyphmill.sources.catalog import decimals
 
 THRESHOLD = 0.95
@@ -98,21 +98,21 @@ def svd_spectrum(features: DataFrame, size: int, k: int) -> tuple[list[tuple[int
 
     Rows aren't centred, so a component's variance is s^2 / n minus its squared mean.
     """
-    n, column, gram = moments(features, size)
-    values, v = np.linalg.eigh(gram)
-    s, v = np.sqrt(np.maximum(0.0, values[::-1][:k])), v[:, ::-1][:, :k]
+    n, column, squares = factor.column_sums(features, size)
+    s, v = factor.decomposed(features, size, min(k, size))
     mean = column / max(1, n)
-    total = float(np.trace(gram) / max(1, n) - mean @ mean)
+    total = squares / max(1, n) - mean @ mean
     share = (s**2 / max(1, n) - (mean @ v) ** 2) / total if total > 0 else np.zeros(len(s))
     return [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(s, share))], v
 
 
 def pca_spectrum(features: DataFrame, size: int, k: int) -> tuple[list[tuple[int, float, float]], np.ndarray]:
     """The same for centred rows: a singular value is the root of (n - 1) times the component's variance."""
-    n, column, gram = moments(features, size)
-    values, v = np.linalg.eigh(gram - np.outer(column, column) / max(1, n))
-    values, total = np.maximum(0.0, values[::-1][:k]), max(float(values.sum()), 0.0)
-    return [(i + 1, float(np.sqrt(x)), float(x / total) if total > 0 else 0.0) for i, x in enumerate(values)], v[:, ::-1][:, :k]
+    n, column, squares = factor.column_sums(features, size)
+    mean = column / max(1, n)
+    s, v = factor.decomposed(features, size, min(k, size), mean)
+    total = max(squares - n * (mean @ mean), 0.0)
+    return [(i + 1, float(a), float(a * a / total) if total > 0 else 0.0) for i, a in enumerate(s)], v
 
 
 def spectrum_table(spark: SparkSession, spectrum: list[tuple[int, float, float]]) -> DataFrame:
@@ -130,9 +130,10 @@ def projected(features: DataFrame, components: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for batch in batches:
-            rows = [np.array(x) @ v[np.array(i, np.int64)] for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], ["reduced"])
+        for columns, x in factor.sparse_blocks(batches):
+            y = x @ v[columns]
+            ends = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], ["reduced"])
 
     return features.select("indices", "values").mapInArrow(run, "reduced array<double>")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import decode, nextword, reduce, sampling, stats, subword, unigram, windows
+from glyphmill.operators import decode, factor, nextword, reduce, sampling, stats, subword, unigram, windows
 from glyphmill.plans import flows
 from glyphmill.sources import catalog
 from glyphmill.streaming import prefix
@@ -183,6 +183,49 @@ def test_subwords(spark, small_corpus, fitted, tmp_path):
         subword.fit_final_vocabulary(small_corpus, 100)
 
 
+def as_rows(spark, x, parts=5):
+    rows = [(np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for r in x]
+    return spark.createDataFrame(rows, "indices array<int>, values array<double>").repartition(parts)
+
+
+@pytest.mark.parametrize(("n", "size", "k", "parts"), [(300, 12, 5, 20), (7, 12, 10, 3), (900, 90, 6, 9), (40, 30, 3, 1)])
+@pytest.mark.parametrize("centred", [False, True])
+def test_decomposition_is_numpys(spark, n, size, k, parts, centred):
+    rng = np.random.default_rng(n)
+    x = (rng.normal(size=(n, size)) * 0.7 ** np.arange(size)) * (rng.random((n, size)) < 0.7)
+    mean = x.mean(0) if centred else None
+    s, v = factor.decomposed(as_rows(spark, x, parts), size, k, mean)
+    want = np.linalg.svd(x - (0 if mean is None else mean), full_matrices=False)[1][:k]
+    want = np.concatenate([want, np.zeros(k - len(want))])
+    assert np.allclose(s, want, rtol=1e-4, atol=1e-10)
+    assert np.allclose(v.T @ v, np.eye(k), atol=1e-8)
+    got = (x - (0 if mean is None else mean)) @ v
+    assert np.allclose(np.linalg.norm(got, axis=0), s, rtol=1e-6, atol=1e-9)
+
+
+def test_small_singular_values_survive(spark):
+    """Values below the root of the rounding unit, where a Gramian has nothing left."""
+    rng = np.random.default_rng(2)
+    u, v = np.linalg.qr(rng.normal(size=(200, 6)))[0], np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    true = np.array([1.0, 1e-2, 1e-5, 1e-9, 1e-10, 1e-11])
+    x = (u * true) @ v.T
+    s, _ = factor.decomposed(as_rows(spark, x), 6, 6)
+    assert np.allclose(s, true, rtol=1e-3)
+    _, _, gram = reduce.moments(as_rows(spark, x), 6)
+    assert not np.allclose(np.sqrt(np.abs(np.linalg.eigvalsh(gram)))[::-1], true, rtol=1e-1)
+
+
+def test_many_columns(spark):
+    """50,000 columns: the driver holds columns times rank."""
+    rng = np.random.default_rng(6)
+    factors, rows = rng.normal(size=(4, 40)), []
+    for _ in range(300):
+        rows.append((list(range(0, 50_000, 1250)), (rng.normal(size=4) @ factors).tolist()))
+    f = spark.createDataFrame(rows, "indices array<int>, values array<double>")
+    s, v = factor.decomposed(f, 50_000, 6)
+    assert np.allclose(s[:4], np.linalg.svd(np.array([r[1] for r in rows]))[1][:4], rtol=1e-6) and (s[4:] < 1e-6).all() and v.shape == (50_000, 6)
+
+
 def all_paths(word, scores, unknown):
     """Every way to write a word as pieces, with its score."""
     if not word:
