@@ -35,12 +35,20 @@ def nucleus(probs: DataFrame, length: Column, top_k: int = 0) -> DataFrame:
     return kept.withColumn("q", F.col("p") / F.sum("p").over(Window.partitionBy("seq"))).drop("before")
 
 
+def noise(*keys: Column) -> Column:
+    """Gumbel noise that the keys decide, the same on any engine: from the first 52 bits of their md5."""
+    digest = F.substring(F.md5(F.concat_ws(":", *(k.cast("string") for k in keys))), 1, 13)
+    u = (F.conv(digest, 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return -F.log(-F.log(u))
+
+
 def draw(candidates: DataFrame, seed: int) -> DataFrame:
-    """(seq, k): one token a sequence by inverting the cumulated q at a number drawn from (seed, seq)."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "seq"), F.lit(2**52)) + 0.5) / float(2**52)
-    upto = F.sum("q").over(Window.partitionBy("seq").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    hit = candidates.withColumn("upto", upto).withColumn("u", u).where((F.col("upto") >= F.col("u")))
-    return hit.groupBy("seq").agg(F.min_by("k", "rank").alias("k"))
+    """(seq, k): one token a sequence with chances in proportion to p, as the maximum of log p and keyed Gumbel noise.
+
+    One partial aggregate: no order and no cumulated sum, and whatever p is scaled by doesn't matter.
+    """
+    score = F.log("p") + noise(F.lit(seed), F.col("seq"), F.col("k"))
+    return candidates.where("p > 0").groupBy("seq").agg(F.max_by("k", F.struct(score, "k")).alias("k"))
 
 
 def random_rows(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:

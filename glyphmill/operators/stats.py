@@ -1,4 +1,9 @@
-"""Token statistics at two grains: sentences and tokens. Both are partial and final aggregates; nothing is collected."""
+"""Token statistics at two grains, sentences and tokens, in one pass over the corpus.
+
+A sentence is exploded to its tokens and one row more, without a token, that stands for itself. One aggregate by tokenizer,
+token and, for the sentences' own rows, number of tokens gives both grains at once: how often each token occurs, and how
+many sentences have so many tokens. What is reported follows from those, the median included.
+"""
 
 from __future__ import annotations
 
@@ -24,19 +29,62 @@ def low_frequency(frequency: DataFrame, vocab_size: int) -> DataFrame:
     return frequency.agg(n.alias("low_frequency_token_count"), (ratio(n, F.lit(vocab_size)) if vocab_size > 0 else F.lit(0.0)).alias("low_frequency_token_ratio"))
 
 
-def token_statistics(rows: DataFrame, vocab_size: int, tokens: str = "tokens", sentence: str = "sentence") -> DataFrame:
-    """One report row. Means of ratios are taken over sentences; variance and deviation are those of the population."""
-    n = F.size(tokens)
-    chars = F.aggregate(tokens, F.lit(0), lambda a, t: a + F.length(t))
-    per = rows.select(n.alias("n"), ratio(chars, n).alias("piece"), ratio(n, F.length(sentence)).alias("density"))
+# fixed values: the report's columns
+REPORT = [
+    "vocab_size", "avg_token_char_length", "avg_token_count_per_sentence", "low_frequency_token_count", "low_frequency_token_ratio",
+    "token_count_variance", "token_count_stddev", "token_count_min", "token_count_max", "token_count_median", "avg_token_per_char",
+]
+
+
+def sentence_report(sizes: DataFrame, low: Column | None = None) -> list[Column]:
+    """Columns of the report from (n, times, piece, density): sentences with n tokens, and the sums of their ratios."""
     one = lambda c: F.coalesce(c, F.lit(0.0))
-    sentences = per.agg(
-        one(F.avg("piece")).alias("avg_token_char_length"), one(F.avg("n")).alias("avg_token_count_per_sentence"), one(F.var_pop("n")).alias("token_count_variance"),
-        one(F.stddev_pop("n")).alias("token_count_stddev"), F.coalesce(F.min("n"), F.lit(0)).cast("long").alias("token_count_min"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("token_count_max"),
-        one(F.median("n")).alias("token_count_median"), one(F.avg("density")).alias("avg_token_per_char"),
-    )
-    low = low_frequency(token_frequency(rows, tokens), vocab_size)
-    return sentences.crossJoin(F.broadcast(low)).select(  # one row each
-        F.lit(vocab_size).alias("vocab_size"), "avg_token_char_length", "avg_token_count_per_sentence", "low_frequency_token_count", "low_frequency_token_ratio",
-        "token_count_variance", "token_count_stddev", "token_count_min", "token_count_max", "token_count_median", "avg_token_per_char",
-    )
+    of = F.col("n").isNotNull()
+    big = lambda c: F.coalesce(F.sum(F.when(of, c).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    k, s, q = big(F.col("times")), big(F.col("n") * F.col("times")), big(F.col("n").cast("long") * F.col("n") * F.col("times"))
+    mean = lambda c: one(F.try_divide(F.sum(F.when(of, F.col(c))), k.cast("double")))
+    # n sum(x^2) - sum(x)^2 in whole numbers: nothing is lost where they nearly cancel
+    spread = one(F.try_divide((k * q - s * s).cast("double"), k.cast("double") * k.cast("double")))
+    return [
+        mean("piece").alias("avg_token_char_length"), one(F.try_divide(s.cast("double"), k.cast("double"))).alias("avg_token_count_per_sentence"), spread.alias("token_count_variance"),
+        F.sqrt(spread).alias("token_count_stddev"), F.coalesce(F.min("n"), F.lit(0)).cast("long").alias("token_count_min"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("token_count_max"),
+        one(F.percentile("n", F.lit(0.5), F.when(of, F.col("times")).otherwise(0))).alias("token_count_median"), mean("density").alias("avg_token_per_char"),
+    ]
+
+
+def token_statistics_by(rows: DataFrame, tokenizers: dict[int, Column], sentence: str = "sentence") -> DataFrame:
+    """A report row for each tokenizer, a vocabulary size with its array of tokens, all from one pass. Tokens are not null.
+
+    Means of ratios are taken over sentences; variance and deviation are those of the population.
+    """
+    kinds = F.array(*(F.struct(F.lit(v).alias("vocab_size"), t.alias("t")) for v, t in tokenizers.items()))
+    each = rows.select(F.length(sentence).alias("l"), F.explode(kinds).alias("k")).select("l", "k.vocab_size", "k.t")
+    n, chars = F.size("t"), F.length(F.array_join("t", ""))
+    per = each.select("vocab_size", n.alias("n"), ratio(chars, n).alias("piece"), ratio(n, F.col("l")).alias("density"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("token"))
+    own = F.col("token").isNull()
+    counts = per.groupBy("vocab_size", "token", F.when(own, F.col("n")).alias("n")).agg(
+        F.count("*").alias("times"), F.sum(F.when(own, F.col("piece"))).alias("piece"), F.sum(F.when(own, F.col("density"))).alias("density")
+    )
+    low = F.count_if(F.col("token").isNotNull() & (F.col("times") <= LOW)).alias("low_frequency_token_count")
+    found = counts.groupBy("vocab_size").agg(*sentence_report(counts), low)
+    # sizes without a sentence have a row as well
+    sizes = rows.sparkSession.createDataFrame([(v,) for v in tokenizers], "vocab_size int")
+    report = sizes.join(found, "vocab_size", "left").fillna(0)
+    return _with_ratio(report)
+
+
+def _with_ratio(report: DataFrame) -> DataFrame:
+    low = F.col("low_frequency_token_count")
+    return report.withColumn("low_frequency_token_ratio", ratio(low, F.when(F.col("vocab_size") > 0, F.col("vocab_size")))).fillna(0.0, ["low_frequency_token_ratio"]).select(*REPORT)
+
+
+def token_statistics(rows: DataFrame, vocab_size: int, tokens: str = "tokens", sentence: str = "sentence") -> DataFrame:
+    """One report row."""
+    return token_statistics_by(rows, {vocab_size: F.col(tokens)}, sentence)
+
+
+def report_of(sizes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """A report row for each vocab_size from sentences counted by size (vocab_size, n, times, piece, density) and tokens (vocab_size, token, times)."""
+    low = tokens.groupBy("vocab_size").agg(F.count_if(F.col("times") <= LOW).alias("low_frequency_token_count"))
+    found = sizes.groupBy("vocab_size").agg(*sentence_report(sizes))
+    return _with_ratio(found.join(F.broadcast(low), "vocab_size", "left").fillna(0))  # a row for each size

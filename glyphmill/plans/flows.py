@@ -21,13 +21,12 @@ def prepare(spark: SparkSession, origin: DataFrame, catalog: Catalog) -> DataFra
 
 
 def sweep(spark: SparkSession, corpus: DataFrame, sizes: list[int], catalog: Catalog) -> DataFrame:
-    """A vocabulary for each size, stored, and a report row for each."""
-    report = None
-    for n, model in subword.fit_sweep(corpus, sizes).items():
+    """A vocabulary for each size, stored, and a report row for each: the corpus is read once for all fits and once for all rows."""
+    models, words = subword.fit_sweep(corpus, sizes)
+    for n, model in models.items():
         subword.save_model(spark, model, catalog.path("model", vocab_size=n))
         write_table(subword.vocabulary(spark, model), catalog.path("vocab", vocab_size=n))
-        row = stats.token_statistics(subword.encoded(corpus, model), n)
-        report = row if report is None else report.union(row)
+    report = subword.sweep_statistics(corpus, words, models)
     write_tsv(report, catalog.path("token_statistics"))
     return report
 

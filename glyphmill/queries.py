@@ -220,10 +220,9 @@ def token_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"({_stats_sql(_tokens_sql(), VOCAB)}) UNION ALL ({_stats_sql(_tokens_sql('string_split({}, chr(32))'), VOCAB + 1)})")
 def token_stats_by_tokenizer(spark: SparkSession, d: str) -> DataFrame:
-    """Every tokenizer over all sentences, one report row each."""
-    splits = [(VOCAB, stats.white_space), (VOCAB + 1, lambda s: F.split(s, " "))]
-    rows = [_rounded(stats.token_statistics(_tokens(spark, d, split), n)) for n, split in splits]
-    return rows[0].union(rows[1])
+    """Every tokenizer over all sentences, one report row each, from one pass."""
+    rows = documents(spark, d).select(N.normalize(F.col("sentence")).alias("sentence"))
+    return _rounded(stats.token_statistics_by(rows, {VOCAB: stats.white_space(F.col("sentence")), VOCAB + 1: F.split("sentence", " ")}))
 
 
 # windows -------------------------------------------------------------------------------------------------------------
@@ -359,9 +358,14 @@ def nucleus_topk(spark: SparkSession, d: str) -> DataFrame:
     return _nucleus(spark, d, 2)
 
 
-@query()
+_DRAW_SQL = f"""WITH c AS ({_nucleus_sql("")}), u AS (SELECT seq, k, p, (CAST('0x' || substr(md5('1:' || seq || ':' || k), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM c)
+SELECT seq, max_by(k, ln(p) - ln(-ln(u))) AS k FROM u GROUP BY seq"""
+
+
+@query(_DRAW_SQL)
 def nucleus_draw(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.draw(sampling.nucleus(sampling.softmax(_logits(spark, d), 0.1), F.lit(LENGTH)), seed=1)
+    """One token a sequence, drawn from its nucleus; the oracle draws by rounded chances, which changes no maximum."""
+    return sampling.draw(_nucleus(spark, d, 0), seed=1)
 
 
 # compression ---------------------------------------------------------------------------------------------------------
@@ -451,6 +455,14 @@ def spm_vocab(spark: SparkSession, d: str) -> DataFrame:
     return subword.vocabulary(spark, _model(spark, d))
 
 
+@query()
+def spm_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Two vocabularies fitted on one count of the words, and a report row for each from one pass over the corpus."""
+    corpus = _corpus(spark, d)
+    models, words = subword.fit_sweep(corpus, [700, _CORPUS_VOCAB], seed_size=50_000)
+    return subword.sweep_statistics(corpus, words, models)
+
+
 @query()
 def spm_token_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.token_statistics(subword.encoded(_corpus(spark, d), _model(spark, d)), _CORPUS_VOCAB)

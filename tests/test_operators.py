@@ -226,6 +226,38 @@ def test_many_columns(spark):
     assert np.allclose(s[:4], np.linalg.svd(np.array([r[1] for r in rows]))[1][:4], rtol=1e-6) and (s[4:] < 1e-6).all() and v.shape == (50_000, 6)
 
 
+def test_statistics_of_sizes_without_rows(spark):
+    rows = spark.createDataFrame([("a b b c", ["a", "b", "b", "c"]), ("", []), ("xy", ["x", "y"])], "sentence string, tokens array<string>")
+    r = stats.token_statistics(rows, 10).first()
+    assert (r.token_count_min, r.token_count_max, r.token_count_median, r.low_frequency_token_count) == (0, 4, 2.0, 5)
+    assert np.isclose(r.token_count_variance, np.var([4, 0, 2])) and np.isclose(r.avg_token_char_length, (1 + 0 + 1) / 3) and np.isclose(r.avg_token_per_char, (4 / 7 + 0 + 1) / 3)
+    assert [tuple(x)[2:] for x in stats.token_statistics(rows.limit(0), 0).collect()] == [(0.0, 0, 0.0, 0.0, 0.0, 0, 0, 0.0, 0.0)]
+
+
+def test_statistics_read_the_corpus_once(spark, tmp_path):
+    spark.createDataFrame([("a b", ["a", "b"])], "sentence string, tokens array<string>").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    for report in (stats.token_statistics(rows, 3), stats.token_statistics_by(rows, {3: F.col("tokens"), 4: F.split("sentence", "")})):
+        assert report._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_sweep_is_each_model_alone(spark, small_corpus):
+    corpus = small_corpus.union(spark.createDataFrame([(900, None), (901, ""), (902, "日本 red日本sky ¤¤ sky")], "row_id long, sentence string")).where("sentence IS NOT NULL")
+    models, words = subword.fit_sweep(corpus, [45, 60])
+    got = {r.vocab_size: r for r in subword.sweep_statistics(corpus, words, models).collect()}
+    for n, model in models.items():
+        want = stats.token_statistics(subword.encoded(corpus, model), n).first()
+        assert all(np.isclose(a, b) for a, b in zip(got[n], want)), (got[n], want)
+
+
+def test_draws_follow_their_chances(spark):
+    chances = [0.5, 0.3, 0.15, 0.05]
+    rows = spark.range(20_000).select(F.col("id").alias("seq"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p / 4).alias("p")) for k, p in enumerate(chances)))).alias("c")).select("seq", "c.k", "c.p")
+    found = {r.k: r.n / 20_000 for r in sampling.draw(rows, 7).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(found[k] - p) < 0.015 for k, p in enumerate(chances))
+    assert sampling.draw(rows, 7).collect() != sampling.draw(rows, 8).collect()
+
+
 def all_paths(word, scores, unknown):
     """Every way to write a word as pieces, with its score."""
     if not word:
