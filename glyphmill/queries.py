@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import normalize as N
-from glyphmill.functions import scalars
+from glyphmill.functions import scalars, sql
 from glyphmill.operators import decode, nextword, reduce, sampling, stats, subword, windows
 from glyphmill.sources import catalog
 from glyphmill.sources.catalog import table
@@ -320,6 +320,25 @@ def aligned_counts(spark: SparkSession, d: str) -> DataFrame:
     return windows.assert_aligned(docs.select("row_id"), docs.select("sentence"))
 
 
+# the same by SQL -----------------------------------------------------------------------------------------------------
+
+
+def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(text, documents=table(spark, d, "documents"), embeddings=table(spark, d, "embeddings"))
+
+
+@query(f"SELECT doc_id AS row_id, {SQL_NORMAL} AS text FROM documents")
+def sql_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, d, "SELECT doc_id AS row_id, normalize_text(text) AS text FROM {documents}")
+
+
+@query(_labels_sql("documents", "doc_id"))
+def sql_context_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of the whole corpus by the table function."""
+    return _sql(spark, d, "SELECT row_id, pos, y FROM context_windows(TABLE(SELECT doc_id, white_space_tokens(text) FROM {documents}), 15, 1)")
+
+
 # sampling ------------------------------------------------------------------------------------------------------------
 
 _SOFTMAX_SQL = """l AS (SELECT vec_id AS seq, CAST(unnest(embedding) AS DOUBLE) * {scale} AS z, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS k FROM embeddings),
