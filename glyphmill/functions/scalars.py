@@ -31,11 +31,13 @@ def weight(distance: Column) -> Column:
     return F.lit(1.0) / F.pow(distance, F.lit(0.25))
 
 
+def weights(d: Column) -> dict[str, Column]:
+    """The weights that contexts are compared by."""
+    return {"reciprocal": F.lit(1.0) / d, "sqrt": F.lit(1.0) / F.sqrt(d), "power_quarter": weight(d), "log": F.lit(1.0) / F.log(d + 1)}
+
+
 def distance_weights(spark: SparkSession, most: int = 100) -> DataFrame:
-    d = F.col("id").cast("double")
-    return spark.range(1, most + 1).select(
-        F.col("id").alias("d"), (F.lit(1.0) / d).alias("reciprocal"), (F.lit(1.0) / F.sqrt(d)).alias("sqrt"), weight(d).alias("power_quarter"), (F.lit(1.0) / F.log(d + 1)).alias("log")
-    )
+    return spark.range(1, most + 1).select(F.col("id").alias("d"), *(c.alias(name) for name, c in weights(F.col("id").cast("double")).items()))
 
 
 def dim_ladder(original: int, most: int, step: int = 200, least: int = 1000) -> list[int]:

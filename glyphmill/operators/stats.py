@@ -7,7 +7,7 @@ many sentences have so many tokens. What is reported follows from those, the med
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.scalars import ratio
@@ -88,3 +88,16 @@ def report_of(sizes: DataFrame, tokens: DataFrame) -> DataFrame:
     low = tokens.groupBy("vocab_size").agg(F.count_if(F.col("times") <= LOW).alias("low_frequency_token_count"))
     found = sizes.groupBy("vocab_size").agg(*sentence_report(sizes))
     return _with_ratio(found.join(F.broadcast(low), "vocab_size", "left").fillna(0))  # a row for each size
+
+
+def coverage(frequency: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(i, vocab_size, covered, total): occurrences of the ``vocab_size`` most frequent tokens, and of all.
+
+    Tokens are never ranked: they are counted by frequency first, and there are far fewer frequencies than tokens.
+    """
+    by = frequency.groupBy("n").agg(F.count("*").alias("tokens"))
+    before = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # a row a frequency
+    by = by.select("n", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
+    inside = F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("vocab_size") - F.col("before")))
+    pairs = by.crossJoin(F.broadcast(sizes))  # a few sizes
+    return pairs.groupBy("i", "vocab_size").agg(F.sum(F.col("n") * inside).cast("long").alias("covered"), F.sum(F.col("n") * F.col("tokens")).cast("long").alias("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import normalize as N
@@ -86,20 +86,32 @@ def sample_lookup(spark: SparkSession, d: str) -> DataFrame:
     return sample.join(after, "row_id", "left").where("after IS NOT NULL")
 
 
-@query("""SELECT path, CAST(regexp_extract(path, '(\\d+)[^/\\d]*$', 1) AS INTEGER) AS vocab_size FROM (VALUES ('m/vocab_tokenized_1400.db'), ('m/vocab_tokenized_10000.db'), ('m/vocab_tokenized_2167.db')) v(path)""".replace("\\\\", "\\"))
+_PATHS_SQL = "SELECT 'm/' || page_id || '_tokenized_' || (1400 + page_id % 8601) || '.db' AS path, CAST(1400 + page_id % 8601 AS INTEGER) AS vocab_size FROM pages"
+
+
+@query(_PATHS_SQL)
 def listed_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.listed_sizes(spark.createDataFrame([(f"m/vocab_tokenized_{n}.db",) for n in (1400, 10000, 2167)], "path string"))
+    """Sizes read off the names of as many artifacts as there are pages."""
+    path = F.concat(F.lit("m/"), F.col("page_id").cast("string"), F.lit("_tokenized_"), (1400 + F.col("page_id") % 8601).cast("string"), F.lit(".db"))
+    return catalog.listed_sizes(table(spark, d, "pages").select(path.alias("path")))
+
+
+_ENDINGS = (".h5", ".keras", ".txt")
 
 
-@query("""SELECT 'next_word_model_epoch_10.keras' AS name, 10 AS epoch""")
+@query("""WITH n AS (SELECT 'run/next_word_model_epoch_' || page_id || CASE page_id % 3 WHEN 0 THEN '.h5' WHEN 1 THEN '.keras' ELSE '.txt' END AS name, page_id FROM pages)
+SELECT name, CAST(page_id AS INTEGER) AS epoch FROM n WHERE page_id % 3 < 2 ORDER BY page_id DESC LIMIT 1""")
 def latest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
-    names = ["next_word_model_epoch_2.h5", "next_word_model_epoch_10.h5", "next_word_model_epoch_10.keras", "next_word_model_epoch_x.h5", "notes.txt"]
-    return catalog.latest_checkpoint(spark.createDataFrame([(n,) for n in names], "name string"))
+    """The newest of as many artifacts as there are pages, a third of which are no checkpoints."""
+    ending = F.get(F.array(*map(F.lit, _ENDINGS)), (F.col("page_id") % 3).cast("int"))
+    return catalog.latest_checkpoint(table(spark, d, "pages").select(F.concat(F.lit("run/next_word_model_epoch_"), F.col("page_id").cast("string"), ending).alias("name")))
 
 
-@query("SELECT coalesce(max(TRY_CAST(trim(e) AS INTEGER)), 0) AS last_epoch FROM (VALUES ('1'), (' 7'), ('x'), (''), ('3')) v(e)")
+@query("SELECT coalesce(max(page_id), 0)::INTEGER AS last_epoch FROM pages WHERE page_id % 5 <> 0")
 def last_epoch(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.last_epoch(spark.createDataFrame([("1", "", ""), (" 7", "", ""), ("x", "", ""), ("", "", ""), ("3", "", "")], catalog.TRAIN_LOG))
+    """Of a log with a line a page, where every fifth epoch can't be read as a number."""
+    epoch = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("x"), F.col("page_id"))).otherwise(F.concat(F.lit(" "), F.col("page_id"), F.lit(" ")))
+    return catalog.last_epoch(table(spark, d, "pages").select(epoch.alias("epoch"), F.lit("").alias("loss"), F.lit("").alias("sparse_categorical_accuracy")))
 
 
 @query("SELECT doc_id AS row_id, text AS sentence FROM documents ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 20")
@@ -140,10 +152,15 @@ def normalize_conversations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", N.normalize(F.col("text")).alias("text"))
 
 
-@query("""SELECT * FROM (VALUES (1, '（ＱＵＯＴＥＤ） ＇Ａ＇ 「Ｂ「'), (2, 'キロ１１／１．．．'), (3, 'ガス パイプ'), (4, 'Ａ／Ｂ／Ｃ ～ ～'), (5, '（Ｘ）（Ｙ）＜Ｚ＞'), (6, '１０１３年１１月末の（ＯＰＥＣ）（石油輸出国機構）')) v(id, text)""")
+#: Texts and their normal forms; one stands behind each document.
+_GOLDEN = [(1, "“quoted” 'a' \"b\""), (2, "㌔①½…"), (3, "ｶﾞｽ ﾊﾟｲﾌﾟ"), (4, "a/b\\c ~ 〜"), (5, "[x]{y}<z>"), (6, "2016年11月末の「OPEC」(石油輸出国機構)")]
+_GOLDEN_SQL = "(VALUES (1, '（ＱＵＯＴＥＤ） ＇Ａ＇ 「Ｂ「'), (2, 'キロ１１／１．．．'), (3, 'ガス パイプ'), (4, 'Ａ／Ｂ／Ｃ ～ ～'), (5, '（Ｘ）（Ｙ）＜Ｚ＞'), (6, '１０１３年１１月末の（ＯＰＥＣ）（石油輸出国機構）')) g(id, form)"
+
+
+@query(f"SELECT doc_id AS row_id, {SQL_NORMAL} || ' ' || form AS text FROM documents JOIN {_GOLDEN_SQL} ON id = 1 + doc_id % {len(_GOLDEN)}")
 def nfkc_golden(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "“quoted” 'a' \"b\""), (2, "㌔①½…"), (3, "ｶﾞｽ ﾊﾟｲﾌﾟ"), (4, "a/b\\c ~ 〜"), (5, "[x]{y}<z>"), (6, "2016年11月末の「OPEC」(石油輸出国機構)")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", N.normalize(F.col("text")).alias("text"))
+    behind = F.get(F.array(*(F.lit(t) for _, t in _GOLDEN)), (F.col("row_id") % len(_GOLDEN)).cast("int"))
+    return documents(spark, d).select("row_id", N.normalize(F.concat("sentence", F.lit(" "), behind)).alias("text"))
 
 
 @query(f"""SELECT doc_id AS row_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(len(t) AS INTEGER) AS n_tokens, round(CASE WHEN length(text) > 0 THEN len(t) / CAST(length(text) AS DOUBLE) ELSE 0 END, 6) AS tokens_per_char
@@ -153,26 +170,41 @@ def text_lengths(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("row_id", F.length("sentence").alias("n_chars"), n.alias("n_tokens"), r6(scalars.ratio(n, F.length("sentence"))).alias("tokens_per_char"))
 
 
-@query("""WITH v AS (SELECT i, CASE WHEN i = 0 THEN 1400 WHEN i = 9 THEN 10000 ELSE CAST(round(exp(ln(1400.0) + (ln(10000.0) - ln(1400.0)) * i / 9)) AS BIGINT) END AS v FROM range(10) t(i))
-SELECT CAST(i AS INTEGER) AS i, CAST(i + max(v - i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS vocab_size FROM v""")
+_GRID_SQL = """v AS (SELECT i, CASE WHEN i = 0 THEN 1400 WHEN i = 9 THEN 10000 ELSE CAST(round(exp(ln(1400.0) + (ln(10000.0) - ln(1400.0)) * i / 9)) AS BIGINT) END AS v FROM range(10) t(i)),
+g AS (SELECT CAST(i AS INTEGER) AS i, CAST(i + max(v - i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS vocab_size FROM v)"""
+
+
+@query(f"""WITH {_GRID_SQL}, f AS (SELECT count(*) AS n FROM (SELECT unnest({SQL_TOKENS.format('text')}) AS token FROM documents) GROUP BY token),
+r AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS k FROM f)
+SELECT i, vocab_size, CAST((SELECT coalesce(sum(n), 0) FROM r WHERE k <= vocab_size) AS BIGINT) AS covered, CAST((SELECT sum(n) FROM f) AS BIGINT) AS total FROM g""")
 def vocab_grid(spark: SparkSession, d: str) -> DataFrame:
-    return scalars.vocab_grid(spark)
+    """For each size of the grid, how many of the corpus's tokens the so many most frequent words cover."""
+    return stats.coverage(stats.token_frequency(split_documents(spark, d)), scalars.vocab_grid(spark))
+
+
+_WEIGHTS_SQL = "round(1.0 / d, 6) AS reciprocal, round(1.0 / sqrt(d), 6) AS sqrt, round(1.0 / pow(d, 0.25), 6) AS power_quarter, round(1.0 / ln(d + 1), 6) AS log"
 
 
-@query("""SELECT d, round(1.0 / d, 6) AS reciprocal, round(1.0 / sqrt(d), 6) AS sqrt, round(1.0 / pow(d, 0.25), 6) AS power_quarter, round(1.0 / ln(d + 1), 6) AS log FROM range(1, 101) t(d)""")
+@query(f"SELECT conv_id, turn, d, {_WEIGHTS_SQL} FROM (SELECT conv_id, turn, CAST(turn + 1 AS DOUBLE) AS d FROM conversations)")
 def distance_weights(spark: SparkSession, d: str) -> DataFrame:
-    w = scalars.distance_weights(spark)
-    return w.select("d", *(r6(F.col(c)).alias(c) for c in w.columns[1:]))
+    """Of each turn, by its distance from the conversation's beginning."""
+    distance = (F.col("turn") + 1).cast("double")
+    return table(spark, d, "conversations").select("conv_id", "turn", distance.alias("d"), *(r6(c).alias(name) for name, c in scalars.weights(distance).items()))
 
 
-@query("""SELECT CAST(d AS INTEGER) AS reduced_dim FROM range(6260, 999, -200) t(d)""")
+@query("""WITH s AS (SELECT count(*) AS n, max(len(embedding)) AS cols FROM embeddings), t AS (SELECT least(cols - 8, greatest(1, least(n, cols) - 1)) AS top FROM s)
+SELECT CAST(unnest(range(top, 7, -8)) AS INTEGER) AS reduced_dim FROM t""")
 def dim_ladder(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in scalars.dim_ladder(6460, 10**6)], "reduced_dim int")
+    """Dimensions to try for the embeddings, from their rows and columns."""
+    size = table(spark, d, "embeddings").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("cols")).first()
+    ladder = scalars.dim_ladder(size.cols, scalars.max_components(size.n, size.cols), 8, 8)
+    return spark.createDataFrame([(n,) for n in ladder], "reduced_dim int")
 
 
-@query("SELECT CAST(t AS INTEGER) AS t, round(greatest(0.99 * pow(0.97, t), 0.4), 6) AS mass FROM range(100) r(t)")
+@query("SELECT conv_id, turn, round(greatest(0.99 * pow(0.97, turn), 0.4), 6) AS mass FROM conversations")
 def nucleus_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(100).select(F.col("id").cast("int").alias("t"), r6(scalars.mass_threshold(F.col("id"))).alias("mass"))
+    """Nucleus masses after as many tokens as a turn has turns before it."""
+    return table(spark, d, "conversations").select("conv_id", "turn", r6(scalars.mass_threshold(F.col("turn"))).alias("mass"))
 
 
 # token statistics ----------------------------------------------------------------------------------------------------
@@ -300,10 +332,9 @@ def piece_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Tokens to dense ids and back by equi-joins with the vocabulary; ids beyond its size are left out."""
     t = split_documents(spark, d).select("row_id", F.posexplode("tokens").alias("place", "token"))
     v = catalog.with_row_ids(t.select("token").distinct(), "token", "id").select("token", (F.col("id") - 1).cast("int").alias("vocab_id"))
-    ids = t.join(v, "token").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("place", "vocab_id"))).alias("s"))
-    known = F.filter("s", lambda x: windows.is_known(x["vocab_id"], F.lit(v.count())))
-    ids = ids.select("row_id", F.explode(known).alias("s")).select("row_id", "s.place", "s.vocab_id")
-    return ids.join(v.withColumnRenamed("token", "piece"), "vocab_id").select("row_id", "place", "vocab_id", "piece")
+    v, size = Scratch(spark, "vocabulary").save_counted(v, "vocabulary")
+    ids = catalog.looked_up(t, v, "token", size).select("row_id", "place", "vocab_id").where(windows.is_known(F.col("vocab_id"), F.lit(size)))
+    return catalog.looked_up(ids, v.withColumnRenamed("token", "piece"), "vocab_id", size).select("row_id", "place", "vocab_id", "piece")
 
 
 @query("""SELECT item_id AS row_id, rank, value FROM (SELECT item_id, value, CAST(row_number() OVER (PARTITION BY item_id ORDER BY value DESC) AS INTEGER) AS rank
@@ -389,17 +420,19 @@ def nucleus_draw(spark: SparkSession, d: str) -> DataFrame:
 
 # compression ---------------------------------------------------------------------------------------------------------
 
-SPECTRUM = [(i, 10.0 / i, r) for i, r in enumerate((0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625), 1)]
-
-
-@query("""WITH s AS (SELECT i, 10.0 / i AS sv, pow(0.5, i) AS r FROM range(1, 7) t(i)),
-c AS (SELECT i, sum(r) OVER (ORDER BY i) AS rate, sum(sv) OVER (ORDER BY i) AS total, max(sv) OVER (ORDER BY i) AS top FROM s),
-d AS (SELECT * FROM c WHERE i IN (6, 5, 4, 2))
-SELECT 8 AS original_dim, CAST(i AS INTEGER) AS reduced_dim, printf('%.4f', i / 8.0) AS compression_ratio, printf('%.4f', rate) AS reconstruction_rate, printf('%.4f', 1 - rate) AS information_loss_rate,
+@query("""WITH e AS (SELECT unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+s AS (SELECT var_pop(x) AS v FROM e GROUP BY i), o AS (SELECT v, row_number() OVER (ORDER BY v DESC) AS i FROM s),
+c AS (SELECT i, sum(v) OVER (ORDER BY i) / (SELECT sum(v) FROM s) AS rate, sum(sqrt(v)) OVER (ORDER BY i) AS total, max(sqrt(v)) OVER (ORDER BY i) AS top FROM o),
+d AS (SELECT * FROM c WHERE i IN (63, 62, 48, 32))
+SELECT 64 AS original_dim, CAST(i AS INTEGER) AS reduced_dim, printf('%.4f', i / 64.0) AS compression_ratio, printf('%.4f', rate) AS reconstruction_rate, printf('%.4f', 1 - rate) AS information_loss_rate,
     CASE WHEN rate >= 0.95 THEN 'true' ELSE 'false' END AS threshold_ok, CASE WHEN i = (SELECT min(i) FROM d WHERE rate >= 0.95) THEN 'true' ELSE 'false' END AS is_min_dim_over_threshold,
     printf('%.4f', total) AS singular_value_sum, printf('%.4f', top) AS top_singular_value FROM d ORDER BY i DESC""")
 def report_flags(spark: SparkSession, d: str) -> DataFrame:
-    report = reduce.formatted(reduce.svd_report(reduce.spectrum_table(spark, SPECTRUM), 8, [6, 5, 4, 2]))
+    """The report on the embeddings' own columns, the ones that vary most first."""
+    values = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.var_pop(F.col("x").cast("double")).alias("v"))
+    order, all_ = Window.orderBy(F.desc("v")), Window.partitionBy()  # a row a column
+    spectrum = values.select(F.row_number().over(order).alias("component"), F.sqrt("v").alias("singular_value"), (F.col("v") / F.sum("v").over(all_)).alias("ratio"))
+    report = reduce.formatted(reduce.svd_report(spectrum, 64, [63, 62, 48, 32]))
     return report.withColumns({c: F.col(c).cast("int") for c in ("original_dim", "reduced_dim")})
 
 

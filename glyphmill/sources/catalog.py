@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.sources.scratch import Scratch
@@ -58,6 +58,30 @@ def with_row_ids(rows: DataFrame, order: str, name: str = "row_id", scratch: Scr
     return stored.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_k") + 1).cast("long")).drop("_part", "_start", "_k", "_at")
 
 
+#: Rows of a table that is broadcast for a lookup, and parts that a frequent key is dealt to beyond that.
+LOOKUP_ROWS, SALTS = 1_000_000, 16
+
+
+def looked_up(rows: DataFrame, names: DataFrame, key: str, size: int) -> DataFrame:
+    """An equi-join with a table of ``size`` rows and distinct keys, where single keys of ``rows`` may be very frequent.
+
+    A small table is broadcast, so ``rows`` aren't shuffled. A larger one is copied to SALTS parts, over which the rows of
+    each key are dealt out by their own hash.
+    """
+    if size <= LOOKUP_ROWS:
+        return rows.join(F.broadcast(names), key)
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALTS)).cast("int")
+    copies = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"]).drop("_salt")
+
+
+def write_counted(df: DataFrame, path: str) -> int:
+    """Replaces what is there; the rows are counted while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return seen.get["n"]
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replaces what is there."""
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)

@@ -7,7 +7,8 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _freed = 0.0
 
@@ -56,6 +57,12 @@ class Scratch:
         free_shuffles(self.spark, 1.0)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The saved table and its number of rows, which are counted while they are written."""
+        seen = Observation()
+        saved = self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return saved, seen.get["n"]
+
     def drop(self, name: str) -> None:
         path = self._path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -536,6 +536,29 @@ def test_streaming_prefix_equals_batch(spark, tmp_path):
     assert sorted(spark.read.parquet(f"{tmp_path}/out").collect(), key=key) == sorted(prefix.normalized_windows(rows, 3).collect(), key=key)
 
 
+def test_encoding_and_vectors_on_a_stream(spark, small_corpus, fitted, tmp_path):
+    model, _ = fitted
+    small_corpus.repartition(3).write.parquet(f"{tmp_path}/in")
+    for name, step in (("ids", lambda r: prefix.encoded(r, model)), ("rows", lambda r: prefix.vectors(r, model, 5, 2))):
+        prefix.write(step(prefix.read(spark, f"{tmp_path}/in")), f"{tmp_path}/{name}", f"{tmp_path}/ck-{name}").awaitTermination(120)
+        assert sorted(map(str, spark.read.parquet(f"{tmp_path}/{name}").collect())) == sorted(map(str, step(small_corpus).collect()))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_lookups(spark, monkeypatch, most):
+    monkeypatch.setattr(catalog, "LOOKUP_ROWS", most)
+    names = spark.createDataFrame([(f"w{i}", i) for i in range(9)], "token string, id int")
+    rows = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, "w0").otherwise(F.concat(F.lit("w"), (F.col("id") % 12).cast("string"))).alias("token")).withColumnRenamed("id", "at")
+    got = catalog.looked_up(rows, names, "token", 9)
+    want = sorted((i, n) for i in range(500) for n in ([0] if i % 3 == 0 else [i % 12]) if n < 9)
+    assert sorted((r["at"], r.id) for r in got.collect()) == want
+
+
+def test_counted_while_written(spark, tmp_path):
+    assert catalog.write_counted(spark.range(77), f"{tmp_path}/t") == 77 == spark.read.parquet(f"{tmp_path}/t").count()
+    assert catalog.write_counted(spark.range(0), f"{tmp_path}/t") == 0
+
+
 def test_flows(spark, small_corpus, tmp_path):
     store = catalog.Catalog(f"file://{tmp_path}/store")
     corpus = flows.prepare(spark, small_corpus, store)
