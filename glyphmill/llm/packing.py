@@ -14,6 +14,7 @@ doc_id is kept as it is.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch, shuffle_partitions, small_batches
+from glyphmill.llm.merges import LONGEST, Merges
 from glyphmill.sources.catalog import with_row_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,6 +36,10 @@ PART = 50_000
 FILE_BITS = 36
 #: Python splits at these, the tokenizer's patterns don't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Marks that may stand behind a word.
+MARKS = ".,;:!?"
+#: A word of Latin letters that have one lower case each, of at most LONGEST bytes, and perhaps a mark.
+PLAIN = re.compile(f"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{{1,{LONGEST // 2}}})([{MARKS}]?)")
 _tokenizers: dict = {}
 
 
@@ -49,19 +55,37 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.merges, self.parts = Merges(path), {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), LEARN):
-            some = words[at : at + LEARN]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4").tobytes()
-            ends = np.cumsum([len(w) + 1 for w in some])
-            starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids) // 4)
-            cuts = [0, *(4 * np.searchsorted(starts, ends, "left")).tolist()]
-            self.known.update(zip(some, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+        """Latin letters, with or without a mark behind them, are merged all at once; the tokenizer itself reads the others.
+
+        Letters alone are one word to the tokenizer, which reads them in lower case; a mark behind them is another.
+        """
+        others, plain = words, []
+        if self.merges.usable:
+            found = list(map(PLAIN.fullmatch, words))
+            plain = [(m[0], m[1].lower(), m[2]) for m in found if m]
+            others = [w for w, m in zip(words, found) if not m]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        new = list({p for _, p, _ in plain} - self.parts.keys())
+        self.parts.update(zip(new, self.merges.encode([p.encode() for p in new])))
+        ends = {m: np.array([self.merges.word_of[m]], "<u4").tobytes() if m else b"" for m in ("", *MARKS)} if plain else {}
+        self.known.update((w, self.parts[p] + ends[m]) for w, p, m in plain)
+        for at in range(0, len(others), LEARN):
+            self.by_offsets(others[at : at + LEARN])
+
+    def by_offsets(self, words: list[str]) -> None:
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids) // 4)
+        cuts = [0, *(4 * np.searchsorted(starts, ends, "left")).tolist()]
+        self.known.update(zip(words, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian ids of each text."""

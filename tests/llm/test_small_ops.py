@@ -83,6 +83,51 @@ def test_word_ids_are_the_tokenizers(texts):
     assert list(words.texts(texts)) == [words.encode(t) for t in texts]
 
 
+def test_merges_are_the_tokenizers():
+    """Words of Latin letters with and without marks, and those that look like them but aren't."""
+    import random
+
+    r, words = random.Random(6), packing.WordIds(word_bpe())
+    assert words.merges.usable
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250))]
+    some = {"".join(r.choice(letters if k % 3 else "etaoinsrhl") for _ in range(r.randint(1, 30))) + r.choice(["", "", *packing.MARKS, "..", "'s"]) for k in range(4000)}
+    some |= {"İstanbul", "aİb.", "Don't", "x.", ".", "ﬁn", "Ǆ.", "a<|startoftext|>b", "日本", "é" * 3000, "a" * 49, "ª", "aʼb", "ß,", "ẞ!", "a\u0301b", "a\u0301.", "ΑΣ", "\u0345a", "×a", "aaaaaaaaaaaa", "1a", "a1."}
+    words.learn(sorted(some))
+    assert all(words.known[w] == words.encode(w) for w in some)
+
+
+def plain_best_fit(lengths, capacity):
+    """Best fit decreasing, a document at a time."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [i for i, room in enumerate(rooms) if room >= n]
+        if fitting:
+            rooms[min(fitting, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(capacity - n)
+    return sorted(rooms)
+
+
+def test_plan_is_best_fit():
+    """As many sequences as best fit takes, a document at a time, and every slot inside one of them."""
+    import random
+    from collections import Counter
+
+    r = random.Random(1)
+    for _ in range(400):
+        capacity = r.choice([7, 10, 16, 31])
+        lengths = [r.randint(1, capacity) for _ in range(r.randint(0, 40))]
+        room = {}
+        for n, _, ranks, first, copies, place in packing.plan(dict(Counter(lengths)), capacity):
+            for k in range(ranks):
+                room.setdefault(first + k // copies, []).append((place + k % copies * n, n))
+        assert len(room) == len(plain_best_fit(lengths, capacity))
+        assert sorted(n for s in room.values() for _, n in s) == sorted(lengths)
+        for s in room.values():
+            s.sort()
+            assert all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and s[0][0] == 0 and s[-1][0] + s[-1][1] <= capacity
+
+
 def test_packing_ties_repeats_and_nothing(spark):
     docs = documents(spark, ["same words"] * 50)
     docs = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, "x", None, None, None, None, None)], DOCS))
