@@ -2,7 +2,8 @@
 
 1. ``scan`` finds the base entities (email, ip, card, phone), credentials after a telling word, and candidates: other
    tokens with digits, of any length, where those with one space between them are one (an identifier without a digit is
-   none). Each comes with its lexical pattern: the two words before it.
+   none). Each comes with its lexical pattern: the two words before it, and
+   with them the word that punctuation before it belongs to.
 2. Base entities and credentials are the seeds. Spark scores the graph of patterns and instances round by round: a
    pattern is as good as the share of its distinct instances that are trusted, an instance as good as the patterns it
    is found in.
@@ -39,7 +40,7 @@ SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)[\"']?[
 SPACE = re.compile(r"\s")
 #: Characters that a candidate is freed from at its ends.
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&="
-TRUSTED, SUPPORT = 0.7, 5
+TRUSTED, SUPPORT, REACH = 0.7, 5, 3
 BROADCAST_ROWS = 200_000
 SPAN = "array<struct<from:int,to:int,kind:string,pattern:string,instance:string>>"
 
@@ -93,15 +94,23 @@ def short(text: str) -> str:
 
 
 def pattern_before(text: str, start: int) -> str:
-    """The two words before, lower-cased, with digits made alike."""
+    """The two words before, lower-cased, with digits made alike; empty where they hold no letter.
+
+    Words without a letter are punctuation, which stands behind anything: up to REACH of them come on top, back to a word that
+    has one.
+    """
     reach = 32
     while True:
         before = text[max(0, start - reach) : start]
-        words = before.rsplit(None, 2)
-        if reach >= start or len(words) == 3:
+        words = before.rsplit(None, REACH + 2)
+        if reach >= start or len(words) == REACH + 3:
             break
         reach *= 4
-    return short(" ".join(DIGIT.sub("0", " ".join(words[-2:]).lower()).split()))
+    for k in range(2, REACH + 3):
+        last = " ".join(words[-k:])
+        if any(c.isalpha() for c in last):
+            return short(" ".join(DIGIT.sub("0", last.lower()).split()))
+    return ""
 
 
 def tokens_with_digits(text: str) -> Iterator[tuple[int, int]]:

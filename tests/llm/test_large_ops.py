@@ -246,7 +246,31 @@ def test_candidates_are_runs_of_words_with_digits(text):
     if not base:
         assert [(a, b) for k, a, b in more if not k] == plain_words(text)
         for k, a, b in more:
-            assert personal_data.pattern_before(text, a) == " ".join(re.sub("[0-9]", "0", text[:a].lower()).split()[-2:])
+            words = re.sub("[0-9]", "0", text[:a].lower()).split()
+            wanted = [" ".join(words[-n:]) for n in range(2, 6) if any(c.isalpha() for c in "".join(words[-n:]))]
+            assert personal_data.pattern_before(text, a) == (wanted[0] if wanted else "")
+
+
+def test_punctuation_is_no_pattern(spark):
+    """What stands behind the same punctuation as credentials do is left alone, alone or redacted."""
+    texts = [f'line {k} api_key = "A000bcdefgh12345{k:02d}"' for k in range(20)]
+    clean = ['the release has version = "1.2.3" and year = "2024" in it', 'x = "1" ; y = "22"', '= " 7', '- - 12', "1 2 3"]
+    docs = documents(spark, texts + clean)
+    got = [r.spans for r in personal_data.find(docs).orderBy("doc_id").collect()]
+    assert all(s.startswith("secret:") for s in got[:20]) and got[20:] == [""] * 5
+    lines = [r.text for r in personal_data.redact(docs).orderBy("doc_id").collect()]
+    assert lines[20:] == clean
+    assert personal_data.pattern_before('api_key = "A', 11) == 'api_key = "' and personal_data.pattern_before("- . 7", 4) == ""
+
+
+def test_identifiers_of_nameless_and_repeated_rows(spark):
+    card = "please charge card {} today"
+    texts = [card.format(c) for c in ("4111111111111111", "5500000000000004", "340000000000009", "30000000000004", "6011000000000004", "3530111333300000", "5105105105105100")]
+    rows = [(None, t) for t in texts] + [(None, card.format("77-A-9"))] * 2 + [(5, card.format("77-A-9")), (5, "other 77-A-9 text"), (5, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, found int, hash int")
+    got = sorted((str(r.doc_id), r.spans) for r in personal_data.find(docs).collect())
+    assert len(got) == len(rows) and [s for i, s in got if i == "5"] == ["", "", "id:19:25"] and sum(s == "id:19:25" for _, s in got) == 3
+    assert sum(r.text == "please charge card <ID> today" for r in personal_data.redact(docs).collect()) == 3
 
 
 def test_identifiers_in_groups(spark):
