@@ -60,7 +60,9 @@ def token_statistics_by(rows: DataFrame, tokenizers: dict[int, Column], sentence
     kinds = F.array(*(F.struct(F.lit(v).alias("vocab_size"), t.alias("t")) for v, t in tokenizers.items()))
     each = rows.select(F.length(sentence).alias("l"), F.explode(kinds).alias("k")).select("l", "k.vocab_size", "k.t")
     n, chars = F.size("t"), F.length(F.array_join("t", ""))
-    per = each.select("vocab_size", n.alias("n"), ratio(chars, n).alias("piece"), ratio(n, F.col("l")).alias("density"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("token"))
+    # a sentence's numbers are made before it is exploded: beside the explosion they would be made again for every token
+    made = each.select("vocab_size", n.alias("n"), ratio(chars, n).alias("piece"), ratio(n, F.col("l")).alias("density"), F.concat(F.array(F.lit(None).cast("string")), F.col("t")).alias("t"))
+    per = made.select("vocab_size", "n", "piece", "density", F.explode("t").alias("token"))
     own = F.col("token").isNull()
     counts = per.groupBy("vocab_size", "token", F.when(own, F.col("n")).alias("n")).agg(
         F.count("*").alias("times"), F.sum(F.when(own, F.col("piece"))).alias("piece"), F.sum(F.when(own, F.col("density"))).alias("density")

@@ -215,6 +215,15 @@ def test_small_singular_values_survive(spark):
     assert not np.allclose(np.sqrt(np.abs(np.linalg.eigvalsh(gram)))[::-1], true, rtol=1e-1)
 
 
+def test_both_ways_give_one_spectrum(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(150, 14)) * 0.8 ** np.arange(14) + 0.3
+    f = as_rows(spark, x)
+    for spectrum in (reduce.svd_spectrum, reduce.pca_spectrum):
+        (a, v), (b, w) = spectrum(f, 14, 6), spectrum(f, 14, 6, accurate=True)
+        assert np.allclose(a, b, atol=1e-8) and np.allclose(np.abs((v * w).sum(0)), 1, atol=1e-8)
+
+
 def test_many_columns(spark):
     """50,000 columns: the driver holds columns times rank."""
     rng = np.random.default_rng(6)
