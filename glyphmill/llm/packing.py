@@ -55,7 +55,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.merges, self.parts = Merges(path), {}
+        self.merges = Merges(path)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -70,12 +70,10 @@ class WordIds:
             found = list(map(PLAIN.fullmatch, words))
             plain = [(m[0], m[1].lower(), m[2]) for m in found if m]
             others = [w for w, m in zip(words, found) if not m]
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        new = list({p for _, p, _ in plain} - self.parts.keys())
-        self.parts.update(zip(new, self.merges.encode([p.encode() for p in new])))
+        letters = list({p for _, p, _ in plain})
+        parts = dict(zip(letters, self.merges.encode([p.encode() for p in letters])))
         ends = {m: np.array([self.merges.word_of[m]], "<u4").tobytes() if m else b"" for m in ("", *MARKS)} if plain else {}
-        self.known.update((w, self.parts[p] + ends[m]) for w, p, m in plain)
+        self.known.update((w, parts[p] + ends[m]) for w, p, m in plain)
         for at in range(0, len(others), LEARN):
             self.by_offsets(others[at : at + LEARN])
 
@@ -145,6 +143,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
                         rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), place)[: len(kinds)])
             cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        words.known.clear()  # the worker goes on to other stages
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["at"] if ordered else [])]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())[: len(names)]
