@@ -6,9 +6,15 @@ source has had its share of blocks to within less than one block. Weights are ta
 to slots, so that holds over the whole run. When a source runs out, the weights of the others are scaled up and the
 schedule starts anew from there, so every document keeps a place.
 
-The schedule has a row for each block (600,000 at 30 GB and 50,000 characters a block; larger corpora take larger
-blocks). The driver makes it in stretches of STRETCH rows, which are stored and joined to the documents by (source,
-block); it holds a row per source and one stretch. A source with a third of all rows is summed up in many salted chunks.
+The schedule has a row for each block and is made on the cluster, a stretch of slots in a task. Which blocks are done at
+a stretch's borders follows from the weights alone: earliest deadline first is followed from longer before the border
+than any source waits for its next block, starting with the blocks that are due first. A stretch takes the blocks
+between its two borders, those that must be done at its end with that end as their deadline, so stretches fit together
+and every block keeps its release and deadline (``tests/llm`` checks both for every slot). The driver holds the
+sources, their weights and the borders, and follows the last stretch before a source runs out, of which it keeps one
+number for each source. Stretches are at least four times as long as the longest wait between two blocks of a source: a
+source of weight w has a task of 4 / w slots or more, so a weight of next to nothing leaves the schedule to one task.
+A source with a third of all rows is summed up in many salted chunks.
 
 Rows: a null or empty text has no volume and goes with the block it falls in; a text is never cut, it goes whole with the
 block that it begins in, so where texts are longer than blocks the volume (not the number of blocks) is off the target by
@@ -24,6 +30,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,13 +38,23 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch
 
-#: Rows of the schedule that are made at a time; documents of a chunk, whose volumes are summed up together.
-STRETCH, CHUNK_ROWS = 200_000, 20_000
+#: Least number of slots of a stretch; rows of the schedule in a batch; documents of a chunk, whose volumes are summed up together.
+STRETCH, BATCH, CHUNK_ROWS = 200_000, 50_000, 20_000
 #: Deadlines of sources with next to no weight end here, within a long.
 FAR = 1 << 62
 SCHEDULE = "s_source string, s_block long, slot long, release long, deadline long"
 
 
+class Phase(NamedTuple):
+    """The schedule from one source's end to the next: slots and blocks are counted from 0 behind ``base`` and ``begun``."""
+
+    base: int
+    begun: dict
+    q: dict
+    left: dict
+    borders: list
+
+
 def shares(weights: dict) -> tuple[dict, int]:
     """The weights as whole numbers in exactly their proportion, and their sum."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -46,60 +63,128 @@ def shares(weights: dict) -> tuple[dict, int]:
     return q, sum(q.values())
 
 
-def earliest_deadline(q: dict, left: dict) -> Iterator[tuple]:
-    """(source, block, slot, release, deadline) by the weights ``q``, up to the end of the first source of ``left`` that
-    runs out; slots and blocks are counted from 0."""
-    total, done = sum(q.values()), dict.fromkeys(q, 0)
-    order = {s: i for i, s in enumerate(sorted(q, key=lambda s: (str(s), s is None)))}
-    waiting, ready = [(0, i, s) for s, i in order.items()], []  # by release; by deadline
-    heapq.heapify(waiting)
-    for slot in itertools.count():
+def ordered(q: dict) -> list:
+    return sorted(q, key=lambda s: (str(s), s is None))
+
+
+def earliest_deadline(q: dict, done: dict, start: int, stop: int | None = None, until: dict | None = None) -> Iterator[tuple]:
+    """(source, block, slot, release, deadline) by the weights ``q`` from the slot ``start`` on, where ``done`` blocks of
+    each source are done. With ``until``, just the blocks before it are taken, and all of them are due at ``stop``."""
+    total, done, sources = sum(q.values()), dict(done), ordered(q)
+    last = math.inf if stop is None else stop
+    waiting, ready = [], []  # by release; by deadline
+
+    def wait(i: int) -> None:
+        s = sources[i]
+        if until is None or done[s] < until[s]:
+            heapq.heappush(waiting, (done[s] * total // q[s], i))
+
+    for i in range(len(sources)):
+        wait(i)
+    for slot in itertools.count(start):
+        if slot == stop:
+            return
         while waiting and waiting[0][0] <= slot:
-            release, i, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(done[s] + 1) * total // q[s]), i, s, release))
-        deadline, i, s, release = heapq.heappop(ready)
-        yield s, done[s], slot, release, deadline
+            release, i = heapq.heappop(waiting)
+            deadline = -(-(done[sources[i]] + 1) * total // q[sources[i]])
+            heapq.heappush(ready, (deadline if until is None else min(deadline, last), i, release, deadline))
+        _, i, release, deadline = heapq.heappop(ready)
+        yield sources[i], done[sources[i]], slot, release, deadline
+        done[sources[i]] += 1
+        wait(i)
+
+
+def longest_wait(q: dict) -> int:
+    """Slots within which every source has a block that is released and due."""
+    return -(-sum(q.values()) // min(q.values())) + 2
+
+
+def done_at(q: dict, slot: int) -> dict:
+    """Blocks of each source that are done before ``slot``, a border between stretches."""
+    total, begin = sum(q.values()), max(0, slot - longest_wait(q))
+    done = {s: begin * w // total for s, w in q.items()}
+    # of the blocks that are neither due nor unreleased at ``begin``, those due first are done
+    open_ = sorted((-(-(done[s] + 1) * total // q[s]), i, s) for i, s in enumerate(ordered(q)) if begin * q[s] % total)
+    for _, _, s in open_[: begin - sum(done.values())]:
         done[s] += 1
-        if done[s] == left[s]:
+    for s, *_ in earliest_deadline(q, done, begin, slot):
+        done[s] += 1
+    return done
+
+
+def last_stretch(q: dict, left: dict, start: int) -> Iterator[tuple]:
+    """From the border ``start`` up to the end of the first source of ``left`` that runs out."""
+    for row in earliest_deadline(q, done_at(q, start), start):
+        yield row
+        if row[1] + 1 == left[row[0]]:
             return
-        heapq.heappush(waiting, (done[s] * total // q[s], i, s))
 
 
-def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
-    """(source, block, slot, release, deadline) of every block, slot by slot."""
-    left, done, base = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0
-    while left:
-        first, slots = dict(done), 0
-        for s, i, slot, release, deadline in earliest_deadline(shares({s: weights[s] for s in left})[0], left):
-            yield s, first[s] + i, base + slot, base + release, min(base + deadline, FAR)
+def phases(blocks: dict, weights: dict) -> Iterator[Phase]:
+    """From one source's end to the next; the driver follows the last stretch of each and keeps a number per source."""
+    done, base = dict.fromkeys(blocks, 0), 0
+    while left := {s: n - done[s] for s, n in blocks.items() if n > done[s]}:
+        q, total = shares({s: weights[s] for s in left})
+        first_last = min((n - 1) * total // q[s] for s, n in left.items())  # no source's last block is released earlier
+        length = max(STRETCH, 4 * longest_wait(q))
+        borders = list(range(0, first_last + 1, length))
+        yield Phase(base, {s: done[s] for s in left}, q, left, borders)
+        for s, n in done_at(q, borders[-1]).items():
+            done[s] += n
+        base += borders[-1]
+        for s, *_ in last_stretch(q, left, borders[-1]):
             done[s] += 1
-            slots += 1
-        left = {s: blocks[s] - done[s] for s in left if blocks[s] > done[s]}
-        base += slots
+            base += 1
+
+
+def stretch(phase: Phase, k: int) -> Iterator[tuple]:
+    """The rows of the schedule from the phase's border ``k`` to the next."""
+    start = phase.borders[k]
+    if k + 1 < len(phase.borders):
+        stop = phase.borders[k + 1]
+        rows = earliest_deadline(phase.q, done_at(phase.q, start), start, stop, done_at(phase.q, stop))
+    else:
+        rows = last_stretch(phase.q, phase.left, start)
+    for s, i, slot, release, deadline in rows:
+        yield s, phase.begun[s] + i, phase.base + slot, phase.base + release, min(phase.base + deadline, FAR)
+
+
+def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block, slot, release, deadline) of every block, slot by slot, for few blocks."""
+    for phase in phases(blocks, weights):
+        for k in range(len(phase.borders)):
+            yield from stretch(phase, k)
 
 
 def stored_schedule(scratch: Scratch, blocks: dict, weights: dict) -> DataFrame:
-    """The schedule as a table SCHEDULE."""
-    rows, spark = schedule(blocks, weights), scratch.spark
+    """The schedule as a table SCHEDULE, each stretch made by a task."""
+    every = list(phases(blocks, weights))
     kinds = pa.schema([("s_source", pa.string()), *((c, pa.int64()) for c in ("s_block", "slot", "release", "deadline"))])
-    for k in itertools.count():
-        some = list(itertools.islice(rows, STRETCH))
-        if not some and k:
-            break
-        arrays = [pa.array(c, f.type) for c, f in zip(zip(*some), kinds)] if some else [pa.array([], f.type) for f in kinds]
-        scratch.save(spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds)).to(spark.createDataFrame([], SCHEDULE).schema), f"schedule/{k}")
-    return spark.read.schema(SCHEDULE).parquet(f"{scratch.root}/schedule/*")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                made = stretch(every[p], k)
+                while some := list(itertools.islice(made, BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kinds)], schema=kinds)
+
+    each = [(p, k) for p, phase in enumerate(every) for k in range(len(phase.borders))]
+    tasks = scratch.spark.createDataFrame(each, "phase long, border long").repartition("phase", "border")
+    return scratch.save(tasks.mapInArrow(rows, SCHEDULE), "schedule")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_chars: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_chars: int = 50_000, carry: list[str] | None = None) -> DataFrame:
     """``docs`` as ``row`` with source, block, slot, release, deadline and start: sort by (slot, start) to read the mixture.
 
-    weights: target share by source; else the volumes to the power ``temperature``.
+    weights: target share by source; else the volumes to the power ``temperature``. carry: columns that ``row`` is to
+    have, with doc_id among them, else all; texts that aren't carried are in no shuffle.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = rows.withColumns({"source": F.col("row.source").cast("string"), "chars": F.length(F.coalesce("row.text", F.lit(""))).cast("long")})
-    rows = rows.withColumn("hash", F.xxhash64("row.doc_id", "source", "row.text"))
+    source = F.col("source").cast("string")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), source.alias("source"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), F.xxhash64("doc_id", source, "text").alias("hash"),
+    )
     # chunks come from the documents alone, and their number from the corpus's size
     chunks = max(64, docs.count() // CHUNK_ROWS)
     rows = rows.withColumn("chunk", F.pmod(F.col("hash"), F.lit(chunks)))

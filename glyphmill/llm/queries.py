@@ -76,7 +76,7 @@ def op7_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "block", "slot", "release", "deadline", "start")
 
 

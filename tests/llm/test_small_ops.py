@@ -168,6 +168,21 @@ def test_schedule_keeps_to_the_given_weights(weights):
     check_schedule({f"s{i}" if i else None: 5_000 for i in range(len(weights))}, {f"s{i}" if i else None: w for i, w in enumerate(weights)})
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 400), min_size=1, max_size=8), st.lists(st.one_of(st.floats(0.01, 1), st.sampled_from([0.1, 0.25, 0.5, 1.0])), min_size=8, max_size=8), st.integers(1, 60))
+def test_stretches_fit_together(blocks, weights, least):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mixing, "STRETCH", least)
+        check_schedule({f"s{i}": n for i, n in enumerate(blocks)}, {f"s{i}": w for i, w in enumerate(weights)})
+
+
+def test_long_runs_have_many_stretches(monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 1)
+    have, weights = {"a": 30_000, "b": 9_000, "c": 8_000, "d": 7_000, "e": 900}, {"a": 0.41, "b": 0.31, "c": 0.17, "d": 0.1, "e": 0.01}
+    assert max(len(p.borders) for p in mixing.phases(have, weights)) > 20
+    check_schedule(have, weights)
+
+
 def test_schedule_of_many_sources():
     have = {f"s{i}": 3 + i % 40 for i in range(800)}
     began = time.process_time()
