@@ -40,6 +40,8 @@ from glyphmill.llm.common import Scratch
 
 #: Least number of slots of a stretch; rows of the schedule in a batch; documents of a chunk, whose volumes are summed up together.
 STRETCH, BATCH, CHUNK_ROWS = 200_000, 50_000, 20_000
+#: Most tasks that make the schedule.
+TASKS = 10_000
 #: Deadlines of sources with next to no weight end here, within a long.
 FAR = 1 << 62
 SCHEDULE = "s_source string, s_block long, slot long, release long, deadline long"
@@ -169,7 +171,7 @@ def stored_schedule(scratch: Scratch, blocks: dict, weights: dict) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kinds)], schema=kinds)
 
     each = [(p, k) for p, phase in enumerate(every) for k in range(len(phase.borders))]
-    tasks = scratch.spark.createDataFrame(each, "phase long, border long").repartition("phase", "border")
+    tasks = scratch.spark.createDataFrame(each, "phase long, border long").repartition(min(max(len(each), 1), TASKS))
     return scratch.save(tasks.mapInArrow(rows, SCHEDULE), "schedule")
 
 
