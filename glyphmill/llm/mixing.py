@@ -171,7 +171,9 @@ def stored_schedule(scratch: Scratch, blocks: dict, weights: dict) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kinds)], schema=kinds)
 
     each = [(p, k) for p, phase in enumerate(every) for k in range(len(phase.borders))]
-    tasks = scratch.spark.createDataFrame(each, "phase long, border long").repartition(min(max(len(each), 1), TASKS))
+    # an Arrow table, as rows in a list would start further workers
+    tasks = pa.table({c: pa.array([x[i] for x in each], pa.int64()) for i, c in enumerate(("phase", "border"))})
+    tasks = scratch.spark.createDataFrame(tasks).repartition(min(max(len(each), 1), TASKS))
     return scratch.save(tasks.mapInArrow(rows, SCHEDULE), "schedule")
 
 
