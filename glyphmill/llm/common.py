@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.sources.scratch import Scratch, free_shuffles
 
-__all__ = ["Scratch", "components", "free_shuffles", "shuffle_partitions", "small_batches", "table"]
+__all__ = ["Scratch", "components", "free_shuffles", "give_back", "shuffle_partitions", "small_batches", "table"]
 
 BATCH_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
@@ -29,6 +32,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES, "4m")
 
 
+def give_back() -> None:
+    """At a partition's end in a worker: memory that its batches have left with the allocators goes back to the system.
+
+    Workers live on between stages, and what they keep counts as their executor's.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library alone
+        trim(0)
+
+
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges(a, b), for every node that has an edge.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import small_batches
+from glyphmill.llm.common import give_back, small_batches
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -137,6 +137,7 @@ def infer(model: Model, text: Column, spark) -> Column:
     def udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([shared.value.infer(t) for t in batch], columns=["lang", "score", "background", "languages"])
+        give_back()
 
     return udf(text)
 

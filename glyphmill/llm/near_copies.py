@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, components, free_shuffles, shuffle_partitions, small_batches
+from glyphmill.llm.common import Scratch, components, free_shuffles, give_back, shuffle_partitions, small_batches
 
 WORDS, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 64, 16
@@ -203,6 +203,7 @@ def grouped(docs: DataFrame) -> DataFrame:
                 cols = [pa.array([batch.column(i).slice(lo, hi - lo).to_pylist()], pa.list_(kind)) for i, kind in enumerate((*[pa.int64()] * 3, pa.string()))]
                 yield pa.RecordBatch.from_arrays([pa.array([gid], pa.int64()), *cols], ["gid", "doc_id", "t1", "t2", "text"])
                 gid += 1
+        give_back()
 
     return docs.select("doc_id", "t1", "t2", "text").mapInArrow(run, "gid long, doc_id array<long>, t1 array<long>, t2 array<long>, text array<string>")
 
@@ -223,6 +224,7 @@ def frequencies(groups: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.binary(), pa.binary())
                 arrays = [pa.array(c, k) for c, k in zip(list(zip(*cols)) or [[]] * 3, kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array([gid] * len(cols), pa.int64()), *arrays], ["gid", "range", "hashes", "n"])
+        give_back()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         _, at = np.unique(np.frombuffer(b"".join(pdf.hashes), U), return_inverse=True)
@@ -249,6 +251,7 @@ def sketches(groups: DataFrame, counted: DataFrame, total: int) -> DataFrame:
                 dfs = [df[a:b].tobytes() if a < b else None for a, b in zip(starts, starts[1:])]
                 ids = (pa.array(row[c], pa.int64()) for c in ("doc_id", "t1", "t2"))
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(sigs, pa.binary()), pa.array(dfs, pa.binary())], ["doc_id", "t1", "t2", "sig", "df"])
+        give_back()
 
     joined = groups.join(counted.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"), "left").select("doc_id", "t1", "t2", "text", "dfs")
     return joined.mapInArrow(run, "doc_id long, t1 long, t2 long, sig binary, df binary")
@@ -270,6 +273,8 @@ def verified(pairs: DataFrame, bodies: DataFrame, total: int, threshold: float)
 
         for x, f, y, g in batches:
             yield pd.Series([similarity(vector(a, m), vector(b, n)) for a, m, b, n in zip(x, f, y, g)], dtype=float)
+        vector.cache_clear()
+        give_back()
 
     left = bodies.select(F.col("uid").alias("a"), F.col("text").alias("text_a"), F.col("df").alias("df_a"))
     right = bodies.select(F.col("uid").alias("b"), F.col("text").alias("text_b"), F.col("df").alias("df_b"))
@@ -290,6 +295,7 @@ def outlines(bodies: DataFrame, total: int) -> DataFrame:
                 s, w = vector_of(text, df, total)
                 rows.append((w.sum(dtype=np.float64), np.bincount((s >> U(56)).astype(np.int64), w, BINS).astype(np.float32).tobytes()))
             yield pd.DataFrame(rows, columns=["weight", "bins"])
+        give_back()
 
     return bodies.select("uid", outline("text", "df").alias("o")).select("uid", "o.*")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, shuffle_partitions, small_batches
+from glyphmill.llm.common import Scratch, give_back, shuffle_partitions, small_batches
 from glyphmill.llm.merges import LONGEST, Merges
 from glyphmill.sources.catalog import with_row_ids
 
@@ -144,6 +144,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
             cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
         words.known.clear()  # the worker goes on to other stages
+        give_back()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["at"] if ordered else [])]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())[: len(names)]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, small_batches
+from glyphmill.llm.common import Scratch, give_back, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -185,6 +185,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 rows.append((doc, key, *n, hashlib.sha256(line.encode()).hexdigest(), line, found))
             cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in schema.split(", ", 8)])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -262,6 +263,7 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
                     t = "".join(parts) + t[at:]
                 out.append(t)
             yield pd.Series(out, dtype=object)
+        give_back()
 
     n = each.count()
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
