@@ -39,8 +39,10 @@ SAMPLES, BANDS = 64, 16
 BLOCK, OUTLINES, BINS = 700, 2000, 256
 BATCH_CHARS = 2_000_000
 BROADCAST_ROWS = 200_000
+#: Characters of a block of texts whose pairs are verified.
+BLOCK_CHARS = 4_000_000
 #: Characters of a group of documents, and shingles that are counted in a range of hashes.
-GROUP_CHARS, RANGE = 200_000, 2_000_000
+GROUP_CHARS, RANGE = 200_000, 1_000_000
 U = np.uint64
 
 
@@ -225,8 +227,12 @@ def frequencies(groups: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([gid] * len(cols), pa.int64()), *arrays], ["gid", "range", "hashes", "n"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, at = np.unique(np.frombuffer(b"".join(pdf.hashes), U), return_inverse=True)
-        df = np.bincount(at, np.frombuffer(b"".join(pdf.n), np.uint32)).astype(np.uint32)[at]
+        h = np.frombuffer(b"".join(pdf.hashes), U)
+        order = np.argsort(h)
+        h, n = h[order], np.frombuffer(b"".join(pdf.n), np.uint32)[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        df = np.empty(len(h), np.uint32)
+        df[order] = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(h))))
         ends = np.cumsum([len(h) // 8 for h in pdf.hashes])[:-1]
         return pd.DataFrame({"gid": pdf.gid, "range": pdf.range, "df": [x.tobytes() for x in np.split(df, ends)]})
 
@@ -294,13 +300,18 @@ def outlines(bodies: DataFrame, total: int) -> DataFrame:
     return bodies.select("uid", outline("text", "df").alias("o")).select("uid", "o.*")
 
 
-def in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """Each row of a bucket ``key`` for each pair (i, j) of blocks of the bucket that has the row's ``own`` block."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    cut = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+def in_blocks(members: DataFrame, block: int, chars: int | None = None) -> DataFrame:
+    """Each row of a bucket ``key`` for each pair (i, j) of blocks of the bucket that has the row's ``own`` block.
+
+    A block has about ``block`` rows, and about ``chars`` characters where rows carry their texts, which bounds what a task holds.
+    """
+    held = F.sum(F.length("text")) / chars if chars else F.lit(0.0)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), held.alias("held"))
+    blocks = F.least(F.col("n"), F.ceil(F.greatest(F.col("n") / block, "held")))
+    cut = members.join(sizes, "key").withColumn("blocks", blocks.cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return cut.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "blocks", "other")
+    return cut.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "held", "blocks", "other")
 
 
 def open_pairs(pdf: pd.DataFrame, threshold: float) -> Iterator[np.ndarray]:
@@ -348,7 +359,7 @@ def joined_in_buckets(members: DataFrame, total: int, threshold: float) -> DataF
 
     A task looks at all pairs of a bucket that may be similar in order of the agreement of their samples, and verifies
     those that nothing has joined yet, so it returns fewer links than it has texts. A pair is looked at only in the first
-    bucket that it shares. Large buckets are cut into blocks, and each pair of blocks is a group of its own.
+    bucket that it shares. Large buckets are cut into blocks by rows and characters, and each pair of blocks is a group of its own.
     """
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -377,7 +388,7 @@ def joined_in_buckets(members: DataFrame, total: int, threshold: float) -> DataF
                 out.append((uid[p], uid[q]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    cut = in_blocks(members, BLOCK).select("key", "i", "j", "own", "band", "uid", "comp", "sig", "weight", "bins", "text", "df")
+    cut = in_blocks(members, BLOCK, BLOCK_CHARS).select("key", "i", "j", "own", "band", "uid", "comp", "sig", "weight", "bins", "text", "df")
     return cut.groupBy("key", "i", "j").applyInPandas(links, "a long, b long")
 
 

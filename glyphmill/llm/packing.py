@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch, shuffle_partitions, small_batches
@@ -151,6 +151,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     return docs.select(*wanted).mapInArrow(cut, PIECES + (", at long" if ordered else ""))
 
 
+SLOTS = ("length", "first", "ranks", "sequence", "copies", "place")
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Slots (length, first rank, ranks, first sequence, copies, offset) for a histogram {length: pieces}.
 
@@ -181,6 +184,12 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return sorted(slots)
 
 
+def slot_table(spark: SparkSession, slots: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """By way of an Arrow table, as rows in a list would start further workers, which stay beside the others."""
+    cols = list(zip(*slots)) or [[]] * len(SLOTS)
+    return spark.createDataFrame(pa.table({name: pa.array(c, pa.int64()) for name, c in zip(SLOTS, cols)}))
+
+
 def places(slots: DataFrame) -> DataFrame:
     """(length, rank, sequence_id, offset) for every rank of the planned slots, unrolled in parts of PART ranks."""
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("ranks") - 1) / PART))).alias("part")
@@ -214,8 +223,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, scratch: Scratch | None = None
     ranked = salted.withColumn("rank", F.row_number().over(within)).join(firsts, ["length", "salt"])
     ranked = ranked.select(*names, (F.col("first") + F.col("rank") - 1).alias("rank"))
 
-    slots = spark.createDataFrame(plan(histogram, capacity), "length long, first long, ranks long, sequence long, copies long, place long")
-    packed = ranked.join(places(slots), ["length", "rank"]).select(*names, "sequence_id", "offset")
+    packed = ranked.join(places(slot_table(spark, plan(histogram, capacity))), ["length", "rank"]).select(*names, "sequence_id", "offset")
     if not ordered:
         return packed
     packed = scratch.save(packed, "packed")

@@ -505,6 +505,28 @@ def test_pairs_of_a_bucket_are_verified_whatever_their_samples(spark):
     assert {(min(r), max(r)) for r in got} == {(0, 1), (2, 3), (4, 5)}
 
 
+def test_blocks_of_long_texts_are_bounded_by_characters(spark, monkeypatch):
+    """A bucket of few long texts is one block by rows; a task would hold all of them."""
+    texts = [" ".join(f"w{t % 6}x{k}" for k in range(1500)) + f" e{t}" for t in range(36)]
+    rows = [(1, 0, u, u, np.append(np.full(4, 7, np.uint32), np.arange(60, dtype=np.uint32) + 100 * (u + 1)).tobytes(), t, np.ones(len(near_copies.shingles([t])[0]), np.uint32).tobytes()) for u, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "key long, band int, uid long, comp long, sig binary, text string, df binary")
+    members = members.join(near_copies.outlines(members, 100), "uid")
+    chars = sum(map(len, texts)) // 9
+    groups = near_copies.in_blocks(members, near_copies.BLOCK, chars).groupBy("key", "i", "j").agg(F.sum(F.length("text"))).collect()
+    assert len(groups) > 9 and max(r[3] for r in groups) < 5 * chars
+    assert near_copies.in_blocks(members, near_copies.BLOCK, 10).agg(F.max("j")).first()[0] < len(texts)  # no more blocks than rows
+
+    def linked():
+        up = list(range(len(texts)))
+        for a, b in near_copies.joined_in_buckets(members, 100, 0.8).collect():
+            up = [up[a] if x == up[b] else x for x in up]
+        return [up.index(x) for x in up]
+
+    whole = linked()
+    monkeypatch.setattr(near_copies, "BLOCK_CHARS", chars)
+    assert linked() == whole == [u % 6 for u in range(len(texts))]
+
+
 # repeats
 
 

@@ -386,3 +386,12 @@ def test_sql_oracles(spark, con):
         cols = sorted(mine.columns)
         assert cols == sorted(theirs.columns)
         assert sorted(map(str, mine[cols].astype(object).where(mine[cols].notna(), None).values.tolist())) == sorted(map(str, theirs[cols].astype(object).where(theirs[cols].notna(), None).values.tolist()))
+
+
+def test_planned_slots_start_no_further_workers(spark):
+    """Rows in a list would be read by a second pool of Python workers, which stays in the executors' memory."""
+    slots = packing.plan({3: 5, 7: 2}, 10)
+    table = packing.slot_table(spark, slots)
+    assert [tuple(r) for r in table.collect()] == slots and packing.slot_table(spark, []).count() == 0
+    assert "PythonRDD" not in table._jdf.rdd().toDebugString()
+    assert "PythonRDD" in spark.createDataFrame(slots, table.schema)._jdf.rdd().toDebugString()
