@@ -622,3 +622,14 @@ def test_stored_artifacts_are_listed(spark, tmp_path):
     assert [r.vocab_size for r in catalog.listed_sizes(catalog.stored_paths(spark, str(tmp_path))).collect()] == [1400, 10000]
     names = spark.createDataFrame([("x/next_word_model_epoch_3.h5",), ("old_next_word_model_epoch_9.h5",), ("next_word_model_epoch_4.parquet",)], "name string")
     assert catalog.latest_checkpoint(names).first().epoch == 3
+
+
+def test_framed_rows_add_up_in_place(spark):
+    """The frame's rows equal the sparse ones, repeated tokens included, and no entry becomes a row that is grouped again."""
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "b", "c", "a"]), (2, []), (3, [f"t{k % 7}" for k in range(60)]), (4, [f"u{k}" for k in range(40)])], "row_id long, tokens array<string>")
+    found = windows.framed_rows(rows, F.lit("<s>"), F.lit("</s>"))
+    want = {(r.row_id, r.pos): (list(r.indices), [round(x, 9) for x in r["values"]]) for r in windows.sparse_rows(rows, "<s>", "</s>").collect()}
+    got = {(r.row_id, r.pos): (list(r.indices), [round(x, 9) for x in r["values"]]) for r in found.collect()}
+    assert got == want and len(got) == 6 + 60 + 40 + 4 * 15
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate " not in plan and plan.count("Generate") == 1
