@@ -22,6 +22,8 @@ THRESHOLD = 0.95
 GRAMIAN = 8192
 #: Products of entries that a task holds before it sums them up.
 PRODUCTS = 4_000_000
+#: Entries of a Gramian that a task holds whole, 8 bytes each: products are then added in place and never sorted.
+DENSE = 4_000_000
 
 
 def dense_features(rows: DataFrame, values: str) -> DataFrame:
@@ -38,6 +40,47 @@ def moments(features: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray
     if size >= 1 << 31:
         raise ValueError("too many columns")
 
+    dense = size * size <= DENSE
+
+    def triangles(column: np.ndarray, value: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and products of the entries of a row with itself and those behind it, for many rows of one width at once."""
+        starts = np.cumsum(width) - width
+        for w in np.unique(width[width > 0]).tolist():
+            a, b = np.triu_indices(w)
+            rows, most = starts[width == w], max(1, PRODUCTS // 4 // len(a))
+            for lo in range(0, len(rows), most):
+                at = rows[lo : lo + most, None] + np.arange(w)
+                j, x = column[at], value[at]
+                yield (j[:, a] * size + j[:, b]).ravel(), (x[:, a] * x[:, b]).ravel()
+
+    def sums_of_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, gram, total = 0, np.zeros(size * size), np.zeros(size)
+        keys, values, held = [], [], 0
+
+        def add() -> None:
+            nonlocal gram, keys, values, held
+            gram += np.bincount(np.concatenate(keys), np.concatenate(values), size * size)
+            keys, values, held = [], [], 0
+
+        for batch in batches:
+            n += batch.num_rows
+            width = np.diff(batch.column(0).offsets.to_numpy()).astype(np.int64)
+            j, x = batch.column(0).flatten().to_numpy().astype(np.int64), batch.column(1).flatten().to_numpy()
+            total += np.bincount(j, x, size)
+            for k, v in triangles(j, x, width):
+                keys.append(k)
+                values.append(v)
+                held += len(k)
+                if held >= PRODUCTS:
+                    add()
+        if held:
+            add()
+        gram = gram.reshape(size, size)
+        gram = (np.triu(gram) + np.tril(gram, -1).T).ravel()  # whichever of the two columns came first in a row
+        at, of = np.flatnonzero(gram), np.flatnonzero(total)
+        keys = np.concatenate([at, -1 - of, [FEW]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([gram[at], total[of], [float(n)]]))], ["entry", "total"])
+
     def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         k, at = np.unique(np.concatenate(keys), return_inverse=True)
         return k, np.bincount(at, np.concatenate(values), len(k))
@@ -76,7 +119,7 @@ def moments(features: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray
         values.append(np.array([float(n)]))
         yield out()
 
-    sums = features.select("indices", "values").mapInArrow(products, "entry long, total double").groupBy("entry").agg(F.sum("total").alias("total"))
+    sums = features.select("indices", "values").mapInArrow(sums_of_products if dense else products, "entry long, total double").groupBy("entry").agg(F.sum("total").alias("total"))
     # a row of the Gramian a line: the driver reads one after another
     lines = sums.groupBy(F.when(F.col("entry") >= 0, F.floor(F.col("entry") / size)).otherwise(-1).alias("i")).agg(F.collect_list("entry").alias("entries"), F.collect_list("total").alias("totals"))
     n, column, gram = 0, np.zeros(size), np.zeros((size, size))

@@ -647,3 +647,19 @@ def test_pieces_are_looked_up_by_one_join_of_the_corpus(spark, monkeypatch):
     number = {t: k for k, t in enumerate(sorted({t for r in tokens for t in r.tokens or []}))}
     want = sorted((r.row_id, k, number[t], t) for r in tokens for k, t in enumerate(r.tokens or []))
     assert sorted((r.row_id, r.place, r.vocab_id, r.piece) for r in got.collect()) == want
+
+
+def test_sums_of_products_in_place_and_sorted(spark, monkeypatch):
+    """Columns of a row in any order, rows of several widths, and bounds that are passed many times: both ways give the Gramian."""
+    rng = np.random.default_rng(5)
+    x, rows = np.zeros((300, 40)), []
+    for k in range(300):
+        at = rng.permutation(40)[: rng.integers(0, 9)]
+        x[k, at] = rng.normal(size=len(at))
+        rows.append(([int(i) for i in at], [float(v) for v in x[k, at]]))
+    frame = spark.createDataFrame(rows, "indices array<int>, values array<double>")
+    for held, dense in ((reduce.PRODUCTS, reduce.DENSE), (64, reduce.DENSE), (64, 0)):
+        monkeypatch.setattr(reduce, "PRODUCTS", held)
+        monkeypatch.setattr(reduce, "DENSE", dense)
+        n, column, gram = reduce.moments(frame, 40)
+        assert n == 300 and np.allclose(column, x.sum(0)) and np.allclose(gram, x.T @ x)
