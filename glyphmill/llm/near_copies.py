@@ -2,7 +2,10 @@
 
 1. Document frequencies of five-word shingles are counted over all documents, by the shingles' 64-bit hashes: a shingle's
    weight is its count in the text times its inverse document frequency. Groups of documents send each distinct hash
-   once to the range it lies in, where frequencies are added up, and get them back in the order of their hashes.
+   once to the range it lies in, where frequencies are added up, and get them back in the order of their hashes. A group
+   sends a row to each range. With more text there are more ranges, and groups are as much larger, so that a row holds
+   about 250 hashes and rows grow as the text does; from 25 billion characters on groups stay at 6 million, which bounds
+   a task's memory, and rows get shorter instead.
 2. Each text gets 64 consistent samples (Ioffe's improved scheme): two texts agree in a sample with probability equal to
    their weighted Jaccard similarity. Sixteen bands of four samples find candidates: at a similarity of 0.8 a pair is
    missed by all bands with probability 2e-4, at 0.9 with 1e-7.
@@ -41,8 +44,10 @@ BATCH_CHARS = 2_000_000
 BROADCAST_ROWS = 200_000
 #: Characters of a block of texts whose pairs are verified.
 BLOCK_CHARS = 4_000_000
-#: Characters of a group of documents, and shingles that are counted in a range of hashes.
+#: Characters whose shingles are made at once, and shingles that are counted in a range of hashes.
 GROUP_CHARS, RANGE = 200_000, 1_000_000
+#: Characters of a group of documents for each range of hashes, and at most.
+CELL_CHARS, MOST_CHARS = 1536, 6_291_456
 U = np.uint64
 
 
@@ -195,13 +200,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / total) if total else 1.0
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(gid, doc_id, t1, t2, text): arrays of some neighbours, up to GROUP_CHARS characters."""
+def range_bits(chars: int) -> int:
+    """Leading bits of a hash that tell its range, for so many characters of text."""
+    return max(4, int(chars / 6 / RANGE).bit_length())
+
+
+def grouped(docs: DataFrame, chars: int | None = None) -> DataFrame:
+    """(gid, doc_id, t1, t2, text): arrays of some neighbours, as many as go with the ranges of ``chars`` characters of text."""
+    most = GROUP_CHARS if chars is None else min(MOST_CHARS, CELL_CHARS << range_bits(chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gid = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lo, hi in batches_of([len(t or "") for t in batch.column(3).to_pylist()], GROUP_CHARS):
+            for lo, hi in batches_of([len(t or "") for t in batch.column(3).to_pylist()], most):
                 cols = [pa.array([batch.column(i).slice(lo, hi - lo).to_pylist()], pa.list_(kind)) for i, kind in enumerate((*[pa.int64()] * 3, pa.string()))]
                 yield pa.RecordBatch.from_arrays([pa.array([gid], pa.int64()), *cols], ["gid", "doc_id", "t1", "t2", "text"])
                 gid += 1
@@ -209,16 +220,18 @@ def grouped(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "t1", "t2", "text").mapInArrow(run, "gid long, doc_id array<long>, t1 array<long>, t2 array<long>, text array<string>")
 
 
-def frequencies(groups: DataFrame) -> DataFrame:
-    """(gid, dfs): document frequencies, as four-byte numbers by range, of a group's distinct shingles in the order of their hashes."""
-    chars = groups.agg(F.sum(F.aggregate("text", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
-    bits = max(4, int(chars / 6 / RANGE).bit_length())
+def in_turn(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``shingles`` gives, for some texts of a group after others."""
+    return (shingles(texts[lo:hi]) for lo, hi in batches_of([len(t) for t in texts], GROUP_CHARS))
+
+
+def by_range(groups: DataFrame, bits: int) -> DataFrame:
+    """(gid, range, hashes, n): a group's distinct hashes in each range, and how many of its texts have them."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gid, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s, _, _ = shingles(texts.as_py())
-                s, n = np.unique(s, return_counts=True)
+                s, n = np.unique(np.concatenate([np.zeros(0, U), *(x[0] for x in in_turn(texts.as_py()))]), return_counts=True)
                 ranges = (s >> U(64 - bits)).astype(np.int64)
                 cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(s)] if len(s) else []
                 cols = [[ranges[a], s[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()] for a, b in zip(cuts, cuts[1:])]
@@ -226,6 +239,14 @@ def frequencies(groups: DataFrame) -> DataFrame:
                 arrays = [pa.array(c, k) for c, k in zip(list(zip(*cols)) or [[]] * 3, kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array([gid] * len(cols), pa.int64()), *arrays], ["gid", "range", "hashes", "n"])
 
+    return groups.select("gid", "text").mapInArrow(hashes, "gid long, range long, hashes binary, n binary")
+
+
+def frequencies(groups: DataFrame, chars: int | None = None) -> DataFrame:
+    """(gid, dfs): document frequencies, as four-byte numbers by range, of a group's distinct shingles in the order of their hashes."""
+    if chars is None:
+        chars = groups.agg(F.sum(F.aggregate("text", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(pdf.hashes), U)
         order = np.argsort(h)
@@ -236,8 +257,7 @@ def frequencies(groups: DataFrame) -> DataFrame:
         ends = np.cumsum([len(h) // 8 for h in pdf.hashes])[:-1]
         return pd.DataFrame({"gid": pdf.gid, "range": pdf.range, "df": [x.tobytes() for x in np.split(df, ends)]})
 
-    sent = groups.select("gid", "text").mapInArrow(hashes, "gid long, range long, hashes binary, n binary")
-    back = sent.groupBy("range").applyInPandas(add, "gid long, range long, df binary")
+    back = by_range(groups, range_bits(chars)).groupBy("range").applyInPandas(add, "gid long, range long, df binary")
     return back.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("range", "df"))).alias("dfs"))
 
 
@@ -247,12 +267,13 @@ def sketches(groups: DataFrame, counted: DataFrame, total: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                s, tf, starts = shingles(row["text"])
-                _, at = np.unique(s, return_inverse=True)
-                df = np.frombuffer(b"".join(x["df"] for x in row["dfs"] or []), np.uint32)[at]
-                rows = iter(sample(s, exact_weights(tf, df, total), starts))
-                sigs = [next(rows).tobytes() if m else None for m in np.diff(starts)]
-                dfs = [df[a:b].tobytes() if a < b else None for a, b in zip(starts, starts[1:])]
+                parts, sigs, dfs = list(in_turn(row["text"])), [], []
+                _, at = np.unique(np.concatenate([np.zeros(0, U), *(x[0] for x in parts)]), return_inverse=True)
+                of_all = np.frombuffer(b"".join(x["df"] for x in row["dfs"] or []), np.uint32)[at]
+                for (s, tf, starts), df in zip(parts, np.split(of_all, np.cumsum([len(x[0]) for x in parts]))):
+                    rows = iter(sample(s, exact_weights(tf, df, total), starts))
+                    sigs += [next(rows).tobytes() if m else None for m in np.diff(starts)]
+                    dfs += [df[a:b].tobytes() if a < b else None for a, b in zip(starts, starts[1:])]
                 ids = (pa.array(row[c], pa.int64()) for c in ("doc_id", "t1", "t2"))
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(sigs, pa.binary()), pa.array(dfs, pa.binary())], ["doc_id", "t1", "t2", "sig", "df"])
 
@@ -403,9 +424,9 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "near-copies")
     docs = keyed(documents)
-    total = docs.count()
-    groups = scratch.save(grouped(docs), "groups")
-    counted = scratch.save(frequencies(groups), "counted")
+    total, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    groups = scratch.save(grouped(docs, chars), "groups")
+    counted = scratch.save(frequencies(groups, chars), "counted")
     free_shuffles(spark)  # nothing refers to those of the counts any more
     rows = scratch.save(sketches(groups, counted, total).withColumn("rid", F.monotonically_increasing_id()), "rows")
     scratch.drop("groups")

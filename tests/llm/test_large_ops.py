@@ -488,6 +488,24 @@ def test_frequencies_are_those_of_single_shingles(spark, monkeypatch):
         assert (r.sig is None) == (not len(each[r.doc_id]))
 
 
+def test_rows_sent_to_ranges_grow_as_the_texts_do(spark, monkeypatch):
+    """Sixteen times the text: more ranges, and as much larger groups; frequencies stay those of single shingles."""
+    monkeypatch.setattr(near_copies, "RANGE", 2000)
+    monkeypatch.setattr(near_copies, "GROUP_CHARS", 5000)
+    rng, made = np.random.default_rng(4), []
+    for n in (200, 3200):
+        texts = [" ".join(map(str, rng.integers(0, 10**6, 300))) for _ in range(n)]
+        docs = near_copies.keyed(documents(spark, texts)).coalesce(1)
+        chars = sum(map(len, texts))
+        groups = common.Scratch(spark, "t").save(near_copies.grouped(docs, chars), "groups")
+        made.append(near_copies.by_range(groups, near_copies.range_bits(chars)).count())
+        rows = near_copies.sketches(groups, near_copies.frequencies(groups, chars), n).collect()
+        each = {i: near_copies.shingles([t])[0] for i, t in enumerate(texts)}
+        df = dict(zip(*(x.tolist() for x in np.unique(np.concatenate(list(each.values())), return_counts=True))))
+        assert len(rows) == n and all(np.frombuffer(r.df, np.uint32).tolist() == [df[x] for x in each[r.doc_id].tolist()] for r in rows)
+    assert made[1] <= 2 * 16 * made[0]
+
+
 def test_pairs_of_a_bucket_are_verified_whatever_their_samples(spark):
     """Three pairs, similar by their weights, whose samples agree in one band alone, and one that isn't similar."""
     words = [[f"w{t}x{k}" for k in range(200)] for t in range(4)]
