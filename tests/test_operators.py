@@ -349,6 +349,38 @@ def test_encoding_is_the_librarys(spark, library):
     assert sum(a != b for a, b in zip(sp.encode([w[1:] for w in words]), single)) == 0
 
 
+def test_sizes_share_the_rounds_that_they_have_in_common(spark, small_corpus, monkeypatch):
+    calls = []
+    for name in ("seeds", "expected", "pruning_losses"):
+        if hasattr(subword, name):
+            monkeypatch.setattr(subword, name, lambda *a, f=getattr(subword, name), name=name: calls.append(name) or f(*a))
+    alone = [subword.fit_sweep(small_corpus, [n], seed_size=900)[0][n] for n in (60, 45)]
+    each = len(calls)
+    calls.clear()
+    both, _ = subword.fit_sweep(small_corpus, [60, 45], seed_size=900)
+    assert calls.count("seeds") == 1 and len(calls) < each
+    for n, model in zip((60, 45), alone):
+        assert both[n].pieces == model.pieces and np.allclose(both[n].scores, model.scores)
+
+
+def test_products_are_what_logarithms_give():
+    """Words of 0 to 400 characters, some of them unknown, in one batch."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdé?"), k)) for k in [*rng.integers(0, 30, 200), 60, 399, 400, 1, 0]]
+    pieces = [*"abcd", "ab", "abc", "dd", "éa", "bcdab"]
+    scores, n = np.log(rng.random(len(pieces)) / 50), rng.integers(1, 9, len(words))
+    lattice = unigram.Lattice.of(words, unigram.Trie.of(pieces))
+    s = lattice.scored(scores, scores.min() - unigram.UNKNOWN, np.float64)
+    counts, like = lattice.sums(s, n, len(pieces))
+    want, likely = lattice._logs(s, n, len(pieces))
+    assert np.allclose(counts, want, rtol=1e-9) and np.isclose(like, likely, rtol=1e-12)
+    for some in ([], [""], ["a" * 500], ["ab"]):
+        small = unigram.Lattice.of(some, unigram.Trie.of(pieces))
+        s = small.scored(scores, scores.min() - unigram.UNKNOWN, np.float64)
+        ones = np.ones(len(some), np.int64)
+        assert np.allclose(small.sums(s, ones, len(pieces))[0], small._logs(s, ones, len(pieces))[0] if some else 0)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_fit_is_as_likely_as_the_librarys(spark, library):
     texts, sp, theirs = library
