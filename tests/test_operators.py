@@ -459,6 +459,50 @@ def test_tasks_train_as_one_loop(fitted, workers):
     assert len(log) == 2 and 0 <= log[1][2] <= 1
 
 
+def test_rows_of_a_single_epoch_are_not_stored(fitted, monkeypatch):
+    """They go to the tasks as they are made, when their number is known; weights and log are those of stored rows."""
+    _, vectors = fitted
+    some, options = vectors.where("row_id < 12"), {"epochs": 1, "hidden": (9, 7), "batch_size": 40, "workers": 2}
+    weights, log = nextword.train(some, 60, **options)
+    stored = []
+    monkeypatch.setattr(nextword.Scratch, "save", lambda self, df, name: stored.append(name))
+    same, again = nextword.train(some, 60, n_rows=some.count(), **options)
+    assert not stored and np.allclose(log, again)
+    assert np.allclose(nextword.flat(weights), nextword.flat(same), atol=1e-5)
+
+
+def test_windows_are_counted_without_making_them(spark):
+    rows = spark.createDataFrame([(1, [4, 5, 6]), (2, []), (3, None), (4, list(range(40)))], "row_id long, ids array<int>")
+    for width, slide in ((15, 1), (4, 3)):
+        assert windows.how_many(rows, width, slide, "ids") == windows.sparse_rows(rows, 2, 3, width, slide, "ids").count()
+    assert windows.how_many(rows.where("row_id > 4"), tokens="ids") == 0
+
+
+@pytest.mark.parametrize("n", [3, 300, 700])
+def test_sparse_products(n):
+    """Frequent columns go through a dense matrix, seldom ones by themselves, and rows may be empty or long."""
+    rng = np.random.default_rng(n)
+    indices = [np.sort(rng.choice(np.arange(1, 900), k, False)) for k in rng.choice([0, 1, 5, 14, 60], n)]
+    indices = [np.append(0, i) if r % 3 else i for r, i in enumerate(indices)]
+    values = [rng.random(len(i)).astype(np.float32) for i in indices]
+    x = np.zeros((n, 900))
+    for r, (i, v) in enumerate(zip(indices, values)):
+        x[r, i] = v
+    columns, often, rest = nextword.split(nextword.packed(indices, values))
+    assert 0 in columns and often.shape[1] * n <= nextword.OFTEN * sum(map(len, indices))
+    assert (len(rest[1]) > 0) == (n > nextword.OFTEN)
+    w, d = rng.standard_normal((900, 8)).astype(np.float32), rng.standard_normal((n, 8)).astype(np.float32)
+    first, into = often @ w[columns], np.zeros((900, 8), np.float32)
+    nextword.add_gathered(w, rest, first)
+    assert np.allclose(first, x @ w, atol=1e-4)
+    into[columns] += often.T @ d
+    nextword.add_scattered(rest, d, into)
+    assert np.allclose(into, x.T @ d, atol=1e-3)
+    if len(rest[1]):
+        with pytest.raises(IndexError):
+            nextword.add_gathered(w[:1], rest, first)
+
+
 class Killed(Exception):
     pass
 
