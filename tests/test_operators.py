@@ -363,6 +363,12 @@ def test_sizes_share_the_rounds_that_they_have_in_common(spark, small_corpus, mo
         assert both[n].pieces == model.pieces and np.allclose(both[n].scores, model.scores)
 
 
+def test_a_fits_words_are_spread(spark, small_corpus):
+    """Each round passes over the distinct words, so these lie in as many files as there are slots, however few bytes they are."""
+    _, words = subword.fit_sweep(small_corpus, [45], seed_size=900)
+    assert len(words.inputFiles()) >= spark.sparkContext.defaultParallelism
+
+
 def test_products_are_what_logarithms_give():
     """Words of 0 to 400 characters, some of them unknown, in one batch."""
     rng = np.random.default_rng(8)
