@@ -745,3 +745,17 @@ def test_sums_of_products_in_place_and_sorted(spark, monkeypatch):
         monkeypatch.setattr(reduce, "DENSE", dense)
         n, column, gram = reduce.moments(frame, 40)
         assert n == 300 and np.allclose(column, x.sum(0)) and np.allclose(gram, x.T @ x)
+
+
+def test_registered_training_is_the_whole_one(spark, monkeypatch):
+    """train_log and generated_text train for as many epochs and in such mini-batches as the network's own run, and windows aren't stored."""
+    from glyphmill import queries
+
+    calls, saved = [], []
+    rows = spark.createDataFrame([(1, [5, 6, 5, 9]), (2, [])], "row_id long, ids array<int>")
+    monkeypatch.setattr(queries, "_ids", lambda *a: rows)
+    monkeypatch.setattr(nextword, "run_epoch", lambda w, adam, steps, dealt: (calls.append((steps, dealt.count())), (w, adam, 1.0, 0, 34))[1])
+    monkeypatch.setattr(nextword.Scratch, "save_counted", lambda *a: saved.append(a))
+    _, log = queries._trained.__wrapped__("test", "/nowhere")
+    assert [r[0] for r in log] == list(range(1, 51)) and calls == [(1, 34)] * 50 and not saved
+    assert nextword.BATCH == 256
