@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.scalars import dim_ladder, max_components
+from glyphmill.functions.scalars import WINDOW, dim_ladder, max_components
 from glyphmill.operators import factor
+from glyphmill.operators.windows import parts_of, weight_literals
 from glyphmill.sources.catalog import decimals
 
 THRESHOLD = 0.95
@@ -24,6 +25,8 @@ GRAMIAN = 8192
 PRODUCTS = 4_000_000
 #: Entries of a Gramian that a task holds whole, 8 bytes each: products are then added in place and never sorted.
 DENSE = 4_000_000
+#: Number of rows, sums of the columns, and the Gramian.
+Moments = tuple[int, np.ndarray, np.ndarray]
 
 
 def dense_features(rows: DataFrame, values: str) -> DataFrame:
@@ -119,7 +122,12 @@ def moments(features: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray
         values.append(np.array([float(n)]))
         yield out()
 
-    sums = features.select("indices", "values").mapInArrow(sums_of_products if dense else products, "entry long, total double").groupBy("entry").agg(F.sum("total").alias("total"))
+    return _collected(features.select("indices", "values").mapInArrow(sums_of_products if dense else products, "entry long, total double"), size)
+
+
+def _collected(parts: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """What ``moments`` returns from the tasks' sums (entry, total)."""
+    sums = parts.groupBy("entry").agg(F.sum("total").alias("total"))
     # a row of the Gramian a line: the driver reads one after another
     lines = sums.groupBy(F.when(F.col("entry") >= 0, F.floor(F.col("entry") / size)).otherwise(-1).alias("i")).agg(F.collect_list("entry").alias("entries"), F.collect_list("total").alias("totals"))
     n, column, gram = 0, np.zeros(size), np.zeros((size, size))
@@ -134,42 +142,119 @@ def moments(features: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray
     return n, column, gram
 
 
+def window_moments(rows: DataFrame, size: int, bos: int, eos: int, width: int = WINDOW, tokens: str = "ids") -> tuple[int, np.ndarray, np.ndarray]:
+    """What ``moments`` returns for the context vectors of all windows of rows of ids, without making them.
+
+    Two tokens that lie d apart are together in width - d windows, always with the same pairs of weights: the Gramian is the
+    counts of pairs by distance, times the sums of those weights' products. That takes width steps a token and not
+    width^2 / 2. Only pairs inside the padding are in fewer windows, the same for every row.
+    """
+    if size >= 1 << 31 or not (0 <= bos < size and 0 <= eos < size):
+        raise ValueError("too many columns, or marks outside of them")
+    weight = np.array(weight_literals(width))
+    apart = [float(weight[: width - d] @ weight[d:]) for d in range(width)]
+    first, last = np.cumsum(weight)[::-1], np.cumsum(weight[::-1])[-2::-1]  # weights of the padding's places in each window that has some
+    dense = size * size <= DENSE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, texts, total, gram = 0, 0, np.zeros(size), np.zeros(size * size if dense else 0)
+        keys, values, held = [], [], 0
+
+        def entries() -> tuple[np.ndarray, np.ndarray]:
+            k, at = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+            return k, np.bincount(at, np.concatenate([np.zeros(0), *values]), len(k))
+
+        def add() -> Iterator[pa.RecordBatch]:
+            nonlocal keys, values, held
+            if dense:
+                gram[:] += np.bincount(np.concatenate(keys), np.concatenate(values), size * size)
+                keys, values, held = [], [], 0
+                return
+            k, v = entries()
+            keys, values, held = [k], [v], 0
+            if len(k) > PRODUCTS // 4:
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], ["entry", "total"])
+                keys, values = [], []
+
+        for batch in batches:
+            for numbers, lists in parts_of(batch.column(0), batch.column(1), 32):
+                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                token = lists.flatten().to_numpy().astype(np.int64)
+                if len(token) and not 0 <= token.min() <= token.max() < size:
+                    raise IndexError(f"tokens {token.min()} to {token.max()} of {size}")
+                n, texts = n + int((sizes + width).sum()), texts + len(numbers)
+                total += np.bincount(token, minlength=size)
+                whole = sizes + 2 * width
+                starts = np.cumsum(whole) - whole
+                place = np.arange(int(whole.sum())) - np.repeat(starts, whole)
+                p = np.full(len(place), eos)
+                p[place < width] = bos
+                before_end = place < np.repeat(sizes + width, whole)
+                p[(place >= width) & before_end] = token
+                for d in range(1, width):
+                    at = np.flatnonzero(before_end & (place >= width - d))
+                    a, b = p[at], p[at + d]
+                    keys.append(np.minimum(a, b) * size + np.maximum(a, b))
+                    values.append(np.where(a == b, 2 * apart[d], apart[d]))
+                    held += len(at)
+                    if held >= PRODUCTS:
+                        yield from add()
+        column = total * weight.sum()
+        keys.append(np.arange(size) * (size + 1))
+        values.append(total * apart[0])
+        for mark, of in ((bos, first), (eos, last)):
+            column[mark] += texts * of.sum()
+            keys.append(np.array([mark * (size + 1)]))
+            values.append(np.array([texts * float(of @ of)]))
+        if dense:
+            yield from add()
+            at = np.flatnonzero(gram)
+            k, v = at, gram[at]
+        else:
+            k, v = entries()
+        of = np.flatnonzero(column)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, -1 - of, [FEW]])), pa.array(np.concatenate([v, column[of], [float(n)]]))], ["entry", "total"])
+
+    return _collected(rows.select("row_id", tokens).mapInArrow(run, "entry long, total double"), size)
+
+
 #: The key of the number of rows.
 FEW = -(1 << 62)
 
 
-def _decomposed(features: DataFrame, size: int, k: int, centred: bool, accurate: bool) -> tuple[int, np.ndarray, float, np.ndarray, np.ndarray]:
+def _decomposed(features: DataFrame, size: int, k: int, centred: bool, accurate: bool, sums: Moments | None = None) -> tuple[int, np.ndarray, float, np.ndarray, np.ndarray]:
     """Rows, mean, sum of squares around nothing, the ``k`` largest singular values, and their right vectors as columns.
 
     Where most of a moderate number of columns is asked for, sparse rows' sums of products take a small part of the work of
-    a QR of all columns, and lose only values below 1e-8 of the largest; ``accurate`` doesn't take that way.
+    a QR of all columns, and lose only values below 1e-8 of the largest; ``accurate`` doesn't take that way. ``sums`` are
+    what ``moments`` gives for the features, where that is known already.
     """
     k = min(k, size)
-    if accurate or size > GRAMIAN or factor.EXACT * (k + factor.MORE) < size:
+    if sums is None and (accurate or size > GRAMIAN or factor.EXACT * (k + factor.MORE) < size):
         n, column, squares = factor.column_sums(features, size)
         mean = column / max(1, n)
         s, v = factor.decomposed(features, size, k, mean if centred else None)
         return n, mean, squares, s, v
-    n, column, gram = moments(features, size)
+    n, column, gram = sums or moments(features, size)
     mean = column / max(1, n)
     values, v = np.linalg.eigh(gram - n * np.outer(mean, mean) if centred else gram)
     return n, mean, float(np.trace(gram)), np.sqrt(np.maximum(0.0, values[::-1][:k])), v[:, ::-1][:, :k]
 
 
-def svd_spectrum(features: DataFrame, size: int, k: int, accurate: bool = False) -> tuple[list[tuple[int, float, float]], np.ndarray]:
+def svd_spectrum(features: DataFrame, size: int, k: int, accurate: bool = False, sums: Moments | None = None) -> tuple[list[tuple[int, float, float]], np.ndarray]:
     """(component, singular value, share of the columns' variance) and the components as columns.
 
     Rows aren't centred, so a component's variance is s^2 / n minus its squared mean.
     """
-    n, mean, squares, s, v = _decomposed(features, size, k, False, accurate)
+    n, mean, squares, s, v = _decomposed(features, size, k, False, accurate, sums)
     total = squares / max(1, n) - mean @ mean
     share = (s**2 / max(1, n) - (mean @ v) ** 2) / total if total > 0 else np.zeros(len(s))
     return [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(s, share))], v
 
 
-def pca_spectrum(features: DataFrame, size: int, k: int, accurate: bool = False) -> tuple[list[tuple[int, float, float]], np.ndarray]:
+def pca_spectrum(features: DataFrame, size: int, k: int, accurate: bool = False, sums: Moments | None = None) -> tuple[list[tuple[int, float, float]], np.ndarray]:
     """The same for centred rows: a singular value is the root of (n - 1) times the component's variance."""
-    n, mean, squares, s, v = _decomposed(features, size, k, True, accurate)
+    n, mean, squares, s, v = _decomposed(features, size, k, True, accurate, sums)
     total = max(squares - n * (mean @ mean), 0.0)
     return [(i + 1, float(a), float(a * a / total) if total > 0 else 0.0) for i, a in enumerate(s)], v
 
@@ -223,7 +308,7 @@ def formatted(report: DataFrame) -> DataFrame:
     return report.select(*(decimals(F.col(c)).alias(c) if kinds[c] == "double" else F.col(c).cast("string").alias(c) for c in report.columns))
 
 
-def svd_sweep(features: DataFrame, original: int, rows: int, step: int = 200, least: int = 1000, threshold: float = THRESHOLD) -> DataFrame:
+def svd_sweep(features: DataFrame, original: int, rows: int, step: int = 200, least: int = 1000, threshold: float = THRESHOLD, sums: Moments | None = None) -> DataFrame:
     dims = dim_ladder(original, max_components(rows, original), step, least)
-    spectrum, _ = svd_spectrum(features, original, max(dims))
+    spectrum, _ = svd_spectrum(features, original, max(dims), sums=sums)
     return svd_report(spectrum_table(features.sparkSession, spectrum), original, dims, threshold)

@@ -759,3 +759,30 @@ def test_registered_training_is_the_whole_one(spark, monkeypatch):
     _, log = queries._trained.__wrapped__("test", "/nowhere")
     assert [r[0] for r in log] == list(range(1, 51)) and calls == [(1, 34)] * 50 and not saved
     assert nextword.BATCH == 256
+
+
+@pytest.mark.parametrize("width", [1, 4, 15])
+def test_moments_of_windows_without_making_them(spark, monkeypatch, width):
+    """Short, empty and null rows, repeated tokens and marks inside a text; held whole or sorted, with bounds that are passed many times."""
+    rng = np.random.default_rng(7)
+    rows = [(k, [int(i) for i in rng.integers(0, 12, rng.integers(0, 50))]) for k in range(60)] + [(100, []), (101, None), (102, [5] * 40)]
+    ids = spark.createDataFrame(rows, "row_id long, ids array<int>").repartition(3)
+    vectors = windows.sparse_rows(ids, 2, 3, width, tokens="ids")
+    want = reduce.moments(reduce.sparse_features(vectors), 12)
+    for held, dense in ((reduce.PRODUCTS, reduce.DENSE), (64, reduce.DENSE), (64, 0), (reduce.PRODUCTS, 0)):
+        monkeypatch.setattr(reduce, "PRODUCTS", held)
+        monkeypatch.setattr(reduce, "DENSE", dense)
+        n, column, gram = reduce.window_moments(ids, 12, 2, 3, width)
+        assert n == want[0] == vectors.count() and np.allclose(column, want[1], rtol=1e-12) and np.allclose(gram, want[2], rtol=1e-12)
+    a, b = (reduce.svd_spectrum(reduce.sparse_features(vectors), 12, 8, sums=s)[0] for s in (None, (n, column, gram)))
+    assert np.allclose(a, b)
+
+
+def test_reports_make_no_windows(spark, monkeypatch):
+    """Both reports sum up the pieces' ids: no row of the context vectors is made."""
+    from glyphmill import queries
+
+    rows = spark.createDataFrame([(k, [4 + (k * j) % 90 for j in range(80)]) for k in range(30)], "row_id long, ids array<int>")
+    monkeypatch.setattr(queries, "_ids", lambda *a: rows)
+    monkeypatch.setattr(reduce, "moments", lambda *a: pytest.fail("windows are made"))
+    assert queries.pca_report(spark, "/nowhere").count() == 9 and queries.svd_report(spark, "/nowhere").count() == 2
