@@ -786,3 +786,11 @@ def test_reports_make_no_windows(spark, monkeypatch):
     monkeypatch.setattr(queries, "_ids", lambda *a: rows)
     monkeypatch.setattr(reduce, "moments", lambda *a: pytest.fail("windows are made"))
     assert queries.pca_report(spark, "/nowhere").count() == 9 and queries.svd_report(spark, "/nowhere").count() == 2
+
+
+def test_framed_rows_sum_stretches(spark):
+    """A window's weights are summed by stretches of the sorted entries, each entry once; none is lost, not even of a null token."""
+    rows = spark.createDataFrame([(1, ["b", None, "b", "b", None, "a"]), (2, ["x"] * 40)], "row_id long, tokens array<string>")
+    found = windows.framed_rows(rows, F.lit("<s>"), F.lit("</s>"))
+    assert all(abs(sum(r["values"]) - sum(windows.weight_literals(15))) < 1e-9 and len(r.indices) == len(r["values"]) for r in found.collect())
+    assert "filter(s" not in found._jdf.queryExecution().optimizedPlan().toString()
