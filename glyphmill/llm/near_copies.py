@@ -48,6 +48,8 @@ BLOCK_CHARS = 4_000_000
 GROUP_CHARS, RANGE = 200_000, 1_000_000
 #: Characters of a group of documents for each range of hashes, and at most.
 CELL_CHARS, MOST_CHARS = 1536, 6_291_456
+#: Bytes of a stored table that a task holds, and groups of documents whose frequencies a task collects at once before it sorts them.
+HELD, GROUPS = 16 << 20, 8
 U = np.uint64
 
 
@@ -242,6 +244,16 @@ def by_range(groups: DataFrame, bits: int) -> DataFrame:
     return groups.select("gid", "text").mapInArrow(hashes, "gid long, range long, hashes binary, n binary")
 
 
+def few_collected(spark: SparkSession) -> None:
+    """Lists are collected for a few keys at once, as one holds all of a group's frequencies: Spark has 128 of them in memory, and then sorts.
+
+    A choice that the session has made itself stands.
+    """
+    name, usual = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "128"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, str(GROUPS))
+
+
 def frequencies(groups: DataFrame, chars: int | None = None) -> DataFrame:
     """(gid, dfs): document frequencies, as four-byte numbers by range, of a group's distinct shingles in the order of their hashes."""
     if chars is None:
@@ -422,7 +434,8 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, t1, t2, class_id, kept): class_id is the class's smallest doc_id; one row of each class is kept."""
     spark: SparkSession = documents.sparkSession
     small_batches(spark)
-    scratch = Scratch(spark, "near-copies")
+    few_collected(spark)
+    scratch = Scratch(spark, "near-copies", HELD)
     docs = keyed(documents)
     total, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     groups = scratch.save(grouped(docs, chars), "groups")

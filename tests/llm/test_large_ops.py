@@ -694,3 +694,36 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.mix_sources(spark, kept, "").columns == kept.columns
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_large_rows_are_stored_in_small_groups(spark, monkeypatch):
+    """A task holds a few rows of a stored table where rows are large, and the groups' frequencies are collected for a few groups at once."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    sizes, save = [], near_copies.Scratch.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name == "groups":
+            for path in glob.glob(f"{self.root}/{name}/*.parquet".removeprefix("file://")):
+                meta = pq.read_metadata(path)
+                sizes.extend(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups))
+        return out
+
+    monkeypatch.setattr(near_copies, "HELD", 1 << 20)
+    monkeypatch.setattr(near_copies.Scratch, "save", saved)
+    monkeypatch.setattr(near_copies, "GROUP_CHARS", 400_000)
+    monkeypatch.setattr(near_copies, "CELL_CHARS", 25_000)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 3000))) for _ in range(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert near_copies.classes(docs).where("kept").count() == 250
+    assert sizes and max(sizes) < 2 << 20 and sum(sizes) > 4 << 20
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    assert spark.conf.get(name) == str(near_copies.GROUPS)
+    spark.conf.set(name, "50")
+    near_copies.few_collected(spark)
+    assert spark.conf.get(name) == "50"
+    spark.conf.unset(name)
